@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm import packing, repair, simhash
+from rastrel.llm import decontaminate, langid, packing, repair, secrets, simhash
 from rastrel.llm.common import table
 
 
+def op1_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -21,12 +25,20 @@ def op4_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_harmonic_packing, op4_simhash_pigeonring, op10_repair_tokens)
+    f.__name__: f for f in (op1_multipart_secrets, op2_harmonic_packing, op4_simhash_pigeonring, op7_rank_order_language, op8_template_decontamination, op10_repair_tokens)
 }
 
 ORACLES: dict[str, str] = {}
