@@ -25,14 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder, without its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written as Parquet to a fresh folder of the shared one and reread."""
+    """The rows of df, written as Parquet to a fresh folder of the shared one and reread: computed once, without lineage.
+
+    Unlike checkpoint(), which computes its rows a second time to store them.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table from written(), once nothing reads it any more."""
+    jvm = df.sparkSession._jvm
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

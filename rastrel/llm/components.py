@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import checkpointed
+from rastrel.llm.common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,13 +35,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Nodes are longs; null ends, loops, and repeated or turned edges change nothing. Each round is written to the
     shared folder, so a lost executor costs at most that round.
     """
-    now = checkpointed(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = _state(now)
     for _ in range(max_rounds):
-        now = checkpointed(_star(_star(now, large=True), large=False))
+        last, now = now, written(_star(_star(now, large=True), large=False), "links")
         before, state = state, _state(now)
+        discard(last)
         if state == before:
             break
     else:

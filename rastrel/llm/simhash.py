@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import checkpointed
+from rastrel.llm.common import written
 from rastrel.llm.components import connected_components
 from rastrel.llm.fingerprints import fingerprint
 
@@ -76,8 +76,8 @@ def simhash_components(docs: DataFrame, keys: list[str], order: str = "doc_id",
     fingerprint zero and is linked like any other; a null `order` is passed over by the least, and gives null where all
     are null. Repeated rows stay. An empty table gives an empty table.
     """
-    marked = checkpointed(with_fingerprints(docs, keys, text))
-    distinct = checkpointed(marked.groupBy("fp").agg(F.min(order).alias("least")))
+    marked = written(with_fingerprints(docs, keys, text), "fingerprints")
+    distinct = written(marked.groupBy("fp").agg(F.min(order).alias("least")), "distinct-fingerprints")
     parts = connected_components(hamming_links(distinct.select("fp")))
     labelled = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
