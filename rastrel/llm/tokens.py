@@ -6,16 +6,19 @@ it, so a text's ids are those of its pieces in turn. Pieces repeat, so their ids
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterator
 
 from tokenizers import Tokenizer
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
 #: A blank before which a text cannot be cut: what follows is white space (by any version of Unicode) or nothing.
 _UNCUT = re.compile(" (?=[\\s\u180e\u200b\ufeff]|\\Z)")
 _CUT = re.compile(" (?=[^\\s\u180e\u200b\ufeff])")
-#: Longer pieces are not kept, and no more than so many, at about 220 bytes each; others are encoded at each use.
+#: Longer pieces are not kept, and no more than so many, at about 200 bytes each; others are encoded again.
 _LONG, _KEPT = 48, 1_000_000
 #: Texts are taken together, and long ones in parts, of about so many characters.
 _BLOCK = 1 << 20
@@ -33,6 +36,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.blanks = blanks
         self.kept: dict[str, bytes] = {}
+        self.marks = {"": b""} | dict(zip(".,!?;:", self._ids(list(".,!?;:"))))
 
     def _pieces(self, text: str) -> list[str]:
         if not self.blanks:
@@ -42,18 +46,44 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", made.ids).tobytes() for made in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        """The ids of stems, after a blank where the vocabulary keeps it. ASCII letters alone (lower-case ones, where
+        the vocabulary lowers) are one word in every way, and go to the library's merges directly."""
+        before, merge = "\u0120" if self.blanks else "", self.tokenizer.model.tokenize
+        plain = [s.isascii() and s.isalpha() for s in stems]
+        others = iter(self._ids([" " + s if self.blanks else s for s, p in zip(stems, plain) if not p]))
+        return [array("I", [t.id for t in merge(before + s)]).tobytes() if p else next(others) for s, p in zip(stems, plain)]
+
+    def _learned(self, new: list[str]) -> list[bytes]:
+        """The ids of new pieces, by their stems: a mark after an ASCII letter is an id of its own."""
+        kept = self.kept
+        stems, marks = [], []
+        for piece in new:
+            mark = ""
+            if piece[-1:] in self.marks and piece[-2:-1].isascii() and piece[-2:-1].isalpha():
+                mark, piece = piece[-1], piece[:-1]
+            stems.append(piece.lower() if not self.blanks and piece.isascii() else piece)
+            marks.append(self.marks[mark])
+        own = dict(zip(stems, map(kept.get, stems)))
+        fresh = [s for s, ids in own.items() if ids is None]
+        made = self._stems(fresh)
+        own.update(zip(fresh, made))
+        if len(kept) < _KEPT:
+            kept.update((s, ids) for s, ids in zip(fresh, made) if len(s) <= _LONG)
+        return [own[s] + mark for s, mark in zip(stems, marks)]
+
     def _block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; together they are not long. The first piece of a text has no blank before it."""
         cut = [self._pieces(t) for t in texts]
         firsts = self._ids([p.pop(0) for p in cut]) if self.blanks else [b""] * len(cut)
-        ids = self.kept
-        if new := set().union(*cut).difference(ids):
-            own = dict(zip(new, self._ids([" " + p for p in new] if self.blanks else list(new))))
-            if len(ids) + len(own) <= _KEPT:
-                ids.update((p, x) for p, x in own.items() if len(p) <= _LONG)
-            if not ids.keys() >= new:
-                return [f + b"".join([ids.get(p) or own.get(p, b"") for p in pieces]) for f, pieces in zip(firsts, cut)]
-        return [f + b"".join(map(ids.__getitem__, pieces)) for f, pieces in zip(firsts, cut)]
+        pieces = set().union(*cut)
+        ids = dict(zip(pieces, map(self.kept.get, pieces)))  # small, so that it stays near the processor
+        if new := [p for p, found in ids.items() if found is None]:
+            made = self._learned(new)
+            ids.update(zip(new, made))
+            if len(self.kept) < _KEPT:
+                self.kept.update((p, x) for p, x in zip(new, made) if len(p) <= _LONG)
+        return [f + b"".join(map(ids.__getitem__, p)) for f, p in zip(firsts, cut)]
 
     def _parts(self, text: str) -> Iterator[str]:
         """Parts of a text, cut where it can be; a part but the first begins with its blank."""
