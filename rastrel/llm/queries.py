@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm import decontaminate, langid, packing, repair, secrets, simhash
+from rastrel.llm import decontaminate, langid, media, packing, pii, repair, secrets, sharding, simhash, urls
 from rastrel.llm.common import table
 
 
@@ -20,11 +20,23 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op3_baseline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_and_read(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_host_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+def op6_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(table(spark, sf_dir, "documents").select("doc_id"))
+
+
 def op7_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -33,12 +45,28 @@ def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op10_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_multipart_secrets, op2_harmonic_packing, op4_simhash_pigeonring, op7_rank_order_language, op8_template_decontamination, op10_repair_tokens)
+    f.__name__: f
+    for f in (
+        op1_multipart_secrets,
+        op2_harmonic_packing,
+        op3_baseline_jpeg,
+        op4_simhash_pigeonring,
+        op5_host_segmentation,
+        op6_permutation_sharding,
+        op7_rank_order_language,
+        op8_template_decontamination,
+        op9_feistel_pseudonyms,
+        op10_repair_tokens,
+    )
 }
 
 ORACLES: dict[str, str] = {}

@@ -40,7 +40,7 @@ class Encoder:
 
     def _pieces(self, text: str) -> list[str]:
         if not self.blanks:
-            return text.replace("\n", " ").split(" ")
+            return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
         return text.split(" ") if _UNCUT.search(text) is None else _CUT.split(text)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
