@@ -2,8 +2,9 @@
 
 Words' frequencies are counted over the visible text of all pages. A Viterbi search splits each run of letters of a
 host or path into the likeliest words; multinomial naive Bayes over these words (hashed to a fixed number of features)
-judges the URLs that no rule decides. It is trained on the URLs that a rule or a seed word labels, without the words
-that the rules themselves look at: those say nothing of URLs that no rule fits.
+judges the URLs that no rule decides. It is trained on all URLs: those with a seed word are to block, the others are
+not, and those that only a rule blocks are left out, as rules block places and not words. For the same reason it passes
+over the words that the rules look at.
 """
 
 from __future__ import annotations
@@ -130,15 +131,15 @@ class Bayes:
 
 
 def train(urls: DataFrame, segmenter: Segmenter) -> Bayes:
-    """From all rows with host, path and the rules' verdict (or null): a seed word among the tokens means block."""
+    """From all rows of host, path and the rules' verdict (or null): a seed word among the tokens means block."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, rows = np.zeros((2, FEATURES), np.int64), np.zeros(2, np.int64)
         for batch in batches:
             for host, path, verdict in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 tokens = segmenter.tokens(host, path)
-                block = any(t[2:] in SEEDS for t in tokens) or verdict == "block"
-                if block or verdict:
+                block = any(t[2:] in SEEDS for t in tokens)
+                if tokens and (block or verdict != "block"):
                     rows[int(block)] += 1
                     np.add.at(n[int(block)], [feature(t) for t in tokens], 1)
         kind, at = np.nonzero(n)
