@@ -33,6 +33,7 @@ SEEDS = frozenset("adult bet bets betting casino cheap dating jackpot loan loans
 #: Words of the unigram model, the most frequent; longer ones than so many letters are no words.
 VOCABULARY, LONGEST = 50_000, 24
 FEATURES = 1 << 16
+SMOOTHING = 0.1
 #: What a seed counts at least among the words, so that names run together are split at seeds.
 SEED_COUNT = 20
 _RUN = re.compile(r"[^\W\d_]+|\d+")
@@ -115,12 +116,14 @@ def feature(token: str) -> int:
 
 
 class Bayes:
-    """Multinomial naive Bayes for block against allow, with add-one smoothing."""
+    """Multinomial naive Bayes for block against allow, smoothed by a tenth for each feature seen."""
 
     def __init__(self, counts: np.ndarray, rows: np.ndarray):
         """counts: tokens by class (allow, block) and feature; rows: URLs by class."""
         self.trained = bool((rows > 0).all())
-        self.weights = np.log((counts[1] + 1) / (counts[1].sum() + FEATURES)) - np.log((counts[0] + 1) / (counts[0].sum() + FEATURES))
+        mass = SMOOTHING * max(1, int((counts.sum(axis=0) > 0).sum()))
+        allow, block = (np.log((n + SMOOTHING) / (n.sum() + mass)) for n in counts)
+        self.weights = np.where(counts.sum(axis=0) > 0, block - allow, 0.0)  # a word never seen says nothing
         self.prior = math.log((rows[1] + 1) / (rows[0] + 1))
 
     def score(self, tokens: list[str]) -> float:
