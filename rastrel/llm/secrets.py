@@ -106,7 +106,11 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """
     found = located(docs, ["doc_id"], scope=scope)
     base = F.filter("found", lambda s: s["kind"] < BASE)
-    count = [F.size(F.filter("found", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{kind}") for n, kind in enumerate(KINDS) if n < BASE]
+
+    def number(n: int) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == n)).cast("long")
+
+    count = [number(n).alias(f"n_{kind}") for n, kind in enumerate(KINDS) if n < BASE]
     linked = F.size(F.filter("found", lambda s: s["kind"] >= BASE)).cast("long").alias("n_linked")
     return found.select("doc_id", *count, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), linked)
 
