@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,7 +103,7 @@ def windows(codes: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-_SCHEMA = "key long, place int, hash long, slots array<string>, length int, size int"
+_SCHEMA = "row long, key long, place int, hash long, slots array<string>, length int, size int"
 
 
 def _found(template: Template, text: str | None, sizes: list[int], whole: bool, slots: np.ndarray | None) -> Iterator[tuple[int, int, list[str], int, int]]:
@@ -117,18 +118,22 @@ def _found(template: Template, text: str | None, sizes: list[int], whole: bool,
 
 
 def template_windows(rows: DataFrame, key: str, sizes: list[int], whole: bool = False, slots: np.ndarray | None = None, text: str = "text") -> DataFrame:
-    """Windows of each row's template: (key, place, hash, slots, length, size); whole: of a short text, all of it."""
+    """Windows of each row's template: (row, key, place, hash, slots, length, size); whole: of a short text, all of it.
+
+    row tells rows of one key apart.
+    """
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32()]
     packed = None if slots is None else np.packbits(slots).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template, rows = Template(), []
+        template, rows, number = Template(), [], TaskContext.get().partitionId() << 40
         held = None if packed is None else np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                number += 1
                 for row in _found(template, t, sizes, whole, held):
-                    rows.append((k, *row))
+                    rows.append((number, k, *row))
                     if len(rows) == 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                         rows = []
@@ -139,12 +144,12 @@ def template_windows(rows: DataFrame, key: str, sizes: list[int], whole: bool =
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run_words: int = RUN_WORDS) -> DataFrame:
-    """(doc_id, item_id, matched, windows, coverage, run_words, slots_agree) of each contaminated document and item.
+    """(doc_id, item_id, coverage, matched, windows, run_words, slots_agree) of each contaminated document and item.
 
     A document has an item if, in runs whose slots agree, it has `coverage` of the item's windows or `run_words` words
     in a row (an item of fewer than five words: all of it in a row). slots_agree: false if some run was set aside, as
-    one value of the item stood for two in the document. Null or empty texts match nothing, null ids are passed over, repeated rows
-    count once. Items of one text are all named. Empty tables give no rows.
+    one value of the item stood for two in the document. Null or empty texts match nothing, null ids are passed over, rows of one
+    doc_id are judged apart and the best is told. Items of one text are all named. Empty tables give no rows.
     """
     # the windows of the benchmark serve both the filter and the join
     items = written(template_windows(benchmark.where("item_id is not null").dropDuplicates(["item_id", "text"]), "item_id", [], whole=True), "benchmark-windows")
@@ -153,28 +158,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     filled = np.zeros(1 << FILTER_BITS, bool)
     filled[[r[0] for r in items.select(slot).distinct().toLocalIterator()]] = True  # as many as the filter has slots at most
     there = template_windows(docs.where("doc_id is not null"), "doc_id", sizes, slots=filled)
-    item = items.select("hash", F.col("key").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), (F.col("length") - F.col("size") + 1).alias("windows"), F.col("size").alias("item_size"))
+    item = items.select("hash", F.col("row").alias("item_row"), F.col("key").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), (F.col("length") - F.col("size") + 1).alias("windows"), F.col("size").alias("item_size"))
     pairs = there.join(item, "hash").where("size = item_size").select(
-        F.col("key").alias("doc_id"), "item_id", "place", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), "windows", "size", "slots", "item_slots"
-    ).distinct()
-    line = Window.partitionBy("doc_id", "item_id", "shift").orderBy("place")
+        "row", F.col("key").alias("doc_id"), "item_row", "item_id", "place", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), "windows", "size", "slots", "item_slots"
+    )
+    line = Window.partitionBy("row", "item_row", "shift").orderBy("place")
     fresh = F.coalesce(F.col("place") - F.lag("place").over(line) > 1, F.lit(True)).cast("int")
     runs = pairs.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(line))
     slots = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: (x["i"] != "") & (x["d"] != ""))
-    per_run = runs.groupBy("doc_id", "item_id", "shift", "run", "windows", "size").agg(
+    per_run = runs.groupBy("row", "doc_id", "item_row", "item_id", "shift", "run", "windows", "size").agg(
         F.count(F.lit(1)).alias("n"), F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("pairs")
     )  # a run is no longer than its item
     agree = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
     judged = per_run.withColumn("agree", agree)
     good = F.when(F.col("agree"), F.col("places"))
-    by_item = judged.groupBy("doc_id", "item_id").agg(
+    by_item = judged.groupBy("row", "doc_id", "item_row", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set(good)))).cast("long").alias("matched"), F.max("windows").cast("long").alias("windows"),
         F.coalesce(F.max(F.when(F.col("agree"), F.col("n") + F.col("size") - 1)), F.lit(0)).cast("long").alias("run_words"), F.min("agree").alias("slots_agree"),
     )
     share = by_item.withColumn("coverage", F.col("matched") / F.col("windows"))
-    return share.where((F.col("coverage") >= coverage) | (F.col("run_words") >= run_words)).select(
-        "doc_id", "item_id", "matched", "windows", "coverage", "run_words", "slots_agree"
-    )
+    found = share.where((F.col("coverage") >= coverage) | (F.col("run_words") >= run_words))
+    told = ("coverage", "matched", "windows", "run_words", "slots_agree")
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct(*told)).alias("best")).select("doc_id", "item_id", *(f"best.{c}" for c in told))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

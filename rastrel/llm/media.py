@@ -148,10 +148,12 @@ def parse(data: bytes) -> Picture:
         if data[at] != 0xFF:
             raise ValueError("a marker is missing")
         marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
-        if marker == 0xFF:
+        if marker == 0xFF:  # a marker may have more than one FF before it
             at += 1
             continue
         body = data[at + 4 : at + 2 + size]
+        if len(body) < size - 2:
+            raise ValueError("cut short")
         at += 2 + size
         if marker == 0xFE:
             found.comment = body

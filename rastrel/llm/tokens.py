@@ -19,9 +19,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 _UNCUT = re.compile(" (?=[\\s\u180e\u200b\ufeff]|\\Z)")
 _CUT = re.compile(" (?=[^\\s\u180e\u200b\ufeff])")
 #: Longer pieces are not kept, and no more than so many, at about 200 bytes each; others are encoded again.
-_LONG, _KEPT = 48, 1_000_000
+_LONG, _KEPT = 48, 1_500_000
+#: How byte-level vocabularies write the bytes that are not printable in Latin-1, in order.
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: Texts are taken together, and long ones in parts, of about so many characters.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 21
 
 
 class Encoder:
@@ -47,12 +49,17 @@ class Encoder:
         return [array("I", made.ids).tobytes() for made in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _stems(self, stems: list[str]) -> list[bytes]:
-        """The ids of stems, after a blank where the vocabulary keeps it. ASCII letters alone (lower-case ones, where
-        the vocabulary lowers) are one word in every way, and go to the library's merges directly."""
+        """The ids of stems, after a blank where the vocabulary keeps it. Letters of Latin-1 alone are one composed word,
+        and go to the library's merges directly, in the letters that stand for their bytes."""
         before, merge = "\u0120" if self.blanks else "", self.tokenizer.model.tokenize
-        plain = [s.isascii() and s.isalpha() for s in stems]
+        plain = [s.isalpha() and (s.isascii() or max(s) < "\u0100") for s in stems]
         others = iter(self._ids([" " + s if self.blanks else s for s, p in zip(stems, plain) if not p]))
-        return [array("I", [t.id for t in merge(before + s)]).tobytes() if p else next(others) for s, p in zip(stems, plain)]
+        out = []
+        for s, p in zip(stems, plain):
+            if p and not s.isascii():
+                s = (s if self.blanks else s.lower()).encode().decode("latin-1").translate(_BYTE_LETTERS)
+            out.append(array("I", [t.id for t in merge(before + s)]).tobytes() if p else next(others))
+        return out
 
     def _learned(self, new: list[str]) -> list[bytes]:
         """The ids of new pieces, by their stems: a mark after an ASCII letter is an id of its own."""
