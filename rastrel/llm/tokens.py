@@ -11,6 +11,9 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -23,7 +26,7 @@ _LONG, _KEPT = 48, 1_500_000
 #: How byte-level vocabularies write the bytes that are not printable in Latin-1, in order.
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: Texts are taken together, and long ones in parts, of about so many characters.
-_BLOCK = 1 << 21
+_BLOCK = 1 << 22
 
 
 class Encoder:
@@ -40,11 +43,6 @@ class Encoder:
         self.kept: dict[str, bytes] = {}
         self.marks = {"": b""} | dict(zip(".,!?;:", self._ids(list(".,!?;:"))))
 
-    def _pieces(self, text: str) -> list[str]:
-        if not self.blanks:
-            return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-        return text.split(" ") if _UNCUT.search(text) is None else _CUT.split(text)
-
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", made.ids).tobytes() for made in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -79,18 +77,48 @@ class Encoder:
             kept.update((s, ids) for s, ids in zip(fresh, made) if len(s) <= _LONG)
         return [own[s] + mark for s, mark in zip(stems, marks)]
 
-    def _block(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; together they are not long. The first piece of a text has no blank before it."""
-        cut = [self._pieces(t) for t in texts]
-        firsts = self._ids([p.pop(0) for p in cut]) if self.blanks else [b""] * len(cut)
-        pieces = set().union(*cut)
-        ids = dict(zip(pieces, map(self.kept.get, pieces)))  # small, so that it stays near the processor
-        if new := [p for p, found in ids.items() if found is None]:
-            made = self._learned(new)
-            ids.update(zip(new, made))
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces."""
+        found = list(map(self.kept.get, pieces))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if new:
+            made = self._learned([pieces[k] for k in new])
+            for k, ids in zip(new, made):
+                found[k] = ids
             if len(self.kept) < _KEPT:
-                self.kept.update((p, x) for p, x in zip(new, made) if len(p) <= _LONG)
-        return [f + b"".join(map(ids.__getitem__, p)) for f, p in zip(firsts, cut)]
+                self.kept.update((pieces[k], ids) for k, ids in zip(new, made) if len(pieces[k]) <= _LONG)
+        return found  # type: ignore[return-value]
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; together they are not long."""
+        if not self.blanks:
+            lower = pa.array([t.lower() if t.isascii() else t for t in texts], pa.string())
+            return self._laid(pc.split_pattern(pc.replace_substring(lower, "\n", " "), " "))
+        odd = [_UNCUT.search(t) is not None for t in texts]
+        plain = iter(self._laid(pc.split_pattern(pa.array([t for t, o in zip(texts, odd) if not o], pa.string()), " ")))
+        others = iter(self._laid(pa.array([_CUT.split(t) for t, o in zip(texts, odd) if o], pa.list_(pa.string()))))
+        return [next(others if o else plain) for o in odd]
+
+    def _laid(self, cut: pa.ListArray) -> list[bytes]:
+        """Ids of texts that are cut into pieces. Arrow numbers the pieces, so that Python sees each different one once,
+        and NumPy lays out the ids. The first piece of a text has no blank before it."""
+        if not len(cut):
+            return []
+        coded = cut.flatten().dictionary_encode()
+        at, edges, pieces = coded.indices.to_numpy(), cut.offsets.to_numpy(), coded.dictionary.to_pylist()
+        ids = self._known(pieces)
+        if self.blanks:
+            first = edges[:-1]
+            ids = ids + self._ids([pieces[k] for k in at[first].tolist()])
+            at = at.copy()
+            at[first] = len(pieces) + np.arange(len(cut))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        count = size[at]
+        ends = np.cumsum(count)
+        flat = table[np.repeat(start[at] - (ends - count), count) + np.arange(int(count.sum()))].tobytes()
+        edge = [0, *(4 * ends[edges[1:] - 1]).tolist()]
+        return [flat[a:b] for a, b in zip(edge, edge[1:])]
 
     def _parts(self, text: str) -> Iterator[str]:
         """Parts of a text, cut where it can be; a part but the first begins with its blank."""
