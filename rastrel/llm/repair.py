@@ -27,9 +27,15 @@ MAGIC = b"RPG1"
 HEADER = struct.Struct("<4sIQQIIB")  # magic, documents, tokens, codes, rules, base, width
 #: Tokens of a shard at most, but for a longer document, which is a shard of its own.
 SHARD_TOKENS = 1 << 20
-ROUNDS = 6
+ROUNDS = 4
 #: A pair is replaced if it occurs so often at least: a rule costs 12 bytes.
 LEAST = 8
+#: Of the table that a round's pairs are looked up in.
+SLOTS = 1 << 16
+
+
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
 
 
 def _compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,19 +51,23 @@ def _compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS
         kinds, counts = kinds[good], counts[good]
         if not kinds.size:
             break
-        best = np.sort(kinds[np.argsort(-counts, kind="stable")[: min(room, max(256, (1 << 16) // 12))]])
-        at = np.minimum(np.searchsorted(best, pairs), best.size - 1)
-        hit = best[at] == pairs
-        where = np.flatnonzero(hit)
+        best = kinds[np.argsort(-counts, kind="stable")[: min(room, SLOTS // 12)]]
+        slot = _slot(best)
+        _, first = np.unique(slot, return_index=True)  # of pairs that share a slot, the most frequent
+        table = np.full(SLOTS, -1, np.int64)
+        table[slot[first]] = best[first]
+        at = _slot(pairs)
+        where = np.flatnonzero((table[at] == pairs) & (pairs >= 0))
         # of overlapping places in a run, the first, third and so on
         fresh = np.r_[True, np.diff(where) > 1]
         run_start = np.maximum.accumulate(np.where(fresh, np.arange(where.size), 0))
         where = where[(np.arange(where.size) - run_start) % 2 == 0]
-        used, rule = np.unique(at[where], return_inverse=True)
-        start = base + sum(map(len, rules))
-        rules.append(best[used])
-        room -= used.size
-        codes[where] = start + rule
+        used = np.zeros(SLOTS, bool)
+        used[at[where]] = True
+        number = np.cumsum(used) - 1 + base + sum(map(len, rules))
+        rules.append(table[used])
+        room -= rules[-1].size
+        codes[where] = number[at[where]]
         ends[where] = ends[where + 1]
         keep = np.ones(codes.size, bool)
         keep[where + 1] = False
