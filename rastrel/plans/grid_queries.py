@@ -477,14 +477,14 @@ def vector_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TIMES = """times AS (SELECT event_type AS label, user_id % 7 AS part, value AS ms FROM events)"""
 
 
-@query(f"""WITH {_TIMES}, s AS (SELECT label, part, count(*) AS runs, sum(ms) AS ms FROM times GROUP BY ALL) SELECT label, CAST(part AS INT) AS part, runs, {r("ms / 1000", "sec", 4)},
+@query(f"""WITH {_TIMES}, s AS (SELECT label, part, count(*) AS runs, sum(ms) AS ms FROM times GROUP BY ALL) SELECT label, CAST(part AS INT) AS part, runs, {r("ms / 1000", "sec", 6)},
   {r("100 * ms / sum(ms) OVER (PARTITION BY label)", "percent", 3)}, {r("1000 * runs / ms", "rate", 2)} FROM s WHERE ms > 0""")
 def timer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timings by label and part: how often, seconds, the share of the label's whole, and runs a second."""
     df = rasters.table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), (F.col("user_id") % 7).cast("int").alias("part"), F.col("value").alias("ms"))
     sums = df.groupBy("label", "part").agg(F.count(F.lit(1)).alias("runs"), F.sum("ms").alias("ms"))
     share = 100 * F.col("ms") / F.sum("ms").over(Window.partitionBy("label"))
-    return sums.withColumn("share", share).where("ms > 0").select("label", "part", "runs", rounded(F.col("ms") / 1000, 4).alias("sec"), rounded("share", 3).alias("percent"), rounded(1000 * F.col("runs") / F.col("ms"), 2).alias("rate"))
+    return sums.withColumn("share", share).where("ms > 0").select("label", "part", "runs", rounded(F.col("ms") / 1000, 6).alias("sec"), rounded("share", 3).alias("percent"), rounded(1000 * F.col("runs") / F.col("ms"), 2).alias("rate"))
 
 
 @query(f"""WITH {EVT} SELECT image_id, {r("sum(CASE WHEN v > 20 THEN 1 ELSE 0 END) / count(*)", "done")} FROM evt GROUP BY 1""")
