@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -25,8 +26,9 @@ COVERAGE, RUN_WORDS = 0.8, 13
 #: Slots of the filter that documents are held against before the join; bounded, whatever the benchmark's size.
 FILTER_BITS = 22
 _SEED = 7
-_KEPT = 500_000
-_BLOCK = 1 << 20
+#: Words kept at most; about 150 bytes each.
+_KEPT = 1_500_000
+_BLOCK = 1 << 21
 
 # Units in lower case. Those that are also common words are left out.
 UNITS = frozenset(
@@ -38,7 +40,6 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 _TRIM = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
-_CUT = re.compile(r"\s")
 LITERAL, NUMBER, UNIT, NAME = range(4)
 
 
@@ -52,14 +53,39 @@ _TYPED = {NUMBER: _code("<number>"), UNIT: _code("<unit>"), NAME: _code("<name>"
 class Template:
     """Template codes of words, remembered by word in a bounded table."""
 
+    #: Of a word at the start of a sentence and inside one: its code and type; and whether it ends a sentence.
+    KIND = np.dtype([("start", np.uint64), ("start_kind", np.int8), ("inside", np.uint64), ("kind", np.int8), ("ends", bool)])
+
     def __init__(self) -> None:
-        self.kept: dict[str, tuple[int, int, int, int, bool]] = {}
+        self.kept: dict[str, int] = {}
+        self.table = np.empty(1 << 16, self.KIND)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The places of different words in the table; new ones are added."""
+        if len(self.kept) > _KEPT:
+            self.kept.clear()
+        new = [w for w in words if w not in self.kept]
+        at, end = len(self.kept), len(self.kept) + len(new)
+        if end > len(self.table):
+            self.table = np.concatenate([self.table[:at], np.empty(2 * end - at, self.KIND)])
+        if new:
+            self.table[at:end] = np.array([self._word(w) for w in new], self.KIND)
+            self.kept.update(zip(new, range(at, end)))
+        return np.fromiter(map(self.kept.__getitem__, words), np.int64, len(words))
 
     def _word(self, word: str) -> tuple[int, int, int, int, bool]:
         """(code, type) at the start of a sentence, (code, type) inside one, and whether the word ends a sentence.
 
-        A word without letters or digits has code 0 and is passed over.
+        A word without letters or digits has code 0 and is passed over. Words stand between white space.
         """
+        bare = word.strip(".,;:!?\"'()[]")
+        if bare.isalpha():  # most words
+            ends = not word[-1].isalpha() and word.rstrip("\"')]")[-1:] in (".", "!", "?", ":")
+            low = bare.lower()
+            if low in UNITS:
+                return _TYPED[UNIT], UNIT, _TYPED[UNIT], UNIT, ends
+            code = _code(low)
+            return (code, LITERAL, _TYPED[NAME], NAME, ends) if bare[0].isupper() and not bare.isupper() else (code, LITERAL, code, LITERAL, ends)
         bare = _TRIM.sub("", word)
         ends = word.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":")
         if not any(c.isalnum() for c in bare):
@@ -74,22 +100,37 @@ class Template:
             return (code, LITERAL, _TYPED[NAME], NAME, ends) if bare[0].isupper() and not bare.isupper() else (code, LITERAL, code, LITERAL, ends)
         return _TYPED[kind], kind, _TYPED[kind], kind, ends
 
+    def many(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], np.ndarray]]:
+        """(codes, types, dictionary, words) of each text, the words by number in the dictionary. Arrow splits the texts
+        and numbers their words, so that each different one is looked at once."""
+        cut = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.string()))
+        coded = cut.flatten().dictionary_encode()
+        at, edges, words = coded.indices.to_numpy(), cut.offsets.to_numpy(), coded.dictionary.to_pylist()
+        numbers = self._numbers(words)  # may make the table anew
+        table = self.table[numbers]
+        start, start_kind, inside, kind, ends = (np.ascontiguousarray(table[c]) for c in self.KIND.names)
+        for a, b in zip(edges.tolist(), edges[1:].tolist()):
+            own = at[a:b]
+            own = own[inside[own] != 0]
+            first = np.empty(own.size, bool)
+            first[:1], first[1:] = True, ends[own[:-1]]
+            yield np.where(first, start[own], inside[own]), np.where(first, start_kind[own], kind[own]), words, own
+
+    def blocks(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], np.ndarray]]:
+        """many() over texts that together are about a block long, in turn."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < _BLOCK:
+                size += len(texts[end] or "")
+                end += 1
+            yield from self.many(texts[at:end])
+            at = end
+
     def words(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(codes, types, words) of a text, in order."""
-        words = (text or "").split()
-        if not words:
-            return np.empty(0, np.uint64), np.empty(0, np.int8), []
-        kept = self.kept
-        if len(kept) > _KEPT:
-            kept.clear()
-        for w in set(words).difference(kept):
-            kept[w] = self._word(w)
-        table = list(map(kept.__getitem__, words))
-        start, start_kind, inside, kind, ends = (np.array(c, d) for c, d in zip(zip(*table), (np.uint64, np.int8, np.uint64, np.int8, bool)))
-        first = np.r_[True, ends[:-1]]
-        codes, kinds = np.where(first, start, inside), np.where(first, start_kind, kind)
-        seen = codes != 0
-        return codes[seen], kinds[seen], [w for w, s in zip(words, seen.tolist()) if s]
+        codes, kinds, words, own = next(self.many([text]))
+        return codes, kinds, [words[k] for k in own.tolist()]
 
 
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
@@ -106,14 +147,14 @@ def windows(codes: np.ndarray, size: int) -> np.ndarray:
 _SCHEMA = "row long, key long, place int, hash long, slots array<string>, length int, size int"
 
 
-def _found(template: Template, text: str | None, sizes: list[int], whole: bool, slots: np.ndarray | None) -> Iterator[tuple[int, int, list[str], int, int]]:
+def _found(found: tuple[np.ndarray, np.ndarray, list[str], np.ndarray], sizes: list[int], whole: bool, slots: np.ndarray | None) -> Iterator[tuple[int, int, list[str], int, int]]:
     """(place, hash, slot values, words of the text, window size) of windows; of those that may be in the benchmark."""
-    codes, kinds, words = template.words(text)
+    codes, kinds, words, own = found
     for size in [min(WORDS, codes.size)] if whole else sizes:
         hashes = windows(codes, size) if size else np.empty(0, np.uint64)
         at = np.arange(hashes.size) if slots is None else np.flatnonzero(slots[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         for i, h in zip(at.tolist(), hashes[at].astype(np.int64).tolist()):
-            values = [_TRIM.sub("", words[i + k]).lower() if kinds[i + k] else "" for k in range(size)]
+            values = [_TRIM.sub("", words[own[i + k]]).lower() if kinds[i + k] else "" for k in range(size)]
             yield i, h, values, codes.size, size
 
 
@@ -130,9 +171,9 @@ def template_windows(rows: DataFrame, key: str, sizes: list[int], whole: bool =
         template, rows, number = Template(), [], TaskContext.get().partitionId() << 40
         held = None if packed is None else np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, found in zip(batch.column(0).to_pylist(), template.blocks(batch.column(1).to_pylist())):
                 number += 1
-                for row in _found(template, t, sizes, whole, held):
+                for row in _found(found, sizes, whole, held):
                     rows.append((number, k, *row))
                     if len(rows) == 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
