@@ -35,36 +35,41 @@ SLOTS = 1 << 16
 
 
 def _slot(pairs: np.ndarray) -> np.ndarray:
-    return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
+    if pairs.dtype == np.uint32:
+        return (pairs * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.intp)
+    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.intp)
 
 
 def _compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, document end of each code, rules) of ids; ends marks the last id of each document."""
-    codes, rules, room = ids.astype(np.int64), [], max(0, (1 << 16) - base) or (1 << 31)
+    short = base < 1 << 16  # then symbols stay within 16 bits, and a pair within 32
+    half, kind = (16, np.uint32) if short else (32, np.uint64)
+    none = kind((1 << 2 * half) - 1)
+    codes, rules, room = ids.astype(kind), [], (1 << 16) - 1 - base if short else 1 << 31
     for _ in range(rounds):
-        if codes.size < 2 or not room:
+        if codes.size < 2 or room <= 0:
             break
-        pairs = (codes[:-1] << 32) | codes[1:]
-        pairs[ends[:-1]] = -1
+        pairs = (codes[:-1] << kind(half)) | codes[1:]
+        pairs[ends[:-1]] = none
         kinds, counts = np.unique(pairs, return_counts=True)
-        good = (counts >= least) & (kinds >= 0)
+        good = (counts >= least) & (kinds != none)
         kinds, counts = kinds[good], counts[good]
         if not kinds.size:
             break
         best = kinds[np.argsort(-counts, kind="stable")[: min(room, SLOTS // 12)]]
         slot = _slot(best)
         _, first = np.unique(slot, return_index=True)  # of pairs that share a slot, the most frequent
-        table = np.full(SLOTS, -1, np.int64)
+        table = np.full(SLOTS, none)
         table[slot[first]] = best[first]
         at = _slot(pairs)
-        where = np.flatnonzero((table[at] == pairs) & (pairs >= 0))
+        where = np.flatnonzero((table[at] == pairs) & (pairs != none))
         # of overlapping places in a run, the first, third and so on
         fresh = np.r_[True, np.diff(where) > 1]
         run_start = np.maximum.accumulate(np.where(fresh, np.arange(where.size), 0))
         where = where[(np.arange(where.size) - run_start) % 2 == 0]
         used = np.zeros(SLOTS, bool)
         used[at[where]] = True
-        number = np.cumsum(used) - 1 + base + sum(map(len, rules))
+        number = (np.cumsum(used) - 1 + base + sum(map(len, rules))).astype(kind)
         rules.append(table[used])
         room -= rules[-1].size
         codes[where] = number[at[where]]
@@ -72,8 +77,8 @@ def _compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS
         keep = np.ones(codes.size, bool)
         keep[where + 1] = False
         codes, ends = codes[keep], ends[keep]
-    found = np.concatenate(rules) if rules else np.empty(0, np.int64)
-    return codes, ends, np.stack([found >> 32, found & 0xFFFFFFFF], axis=1)
+    found = np.concatenate(rules) if rules else np.empty(0, kind)
+    return codes, ends, np.stack([found >> kind(half), found & kind((1 << half) - 1)], axis=1).astype(np.int64)
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:

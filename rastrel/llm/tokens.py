@@ -81,12 +81,11 @@ class Encoder:
         """The ids of different pieces."""
         found = list(map(self.kept.get, pieces))
         new = [k for k, ids in enumerate(found) if ids is None]
-        if new:
-            made = self._learned([pieces[k] for k in new])
-            for k, ids in zip(new, made):
-                found[k] = ids
-            if len(self.kept) < _KEPT:
-                self.kept.update((pieces[k], ids) for k, ids in zip(new, made) if len(pieces[k]) <= _LONG)
+        made = self._learned([pieces[k] for k in new])
+        for k, ids in zip(new, made):
+            found[k] = ids
+        if len(self.kept) < _KEPT:
+            self.kept.update((pieces[k], ids) for k, ids in zip(new, made) if len(pieces[k]) <= _LONG)
         return found  # type: ignore[return-value]
 
     def _block(self, texts: list[str]) -> list[bytes]:
