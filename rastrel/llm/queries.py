@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rastrel.llm import decontaminate, langid, media, packing, pii, repair, secrets, sharding, simhash, urls
 from rastrel.llm.common import table
+from rastrel.llm.oracles import ORACLES
 
 
 def op1_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
