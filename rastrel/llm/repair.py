@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +28,7 @@ MAGIC = b"RPG1"
 HEADER = struct.Struct("<4sIQQIIB")  # magic, documents, tokens, codes, rules, base, width
 #: Tokens of a shard at most, but for a longer document, which is a shard of its own.
 SHARD_TOKENS = 1 << 20
-ROUNDS = 4
+ROUNDS = 3
 #: A pair is replaced if it occurs so often at least: a rule costs 12 bytes.
 LEAST = 8
 #: Of the table that a round's pairs are looked up in.
@@ -81,25 +82,34 @@ def _compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS
     return codes, ends, np.stack([found >> kind(half), found & kind((1 << half) - 1)], axis=1).astype(np.int64)
 
 
+def _expansions(rules: np.ndarray, base: int) -> list[tuple[int, ...]]:
+    """The ids that each rule stands for."""
+    out: list[tuple[int, ...]] = []
+    for a, b in rules.tolist():
+        out.append((out[a - base] if a >= base else (a,)) + (out[b - base] if b >= base else (b,)))
+    return out
+
+
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each rule stands for."""
-    out = np.ones(len(rules), np.int64)
-    for j, (a, b) in enumerate(rules.tolist()):
-        out[j] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
-    return out
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
+    return np.array(out, np.int64)
 
 
 def expand(codes: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids of codes: all nonterminals give way to their two symbols until none is left."""
-    codes = codes.astype(np.int64)
-    while (wide := codes >= base).any():
-        at = np.cumsum(1 + wide) - 1 - wide
-        out = np.empty(codes.size + int(wide.sum()), np.int64)
-        out[at[~wide]] = codes[~wide]
-        pair = rules[codes[wide] - base]
-        out[at[wide]], out[at[wide] + 1] = pair[:, 0], pair[:, 1]
-        codes = out
-    return codes
+    """The ids of codes: each takes its own from a table of all symbols' ids, laid end to end."""
+    if not codes.size:
+        return np.empty(0, np.uint32)
+    parts = _expansions(rules, base)
+    size = np.ones(base + len(parts), np.int32)
+    size[base:] = list(map(len, parts))
+    table = np.concatenate([np.arange(base, dtype=np.uint32), np.fromiter(chain.from_iterable(parts), np.uint32)])
+    count = size[codes]
+    kind = np.int32 if int(count.sum(dtype=np.int64)) < 1 << 31 else np.int64
+    start, ends = np.cumsum(size, dtype=kind) - size, np.cumsum(count, dtype=kind)
+    return table[np.repeat(start[codes] - (ends - count), count) + np.arange(ends[-1], dtype=kind)]
 
 
 def write_shard(doc_ids: list[int | None], ids: list[bytes], base: int) -> bytes:
@@ -202,7 +212,7 @@ def read_documents(table: DataFrame) -> DataFrame:
         for batch in batches:
             for part, block, payload in zip(*(batch.column(i) for i in range(3))):
                 shard = read_shard(payload.as_py())
-                data = memoryview(shard.every().astype("<u4")).cast("B")
+                data = memoryview(shard.every().astype("<u4", copy=False)).cast("B")
                 stops = np.cumsum(shard.tokens)
                 starts = stops - shard.tokens
                 n = len(shard.doc_ids)

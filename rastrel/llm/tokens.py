@@ -1,11 +1,13 @@
 """Exact token ids of whole texts by the tokenizers library, remembered by piece between blanks.
 
 Both vocabularies cut every text before a blank that precedes a visible character (or at it), whatever stands around
-it, so a text's ids are those of its pieces in turn. Pieces repeat, so their ids are kept as bytes in a bounded cache.
+it, and at a line feed between visible characters, so a text's ids are those of its pieces in turn. Pieces repeat, so
+their ids are kept as bytes in a bounded cache.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -20,7 +22,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 #: A blank before which a text cannot be cut: what follows is white space (by any version of Unicode) or nothing.
 _UNCUT = re.compile(" (?=[\\s\u180e\u200b\ufeff]|\\Z)")
+#: A line feed beside other white space, with which it may be one piece.
+_RUN = re.compile("\n(?:(?=[\\s\u180e\u200b\ufeff])|(?<=[\\s\u180e\u200b\ufeff]\n))")
 _CUT = re.compile(" (?=[^\\s\u180e\u200b\ufeff])")
+_MARKS = tuple(".,!?;:")
 #: Longer pieces are not kept, and no more than so many, at about 200 bytes each; others are encoded again.
 _LONG, _KEPT = 48, 1_500_000
 #: How byte-level vocabularies write the bytes that are not printable in Latin-1, in order.
@@ -41,7 +46,10 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.blanks = blanks
         self.kept: dict[str, bytes] = {}
-        self.marks = {"": b""} | dict(zip(".,!?;:", self._ids(list(".,!?;:"))))
+        self.first: dict[str, bytes] = {}
+        self.marks = {"": b""} | dict(zip(_MARKS, self._ids(list(_MARKS))))
+        if blanks:
+            self.marks["\n"] = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", made.ids).tobytes() for made in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -52,20 +60,29 @@ class Encoder:
         before, merge = "\u0120" if self.blanks else "", self.tokenizer.model.tokenize
         plain = [s.isalpha() and (s.isascii() or max(s) < "\u0100") for s in stems]
         others = iter(self._ids([" " + s if self.blanks else s for s, p in zip(stems, plain) if not p]))
-        out = []
+        out, collects = [], gc.isenabled()
+        gc.disable()  # the many small objects below hold no cycles
         for s, p in zip(stems, plain):
             if p and not s.isascii():
                 s = (s if self.blanks else s.lower()).encode().decode("latin-1").translate(_BYTE_LETTERS)
             out.append(array("I", [t.id for t in merge(before + s)]).tobytes() if p else next(others))
+        if collects:
+            gc.enable()
         return out
 
     def _learned(self, new: list[str]) -> list[bytes]:
-        """The ids of new pieces, by their stems: a mark after an ASCII letter is an id of its own."""
+        """The ids of new pieces, by their stems: a mark after an ASCII letter is an id of its own, and so is a line feed
+        at the start, which stands for the blank before the piece."""
         kept = self.kept
+        if self.blanks and (lines := [k for k, p in enumerate(new) if p[:1] == "\n"]):
+            made = [self.marks["\n"] + ids for ids in self._opening([new[k][1:] for k in lines])]
+            rest = iter(self._learned([p for p in new if p[:1] != "\n"]))
+            told = dict(zip(lines, made))
+            return [told[k] if k in told else next(rest) for k in range(len(new))]
         stems, marks = [], []
         for piece in new:
             mark = ""
-            if piece[-1:] in self.marks and piece[-2:-1].isascii() and piece[-2:-1].isalpha():
+            if piece[-1:] in _MARKS and piece[-2:-1].isascii() and piece[-2:-1].isalpha():
                 mark, piece = piece[-1], piece[:-1]
             stems.append(piece.lower() if not self.blanks and piece.isascii() else piece)
             marks.append(self.marks[mark])
@@ -88,13 +105,22 @@ class Encoder:
             self.kept.update((pieces[k], ids) for k, ids in zip(new, made) if len(pieces[k]) <= _LONG)
         return found  # type: ignore[return-value]
 
+    def _opening(self, pieces: list[str]) -> list[bytes]:
+        """The ids of texts' first pieces, which have no blank before them."""
+        new = list(set(pieces).difference(self.first))
+        own = dict(zip(new, self._ids(new)))
+        if len(self.first) < _KEPT // 16:
+            self.first.update((p, ids) for p, ids in own.items() if len(p) <= _LONG)
+        return [own[p] if p in own else self.first[p] for p in pieces]
+
     def _block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; together they are not long."""
         if not self.blanks:
             lower = pa.array([t.lower() if t.isascii() else t for t in texts], pa.string())
             return self._laid(pc.split_pattern(pc.replace_substring(lower, "\n", " "), " "))
-        odd = [_UNCUT.search(t) is not None for t in texts]
-        plain = iter(self._laid(pc.split_pattern(pa.array([t for t, o in zip(texts, odd) if not o], pa.string()), " ")))
+        odd = [_UNCUT.search(t) is not None or _RUN.search(t) is not None for t in texts]
+        even = pa.array([t for t, o in zip(texts, odd) if not o], pa.string())
+        plain = iter(self._laid(pc.split_pattern(pc.replace_substring(even, "\n", " \n"), " ")))
         others = iter(self._laid(pa.array([_CUT.split(t) for t, o in zip(texts, odd) if o], pa.list_(pa.string()))))
         return [next(others if o else plain) for o in odd]
 
@@ -108,15 +134,15 @@ class Encoder:
         ids = self._known(pieces)
         if self.blanks:
             first = edges[:-1]
-            ids = ids + self._ids([pieces[k] for k in at[first].tolist()])
+            ids = ids + self._opening([pieces[k] for k in at[first].tolist()])
             at = at.copy()
             at[first] = len(pieces) + np.arange(len(cut))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        table, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        table, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size, dtype=np.int32) - size
         count = size[at]
-        ends = np.cumsum(count)
-        flat = table[np.repeat(start[at] - (ends - count), count) + np.arange(int(count.sum()))].tobytes()
-        edge = [0, *(4 * ends[edges[1:] - 1]).tolist()]
+        ends = np.cumsum(count, dtype=np.int32)
+        flat = table[np.repeat(start[at] - (ends - count), count) + np.arange(ends[-1], dtype=np.int32)].tobytes()
+        edge = [0, *(4 * ends[edges[1:] - 1].astype(np.int64)).tolist()]
         return [flat[a:b] for a, b in zip(edge, edge[1:])]
 
     def _parts(self, text: str) -> Iterator[str]:

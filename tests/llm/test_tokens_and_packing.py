@@ -13,7 +13,7 @@ from tests.conftest import DATA
 from tests.llm.cases import documents, empty, odd
 
 FILES = [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)]
-PIECES = [" ", "  ", "\n", " \n", "\t", "a", "Word", "é", "é", "1", "23", "'s", "'", "!", "...", ".", ",", " ", "　", "\x1c", "́", "Σ", "ς", "İ", "<|endoftext|>", "​", "᠎", "日本", "🙂", "\r\n", "\x85", "don't", "﻿", "ſ", "K", "\x00", "T̈", " T̈.", "x" * 60, "Été", " straße", " µm", " ªº", " ÀÉÎÕÜ.", "ÿÝ", "Ǆ", " naïve,", " ñandú", " I", " À"]
+PIECES = [" the", "\nThe", ".\nA", "\n\n", " ", "  ", "\n", " \n", "\t", "a", "Word", "é", "é", "1", "23", "'s", "'", "!", "...", ".", ",", " ", "　", "\x1c", "́", "Σ", "ς", "İ", "<|endoftext|>", "​", "᠎", "日本", "🙂", "\r\n", "\x85", "don't", "﻿", "ſ", "K", "\x00", "T̈", " T̈.", "x" * 60, "Été", " straße", " µm", " ªº", " ÀÉÎÕÜ.", "ÿÝ", "Ǆ", " naïve,", " ñandú", " I", " À"]
 
 
 def reference(name):
