@@ -36,10 +36,10 @@ def ssim_similarity(n: Column, s0: Column, s1: Column, q0: Column, q1: Column, c
 SUMS = ("n", "s0", "s1", "q0", "q1", "c")
 
 
-def ssim(pairs: DataFrame, variant: str = "cpu", ssim_clamp: float = 0.0, l0: str = "v0", l1: str = "v1", weight: str | None = None) -> DataFrame:
+def ssim(pairs: DataFrame, variant: str = "cpu", ssim_clamp: float = 0.0, l0: str = "v0", l1: str = "v1", weight: str | None = None, arranged: bool = False) -> DataFrame:
     """pairs (pair_id, y, x and two lumas) with ssim by pixel."""
     score = ssim_cost if variant == "cpu" else ssim_similarity
-    return moments(pairs, keys=("pair_id",), l0=l0, l1=l1, weight=weight).withColumn("ssim", score(*map(F.col, SUMS), ssim_clamp=ssim_clamp)).drop(*SUMS)
+    return moments(pairs, keys=("pair_id",), l0=l0, l1=l1, weight=weight, arranged=arranged).withColumn("ssim", score(*map(F.col, SUMS), ssim_clamp=ssim_clamp)).drop(*SUMS)
 
 
 def total_energy(terms: DataFrame, w_ui: float = 100.0, w_ssim: float = 1.0, w_tps: float = 0.001) -> DataFrame:
@@ -74,7 +74,7 @@ def _hits(p: tuple[Column, Column], d: tuple[Column, Column], turned: Column) ->
     return F.zip_with("ring", turned, lambda a, b: segment_hit(p, d, (a["px"], a["py"]), (b["px"], b["py"])))
 
 
-def foldover_limit(field: DataFrame, gx: Column, gy: Column, eps: float = 0.01, variant: str = "cpu") -> DataFrame:
+def foldover_limit(field: DataFrame, gx: Column, gy: Column, eps: float = 0.01, variant: str = "cpu", arranged: bool = False) -> DataFrame:
     """field (pair_id, y, x, vx, vy) with limit: how far a pixel may go along the direction before it crosses its ring.
 
     In image 0 the pixel is at q - v and goes along -g, in image 1 at q + v and along g. The smallest hit of both, less
@@ -83,7 +83,8 @@ def foldover_limit(field: DataFrame, gx: Column, gy: Column, eps: float = 0.01,
     wide = field.withColumns({"__gx": gx, "__gy": gy})
     nearest = []
     for sign in (-1, 1):
-        wide = one_ring(wide, sign)
+        wide = one_ring(wide, sign, arranged=arranged)
+        arranged = True
         p = (F.col("x") + sign * F.col("vx"), F.col("y") + sign * F.col("vy"))
         d = (sign * F.col("__gx"), sign * F.col("__gy"))
         turned = F.concat(F.slice("ring", 2, len(RING) - 1), F.slice("ring", 1, 1))

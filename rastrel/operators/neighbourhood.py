@@ -17,23 +17,24 @@ def _column(keys: tuple[str, ...]) -> WindowSpec:
     return Window.partitionBy(*keys, "x").orderBy("y")
 
 
-def by_image(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """One exchange serves the windows of both axes, whose partitions are parts of an image."""
-    return df.repartition(*keys)
+def by_image(df: DataFrame, keys: tuple[str, ...] = KEYS, arranged: bool = False) -> DataFrame:
+    """One exchange serves the windows of both axes, whose partitions are parts of an image; none is needed where the
+    images' pixels are together already."""
+    return df if arranged else df.repartition(*keys)
 
 
-def box(df: DataFrame, sums: dict[str, Column], radius: int = 2, keys: tuple[str, ...] = KEYS, how=F.sum) -> DataFrame:
+def box(df: DataFrame, sums: dict[str, Column], radius: int = 2, keys: tuple[str, ...] = KEYS, how=F.sum, arranged: bool = False) -> DataFrame:
     """df with each expression summed (or otherwise combined) over the square of the radius, clipped at the border."""
     row, column = _row(keys).rangeBetween(-radius, radius), _column(keys).rangeBetween(-radius, radius)
-    wide = by_image(df, keys).withColumns({f"__{n}": e for n, e in sums.items()})
+    wide = by_image(df, keys, arranged).withColumns({f"__{n}": e for n, e in sums.items()})
     wide = wide.withColumns({f"__{n}": how(f"__{n}").over(row) for n in sums})
     return wide.withColumns({n: how(f"__{n}").over(column) for n in sums}).drop(*(f"__{n}" for n in sums))
 
 
-def moments(df: DataFrame, radius: int = 2, keys: tuple[str, ...] = ("pair_id",), l0: str = "l0", l1: str = "l1", weight: str | None = None) -> DataFrame:
+def moments(df: DataFrame, radius: int = 2, keys: tuple[str, ...] = ("pair_id",), l0: str = "l0", l1: str = "l1", weight: str | None = None, arranged: bool = False) -> DataFrame:
     """n, s0, s1, q0, q1 and c: weighted sums over the square of 1, both images, their squares and their product."""
     a, b, m = F.col(l0), F.col(l1), F.col(weight) if weight else F.lit(1.0)
-    return box(df, {"n": m, "s0": m * a, "s1": m * b, "q0": m * a * a, "q1": m * b * b, "c": m * a * b}, radius, keys)
+    return box(df, {"n": m, "s0": m * a, "s1": m * b, "q0": m * a * a, "q1": m * b * b, "c": m * a * b}, radius, keys, arranged=arranged)
 
 
 def neighbour_count(df: DataFrame, radius: int = 2, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -45,10 +46,10 @@ def any_flag(df: DataFrame, flag: str, name: str, radius: int = 2, keys: tuple[s
     return box(df, {name: F.col(flag).cast("boolean")}, radius, keys, F.max)
 
 
-def neighbours(df: DataFrame, wanted: dict[str, tuple[str, int, int]], keys: tuple[str, ...] = KEYS) -> DataFrame:
+def neighbours(df: DataFrame, wanted: dict[str, tuple[str, int, int]], keys: tuple[str, ...] = KEYS, arranged: bool = False) -> DataFrame:
     """df with columns name: the value of (column, dy, dx) at the pixel dy below and dx to the right; null outside."""
     along = {f"__{c}_{dx}".replace("-", "m"): (c, dx) for c, _, dx in wanted.values()}
-    wide = by_image(df, keys).withColumns({n: F.lead(c, dx).over(_row(keys)) if dx else F.col(c) for n, (c, dx) in along.items()})
+    wide = by_image(df, keys, arranged).withColumns({n: F.lead(c, dx).over(_row(keys)) if dx else F.col(c) for n, (c, dx) in along.items()})
     found = {}
     for name, (c, dy, dx) in wanted.items():
         source = f"__{c}_{dx}".replace("-", "m")
@@ -71,10 +72,10 @@ def gather(df: DataFrame, value: str = "v", radius: int = 2, keys: tuple[str, ..
 RING = ((-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1))
 
 
-def one_ring(df: DataFrame, sign: int, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+def one_ring(df: DataFrame, sign: int, keys: tuple[str, ...] = ("pair_id",), arranged: bool = False) -> DataFrame:
     """df with ring: displaced places (px, py) of the eight neighbours, q' + sign v(q'); a missing one moves as q does."""
     wanted = {f"__{c}{k}": (c, dy, dx) for k, (dy, dx) in enumerate(RING) for c in ("vx", "vy")}
-    wide = neighbours(df, wanted, keys)
+    wide = neighbours(df, wanted, keys, arranged)
     places = [
         F.struct(
             (F.col("x") + dx + sign * F.coalesce(f"__vx{k}", F.col("vx"))).alias("px"), (F.col("y") + dy + sign * F.coalesce(f"__vy{k}", F.col("vy"))).alias("py")
@@ -151,10 +152,10 @@ def thin_plate_scatter(df: DataFrame, height: int, width: int, step: str = "v",
     return target.groupBy(*keys, "y", "x").agg(F.sum("b").alias("b"))
 
 
-def derivatives(df: DataFrame, value: str = "v", keys: tuple[str, ...] = KEYS) -> DataFrame:
+def derivatives(df: DataFrame, value: str = "v", keys: tuple[str, ...] = KEYS, arranged: bool = False) -> DataFrame:
     """df with central differences dx, dy, dxx, dxy and dyy; a neighbour outside is the pixel itself or its own row's or column's."""
     wanted = {f"__{dy}{dx}".replace("-", "m"): (value, dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx}
-    wide = neighbours(df, wanted, keys)
+    wide = neighbours(df, wanted, keys, arranged)
     here = F.col(value)
 
     def raw(dy: int, dx: int) -> Column:

@@ -66,13 +66,13 @@ def coarse_solve(pairs: DataFrame, points: list[tuple[float, float, float, float
     return pairs.select("pair_id").distinct().mapInPandas(run, "pair_id long, y int, x int, vx double, vy double")
 
 
-def jacobian_average(field: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def jacobian_average(field: DataFrame, keys: tuple[str, ...] = KEYS, arranged: bool = False) -> DataFrame:
     """field with tax, tay, tbx, tby: columns of the mean Jacobian of both warps, by direction and by geometric length.
 
     Differences are backward, and forward in the first column and row. A column of length zero gives zeros.
     """
     wanted = {f"__{c}_{n}": (c, dy, dx) for c in ("vx", "vy") for n, dy, dx in (("l", 0, -1), ("r", 0, 1), ("u", -1, 0), ("d", 1, 0))}
-    wide = neighbours(field, wanted, keys)
+    wide = neighbours(field, wanted, keys, arranged)
 
     def slope(c: str, low: str, high: str) -> Column:
         here = F.col(c)
@@ -105,7 +105,7 @@ def path_system(averaged: DataFrame, height: int, width: int, keys: tuple[str, .
     cells = [F.struct(row.alias("col"), (count + pull).alias("value"))] + [F.when(there, F.struct((row + step).alias("col"), F.lit(-1.0).alias("value"))) for there, step in sides]
     matrix = averaged.select(*keys, row.alias("row"), F.explode(F.array_compact(F.array(*cells))).alias("c")).select(*keys, "row", "c.col", "c.value")
     wanted = {"__ax": ("tax", 0, 1), "__ay": ("tay", 0, 1), "__bx": ("tbx", 1, 0), "__by": ("tby", 1, 0)}
-    wide = neighbours(averaged, wanted, keys)
+    wide = neighbours(averaged, wanted, keys, arranged=True)
 
     def side(c: str, own: str, unit: tuple[float, float]) -> Column:
         low_x, low_y = F.when(x > 0, F.col(f"ta{c}") - unit[0]).otherwise(0.0), F.when(y > 0, F.col(f"tb{c}") - unit[1]).otherwise(0.0)

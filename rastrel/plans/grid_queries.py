@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ def _field(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EMB} SELECT image_id, y, x, CAST(n AS INT) AS n, {r('s / n', 'mean')}, {r('q / n - (s / n) * (s / n)', 'var', 4)} FROM ({boxes('emb', 'image_id', {'n': '1', 's': 'b.v', 'q': 'b.v * b.v'})})")
 def box_moments_5x5(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v")
-    df = neighbourhood.box(rasters.embedding_images(spark, sf_dir), {"n": F.lit(1), "s": v, "q": v * v})
+    df = neighbourhood.box(rasters.embedding_images(spark, sf_dir), {"n": F.lit(1), "s": v, "q": v * v}, arranged=True)
     mean = F.col("s") / F.col("n")
     return df.select(*KEYS, F.col("n").cast("int").alias("n"), rounded(mean).alias("mean"), rounded(F.col("q") / F.col("n") - mean * mean, 4).alias("var"))
 
@@ -61,7 +62,7 @@ def gather_5x5(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT a.pair_id, a.y, a.x, {r("sum((k + 1) * (a.x + dx + coalesce(b.vx, a.vx)))", "sx")}, {r("sum((k + 1) * (a.y + dy + coalesce(b.vy, a.vy)))", "sy")}
   FROM f a CROSS JOIN o LEFT JOIN f b ON a.pair_id = b.pair_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL""")
 def one_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = neighbourhood.one_ring(_field(spark, sf_dir), 1)
+    df = neighbourhood.one_ring(_field(spark, sf_dir), 1, arranged=True)
     total = lambda c: F.aggregate(F.transform("ring", lambda e, i: (i + 1) * e[c]), F.lit(0.0), lambda s, e: s + e)
     return df.select(*PAIR, rounded(total("px")).alias("sx"), rounded(total("py")).alias("sy"))
 
@@ -98,20 +99,20 @@ def io_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PAIRS}, m AS ({boxes("pairs", "pair_id", SUMS)}), s AS (SELECT *, greatest((q0 - s0 * s0 / n) / n, 0) AS a, greatest((q1 - s1 * s1 / n) / n, 0) AS b, (c - s0 * s1 / n) / n AS k FROM m)
   SELECT pair_id, y, x, {r("least(greatest(1 - (2 * sqrt(a) * sqrt(b) + 58.5225) / (a + b + 58.5225) * (abs(k) + 29.26125) / (sqrt(a) * sqrt(b) + 29.26125), 0), 1)", "ssim")} FROM s""")
 def ssim_cost_cpu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return told(energy.ssim(_pairs(spark, sf_dir)), PAIR, ssim="ssim")
+    return told(energy.ssim(_pairs(spark, sf_dir), arranged=True), PAIR, ssim="ssim")
 
 
 @query(f"""WITH {PAIRS}, m AS ({boxes("pairs", "pair_id", SUMS)}), s AS (SELECT *, greatest((q0 - s0 * s0 / n) / n, 0) AS a, greatest((q1 - s1 * s1 / n) / n, 0) AS b, (c - s0 * s1 / n) / n AS k FROM m)
   SELECT pair_id, y, x, {r("least(greatest((2 * k + 58.5225) / (a + b + 58.5225), 0.25), 1)", "ssim")} FROM s""")
 def ssim_similarity_gpu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return told(energy.ssim(_pairs(spark, sf_dir), "gpu", 0.25), PAIR, ssim="ssim")
+    return told(energy.ssim(_pairs(spark, sf_dir), "gpu", 0.25, arranged=True), PAIR, ssim="ssim")
 
 
 @query(f"""WITH {PAIRS}, m AS ({boxes("pairs", "pair_id", SUMS)}), s AS (SELECT *, greatest((q0 - s0 * s0 / n) / n, 0) AS a, greatest((q1 - s1 * s1 / n) / n, 0) AS b, (c - s0 * s1 / n) / n AS k FROM m)
   SELECT pair_id, {r("avg(least(greatest(1 - (2 * sqrt(a) * sqrt(b) + 58.5225) / (a + b + 58.5225) * (abs(k) + 29.26125) / (sqrt(a) * sqrt(b) + 29.26125), 0), 1))", "cost")} FROM s GROUP BY 1""")
 def pair_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The energy of a zero field: similarity alone, as a mean over each pair."""
-    terms = energy.ssim(_pairs(spark, sf_dir)).withColumns({"ui": F.lit(0.0), "tps": F.lit(0.0)})
+    terms = energy.ssim(_pairs(spark, sf_dir), arranged=True).withColumns({"ui": F.lit(0.0), "tps": F.lit(0.0)})
     return energy.total_energy(terms).select("pair_id", rounded("energy").alias("cost"))
 
 
@@ -134,7 +135,7 @@ _RING = "(VALUES " + ", ".join(f"({k}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for k, (
   d AS (SELECT *, gx * (ry - qy) - gy * (rx - qx) AS det FROM e), t AS (SELECT *, ((qx - px) * (ry - qy) - (qy - py) * (rx - qx)) / nullif(det, 0) AS t, ((qx - px) * gy - (qy - py) * gx) / nullif(det, 0) AS u FROM d)
   SELECT pair_id, y, x, {r("coalesce(greatest(min(CASE WHEN u BETWEEN 0 AND 1 AND t >= 0 THEN t END) - 0.01, 0), 1)", "lim")} FROM t GROUP BY ALL""")
 def foldover_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return told(energy.foldover_limit(_field(spark, sf_dir), F.lit(0.6), F.lit(0.8)), PAIR, lim="limit")
+    return told(energy.foldover_limit(_field(spark, sf_dir), F.lit(0.6), F.lit(0.8), arranged=True), PAIR, lim="limit")
 
 
 # samplers
@@ -232,8 +233,8 @@ def downsample_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kernel_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kernel of the catalogue at sixteenths."""
     at = spark.range(-72, 73).select(F.col("id").cast("int").alias("i"))
-    cells = F.explode(F.array(*(F.struct(F.lit(n).alias("kernel"), rounded(k.value(F.col("i") / 16.0)).alias("v")) for n, k in sorted(KERNELS.items()))))
-    return at.select("i", cells.alias("c")).select("c.kernel", "i", "c.v")
+    parts = [at.select(F.lit(n).alias("kernel"), "i", rounded(k.value(F.col("i") / 16.0)).alias("v")) for n, k in sorted(KERNELS.items())]
+    return reduce(DataFrame.union, parts)  # a stage for each kernel: all in one are too much code for a stage
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k}, {round(w, 9)!r}::DOUBLE)" for n in filters.NAMES for k, w in filters.taps(n)) + ") AS t(filter, place, weight)")
@@ -319,7 +320,7 @@ _SLOPES = f"""WITH {PAIRS}, f AS (SELECT pair_id, y, x, {FIELD} FROM pairs), g A
 
 @query(f"{_SLOPES} SELECT pair_id, y, x, {r('tax', 'tax', 4)}, {r('tay', 'tay', 4)}, {r('tbx', 'tbx', 4)}, {r('tby', 'tby', 4)} FROM j")
 def jacobian_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return told(solvers.jacobian_average(_field(spark, sf_dir)), PAIR, 4, tax="tax", tay="tay", tbx="tbx", tby="tby")
+    return told(solvers.jacobian_average(_field(spark, sf_dir), arranged=True), PAIR, 4, tax="tax", tay="tay", tbx="tbx", tby="tby")
 
 
 @query(f"""{_SLOPES} SELECT a.pair_id, a.y * 8 + a.x AS row, {r("greatest(1 - sqrt(a.vx * a.vx + a.vy * a.vy), 0) + (a.x > 0)::INT + (a.x < 7)::INT + (a.y > 0)::INT + (a.y < 7)::INT", "diagonal", 4)},
@@ -327,7 +328,7 @@ def jacobian_average(spark: SparkSession, sf_dir: str) -> DataFrame:
   {r("CASE WHEN a.x > 0 THEN a.tay ELSE 0 END + CASE WHEN a.y > 0 THEN a.tby - 1 ELSE 0 END - coalesce(q.tay, 0) - coalesce(d.tby - 1, 0)", "b_y", 4)}
   FROM j a LEFT JOIN j q ON q.pair_id = a.pair_id AND q.y = a.y AND q.x = a.x + 1 LEFT JOIN j d ON d.pair_id = a.pair_id AND d.x = a.x AND d.y = a.y + 1""")
 def path_system(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix, right = solvers.path_system(solvers.jacobian_average(_field(spark, sf_dir)), 8, 8)
+    matrix, right = solvers.path_system(solvers.jacobian_average(_field(spark, sf_dir), arranged=True), 8, 8)
     both = matrix.where("row = col").select("pair_id", "row", rounded("value", 4).alias("diagonal")).join(right, ["pair_id", "row"])
     return both.select("pair_id", "row", "diagonal", rounded("bx", 4).alias("bx"), rounded("by", 4).alias("b_y"))
 

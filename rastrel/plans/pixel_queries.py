@@ -166,7 +166,7 @@ def minmax_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT image_id, y, x, {", ".join(r(e, c) for c, e in zip("rgb", _matrix(P._RGB, "luma", "i", "q")))} FROM n""")
 def unsharp(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _rgb(spark, sf_dir).withColumn("luma", P.luminance(RED(), GREEN(), BLUE()))
-    df = neighbourhood.box(df, {"total": F.col("luma"), "n": F.lit(1)})
+    df = neighbourhood.box(df, {"total": F.col("luma"), "n": F.lit(1)}, arranged=True)
     made = P.unsharp(RED(), GREEN(), BLUE(), F.col("total") / F.col("n"), 0.8, 0.05)
     return told(df, KEYS, **dict(zip("rgb", made)))
 
@@ -186,7 +186,7 @@ def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
   {r(SAT.format("sqrt(dx * dx + dy * dy)"), "edge")}, {r(SAT.format("dxx + dyy"), "laplacian")}, {r(SAT.format("v - 0.5 * (dxx + dyy)"), "enhanced")} FROM der""")
 def derivative_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient edge, Laplacian and Laplace enhancement over central differences."""
-    df = neighbourhood.derivatives(_unit(spark, sf_dir))
+    df = neighbourhood.derivatives(_unit(spark, sf_dir), arranged=True)
     dx, dy, dxx, dyy = (F.col(c) for c in ("dx", "dy", "dxx", "dyy"))
     return told(df, KEYS, dx="dx", dy="dy", dxx="dxx", dyy="dyy", dxy="dxy", edge=P.gradient_edge(dx, dy), laplacian=P.laplacian(dxx, dyy), enhanced=P.laplace_enhancement(VALUE(), dxx, dyy, 0.5))
 
@@ -199,7 +199,7 @@ _ERF = "(1 - (k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.
   f AS (SELECT *, CASE WHEN t < 1e-6 THEN 1 / 6.0::DOUBLE ELSE 3 * g + (3 * g - 0.5) / (t * t) END AS f FROM gs)
   SELECT image_id, y, x, {r(SAT.format("v + 9 * CASE WHEN n2 = 0 THEN (dxx + dyy) / 6 ELSE f * (dx * dx * dxx + 2 * dx * dy * dxy + dy * dy * dyy) / n2 + g * (dy * dy * dxx - 2 * dx * dy * dxy + dx * dx * dyy) / n2 END"), "v", 4)} FROM f""")
 def yaroslavsky(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = neighbourhood.derivatives(_unit(spark, sf_dir))
+    df = neighbourhood.derivatives(_unit(spark, sf_dir), arranged=True)
     made = P.yaroslavsky(VALUE(), *(F.col(c) for c in ("dx", "dy", "dxx", "dxy", "dyy")), 3.0, 0.5)
     return told(df, KEYS, 4, v=made)
 

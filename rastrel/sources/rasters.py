@@ -10,32 +10,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def from_arrays(df: DataFrame, image_id: Column, values: str, width: int, value: Column | None = None) -> DataFrame:
-    """One image from each row's array, row-major; value is an expression of the element, named e."""
-    cells = df.select(image_id.alias("image_id"), F.posexplode(values).alias("i", "e"))
-    made = F.col("e").cast("double") if value is None else value
-    return cells.select("image_id", F.expr(f"i div {width}").cast("int").alias("y"), (F.col("i") % width).cast("int").alias("x"), made.alias("v"))
+def from_arrays(df: DataFrame, keys: list[str], values: str, width: int) -> DataFrame:
+    """(keys, y, x, e): the cells of each row's array, row-major. Rows are dealt out by their keys while they are still
+    arrays, so that windows over the pixels need no exchange (see neighbourhood.box, arranged)."""
+    cells = df.repartition(*keys).select(*keys, F.posexplode(values).alias("i", "e"))
+    return cells.select(*keys, F.expr(f"i div {width}").cast("int").alias("y"), (F.col("i") % width).cast("int").alias("x"), "e")
+
+
+def _bytes(c: Column) -> Column:
+    return (c.cast("double") + 1) * 127.5
 
 
 def embedding_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An 8 by 8 image of bytes' range from each embedding."""
-    return from_arrays(table(spark, sf_dir, "embeddings"), F.col("vec_id"), "embedding", 8, (F.col("e").cast("double") + 1) * 127.5)
+    """An 8 by 8 image of bytes' range from each embedding; arranged."""
+    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding")
+    return from_arrays(df, ["image_id"], "embedding", 8).select("image_id", "y", "x", _bytes(F.col("e")).alias("v"))
+
+
+def _together(spark: SparkSession, sf_dir: str, key: str, count: int) -> DataFrame:
+    """(key, y, x, e): vectors count * k and so on side by side, e.v0, e.v1, ... by cell; arranged. The vectors meet
+    before they become pixels, and incomplete groups are left out."""
+    df = table(spark, sf_dir, "embeddings")
+    own = [F.max(F.when(F.col("vec_id") % count == k, F.col("embedding"))).alias(f"v{k}") for k in range(count)]
+    groups = df.groupBy(F.expr(f"vec_id div {count}").alias(key)).agg(*own).dropna(subset=[f"v{k}" for k in range(count)])
+    cells = groups.select(key, F.posexplode(F.arrays_zip(*(f"v{k}" for k in range(count)))).alias("i", "e"))
+    return cells.select(key, F.expr("i div 8").cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), "e")
 
 
 def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images 2k and 2k+1 side by side: (pair_id, y, x, v0, v1)."""
-    df = embedding_images(spark, sf_dir)
-    pair = df.withColumn("pair_id", F.expr("image_id div 2"))
-    two = pair.groupBy("pair_id", "y", "x").agg(F.max(F.when(F.col("image_id") % 2 == 0, F.col("v"))).alias("v0"), F.max(F.when(F.col("image_id") % 2 == 1, F.col("v"))).alias("v1"))
-    return two.where("v0 is not null and v1 is not null")
+    """Images 2k and 2k+1 side by side: (pair_id, y, x, v0, v1); arranged."""
+    return _together(spark, sf_dir, "pair_id", 2).select("pair_id", "y", "x", *(_bytes(F.col(f"e.v{k}")).alias(f"v{k}") for k in range(2)))
 
 
 def embedding_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors 3k, 3k+1 and 3k+2 as the channels of an image in 0..1: (image_id, y, x, r, g, b)."""
-    unit = F.least(F.greatest(F.col("e").cast("double") + 0.5, F.lit(0.0)), F.lit(1.0))
-    df = from_arrays(table(spark, sf_dir, "embeddings"), F.col("vec_id"), "embedding", 8, unit)
-    channel = [F.max(F.when(F.col("image_id") % 3 == k, F.col("v"))).alias(c) for k, c in enumerate("rgb")]
-    return df.groupBy(F.expr("image_id div 3").alias("image_id"), "y", "x").agg(*channel).where("r is not null and g is not null and b is not null")
+    """Vectors 3k, 3k+1 and 3k+2 as the channels of an image in 0..1: (image_id, y, x, r, g, b); arranged."""
+    unit = [F.least(F.greatest(F.col(f"e.v{k}").cast("double") + 0.5, F.lit(0.0)), F.lit(1.0)).alias(c) for k, c in enumerate("rgb")]
+    return _together(spark, sf_dir, "image_id", 3).select("image_id", "y", "x", *unit)
 
 
 def grid(df: DataFrame, image_id: str, height: int, width: int) -> DataFrame:
