@@ -190,3 +190,47 @@ def test_random_polygons(spark):
         return odd
 
     assert got == {(y, x) for y in range(13) for x in range(9) if inside(x, y)}
+
+
+def test_recursive_filter_borders():
+    line = np.full(20, 3.0)
+    for border in ("edge", "repeat", "reflect"):
+        assert np.allclose(lines.recursed(line, (0.25, 0.75), border), 3.0, atol=1e-6)
+    assert lines.recursed(line, (0.25, 0.75), "zero")[0] < 3
+    with pytest.raises(ValueError):
+        lines.recursive_filter(None, (0.5, 0.5), "none")
+
+
+def test_masked_similarity(spark):
+    from rastrel.operators import energy
+
+    other = BUMPY.copy()
+    other[:, :4] = 0
+    rows = [(0, y, x, float(BUMPY[y, x]), float(other[y, x]), 0.0 if x < 4 else 1.0) for y in range(13) for x in range(9)]
+    df = spark.createDataFrame(rows, "pair_id long, y int, x int, v0 double, v1 double, m double")
+    assert energy.ssim(df, weight="m").agg(F.max("ssim")).first()[0] < 1e-9
+    assert energy.ssim(df).agg(F.max("ssim")).first()[0] > 0.5
+
+
+def test_points_pull_towards_their_targets(spark):
+    from rastrel.operators import energy
+    from rastrel.sources import rasters
+
+    field = spark.createDataFrame([(0, y, x, 0.0, 0.0) for y in range(8) for x in range(8)], "pair_id long, y int, x int, vx double, vy double")
+    got = {(r["y"], r["x"]): (r["ui_a"], -r["ui_bx"] / 2, -r["ui_by"] / 2) for r in energy.control_point_terms(field, rasters.control_points(spark), 8, 8).collect()}
+    want = {}
+    for y, x, w, tx, ty in solvers.point_terms([p[1:] for p in rasters.CONTROL_POINTS], 8, 8):
+        a, b, c = want.get((y, x), (0.0, 0.0, 0.0))
+        want[y, x] = (a + w, b + w * tx, c + w * ty)
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_extensions(spark):
+    from rastrel.functions.vectors import extended
+
+    with pytest.raises(ValueError):
+        extended(F.lit(1), F.lit(3), "elsewhere")
+    with pytest.raises(ValueError):
+        kernel("no such kernel")
+    with pytest.raises(ValueError):
+        filters.taps("no such filter")
