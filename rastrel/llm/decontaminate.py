@@ -189,8 +189,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     A document has an item if, in runs whose slots agree, it has `coverage` of the item's windows or `run_words` words
     in a row (an item of fewer than five words: all of it in a row). slots_agree: false if some run was set aside, as
-    one value of the item stood for two in the document. Null or empty texts match nothing, null ids are passed over, rows of one
-    doc_id are judged apart and the best is told. Items of one text are all named. Empty tables give no rows.
+    one value of the item stood for two in the document. Null or empty texts match nothing, null ids are passed over,
+    rows of one doc_id are judged apart and the best is told. Items of one text are all named. Empty tables give no rows.
     """
     # the windows of the benchmark serve both the filter and the join
     items = written(template_windows(benchmark.where("item_id is not null").dropDuplicates(["item_id", "text"]), "item_id", [], whole=True), "benchmark-windows")

@@ -23,6 +23,8 @@ CAPACITY = 2048
 WIDTH = 4
 #: Room for a worker's sequence numbers; the worker's own number stands above it.
 SEQUENCE_BITS = 40
+#: Pieces of text whose ids a worker remembers; other operators of a pipeline share its memory.
+PIECES_KEPT = 600_000
 
 
 class Piece(NamedTuple):
@@ -96,7 +98,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encode = encoder(tokenizer, blanks)
+        encode = encoder(tokenizer, blanks, PIECES_KEPT)
         base = TaskContext.get().partitionId() << SEQUENCE_BITS
         types = pa.schema([(n, pa.list_(pa.int64()) if n == "ids" else pa.int64()) for n in names])
 

@@ -26,8 +26,10 @@ _UNCUT = re.compile(" (?=[\\s\u180e\u200b\ufeff]|\\Z)")
 _RUN = re.compile("\n(?:(?=[\\s\u180e\u200b\ufeff])|(?<=[\\s\u180e\u200b\ufeff]\n))")
 _CUT = re.compile(" (?=[^\\s\u180e\u200b\ufeff])")
 _MARKS = tuple(".,!?;:")
-#: Longer pieces are not kept, and no more than so many, at about 200 bytes each; others are encoded again.
-_LONG, _KEPT = 48, 1_500_000
+#: Longer pieces are not kept.
+_LONG = 48
+#: Pieces that a worker keeps at most, at about 250 bytes each; others are encoded again.
+KEPT = 1_500_000
 #: How byte-level vocabularies write the bytes that are not printable in Latin-1, in order.
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: Texts are taken together, and long ones in parts, of about so many characters.
@@ -41,7 +43,8 @@ class Encoder:
     drops white space). Texts that spell a special token are ordinary text.
     """
 
-    def __init__(self, path: str, blanks: bool):
+    def __init__(self, path: str, blanks: bool, most: int = KEPT):
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.blanks = blanks
@@ -90,7 +93,7 @@ class Encoder:
         fresh = [s for s, ids in own.items() if ids is None]
         made = self._stems(fresh)
         own.update(zip(fresh, made))
-        if len(kept) < _KEPT:
+        if len(kept) < self.most:
             kept.update((s, ids) for s, ids in zip(fresh, made) if len(s) <= _LONG)
         return [own[s] + mark for s, mark in zip(stems, marks)]
 
@@ -101,7 +104,7 @@ class Encoder:
         made = self._learned([pieces[k] for k in new])
         for k, ids in zip(new, made):
             found[k] = ids
-        if len(self.kept) < _KEPT:
+        if len(self.kept) < self.most:
             self.kept.update((pieces[k], ids) for k, ids in zip(new, made) if len(pieces[k]) <= _LONG)
         return found  # type: ignore[return-value]
 
@@ -109,7 +112,7 @@ class Encoder:
         """The ids of texts' first pieces, which have no blank before them."""
         new = list(set(pieces).difference(self.first))
         own = dict(zip(new, self._ids(new)))
-        if len(self.first) < _KEPT // 16:
+        if len(self.first) < self.most // 16:
             self.first.update((p, ids) for p, ids in own.items() if len(p) <= _LONG)
         return [own[p] if p in own else self.first[p] for p in pieces]
 
@@ -173,11 +176,12 @@ class Encoder:
         return next(self.encode_many([text]))
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(path: str, blanks: bool) -> Encoder:
-    """One encoder for each Python worker."""
-    if (path, blanks) not in _ENCODERS:
-        _ENCODERS[path, blanks] = Encoder(path, blanks)
-    return _ENCODERS[path, blanks]
+def encoder(path: str, blanks: bool, most: int = KEPT) -> Encoder:
+    """One encoder for each Python worker, which keeps so many pieces at most."""
+    key = (path, blanks, most)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]

@@ -26,11 +26,10 @@ def reference(name):
 @pytest.mark.parametrize("block", [1 << 20, 3])
 def test_encoder_equals_the_library(name, blanks, block, monkeypatch):
     monkeypatch.setattr(tokens, "_BLOCK", block)
-    monkeypatch.setattr(tokens, "_KEPT", 40 if block == 3 else 1000)
     rng = random.Random(3)
     texts = [None, ""] + ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
     want = reference(name)
-    assert list(tokens.Encoder(public_tokenizers.path(name), blanks).encode_many(texts)) == [want(t or "") for t in texts]
+    assert list(tokens.Encoder(public_tokenizers.path(name), blanks, 40 if block == 3 else 1000).encode_many(texts)) == [want(t or "") for t in texts]
 
 
 def test_cuts_cover_and_waste_little():
