@@ -1,4 +1,4 @@
-"""The coarse-to-fine matcher: a halfway field between two images, one pair for each group.
+"""The coarse-to-fine matcher: halfway fields between pairs of images; pairs of one size go side by side.
 
 Pixels are visited by 25 colours, (y mod 5, x mod 5). Those of one colour are five apart, so what they read and write
 does not overlap, and NumPy moves all of them at once; the colours follow each other.
@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rastrel.functions.filters import sampled
 from rastrel.functions.kernels import kernel
@@ -38,13 +39,13 @@ class Settings:
     points: tuple[tuple[float, float, float, float], ...] = ()
 
 
-def bilinear(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The image at places, the nearest pixel beyond its border."""
-    high, wide = image.shape
+def bilinear(images: np.ndarray, b: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Images (by b) at places, the nearest pixel beyond their borders."""
+    high, wide = images.shape[1:]
     y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
     fy, fx = y - y0, x - x0
     ya, yb, xa, xb = (np.clip(a, 0, n - 1) for a, n in ((y0, high), (y0 + 1, high), (x0, wide), (x0 + 1, wide)))
-    return (1 - fy) * ((1 - fx) * image[ya, xa] + fx * image[ya, xb]) + fy * ((1 - fx) * image[yb, xa] + fx * image[yb, xb])
+    return (1 - fy) * ((1 - fx) * images[b, ya, xa] + fx * images[b, ya, xb]) + fy * ((1 - fx) * images[b, yb, xa] + fx * images[b, yb, xb])
 
 
 def resize_matrix(n: int, m: int, name: str = "bspline3", mirror: bool = True, cardinal: bool = True) -> np.ndarray:
@@ -68,16 +69,16 @@ def resize_matrix(n: int, m: int, name: str = "bspline3", mirror: bool = True, c
     return out
 
 
-def _shifted(a: np.ndarray, dy: int, dx: int, fill: float) -> np.ndarray:
-    p = np.pad(a, 2, constant_values=fill)
-    return p[2 + dy : 2 + dy + a.shape[0], 2 + dx : 2 + dx + a.shape[1]]
+def _shifted(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    p = np.pad(a, ((0, 0), (2, 2), (2, 2)))
+    return p[:, 2 + dy : 2 + dy + a.shape[1], 2 + dx : 2 + dx + a.shape[2]]
 
 
 def _box(a: np.ndarray) -> np.ndarray:
-    p = np.pad(a, 2)
-    rows = sum(p[2 : 2 + a.shape[0], k : k + a.shape[1]] for k in range(5))
-    q = np.pad(rows, ((2, 2), (0, 0)))
-    return sum(q[k : k + a.shape[0]] for k in range(5))
+    h, w = a.shape[1:]
+    p = np.pad(a, ((0, 0), (2, 2), (2, 2)))
+    rows = sum(p[:, :, k : k + w] for k in range(5))
+    return sum(rows[:, k : k + h] for k in range(5))
 
 
 def _ssim(n, s0, s1, q0, q1, c, clamp: float) -> np.ndarray:
@@ -90,71 +91,74 @@ def _ssim(n, s0, s1, q0, q1, c, clamp: float) -> np.ndarray:
 
 
 class Level:
-    """The state of one level: the field, lumas, their sums over squares, and the quadratic terms of each pixel."""
+    """The state of one level of pairs of one size, side by side: fields (b, y, x, 2), lumas, their sums over squares,
+    and the quadratic terms of each pixel."""
 
     def __init__(self, i0: np.ndarray, i1: np.ndarray, field: np.ndarray, s: Settings, mask: np.ndarray | None = None):
         self.i0, self.i1, self.v, self.s = i0, i1, field.copy(), s
-        self.h, self.w = i0.shape
+        self.n, self.h, self.w = i0.shape
         self.mask = np.ones(i0.shape) if mask is None else mask
         self.locked = locked_mask(self.h, self.w, s.boundary)
         stencils = thin_plate_stencils()
         border = lambda n: np.select([np.arange(n) == 0, np.arange(n) == 1, np.arange(n) == n - 1, np.arange(n) == n - 2], [0, 1, 4, 3], 2)
         self.stencil = stencils[border(self.h)[:, None], border(self.w)[None, :]]
         self.tps_a = self.stencil[..., 2, 2] / 2
-        self.ui_a, self.ui_target = np.zeros(i0.shape), np.zeros((*i0.shape, 2))
+        self.ui_a, self.ui_target = np.zeros((self.h, self.w)), np.zeros((self.h, self.w, 2))
         for y, x, w, tx, ty in point_terms(list(s.points), self.h, self.w):
             self.ui_a[y, x] += w
             self.ui_target[y, x] += w * np.array([tx, ty])
         self.improving = np.ones(i0.shape, bool)
-        y, x = np.mgrid[: self.h, : self.w]
-        self.luma0, self.luma1 = self._luma(y, x, self.v)
-        self._sum()
-
-    def _luma(self, y, x, v):
-        return bilinear(self.i0, y - v[..., 1], x - v[..., 0]), bilinear(self.i1, y + v[..., 1], x + v[..., 0])
-
-    def _sum(self) -> None:
-        m, a, b = self.mask, self.luma0, self.luma1
-        self.sums = np.stack([_box(t) for t in (m, m * a, m * b, m * a * a, m * b * b, m * a * b)])
-        self.cost = _ssim(*self.sums, self.s.ssim_clamp)
-
-    def _gradients(self) -> np.ndarray:
-        out = np.zeros((self.h, self.w, 2))
+        b, y, x = np.mgrid[: self.n, : self.h, : self.w]
+        self.luma0, self.luma1 = self._luma(b, y, x, self.v)
+        self._sum(slice(None))
+
+    def _luma(self, b, y, x, v):
+        return bilinear(self.i0, b, y - v[..., 1], x - v[..., 0]), bilinear(self.i1, b, y + v[..., 1], x + v[..., 0])
+
+    def _sum(self, pairs) -> None:
+        """Sums and costs of those pairs."""
+        m, a, b = self.mask[pairs], self.luma0[pairs], self.luma1[pairs]
+        sums = np.stack([_box(t) for t in (m, m * a, m * b, m * a * a, m * b * b, m * a * b)])
+        if isinstance(pairs, slice):
+            self.sums, self.cost = sums, _ssim(*sums, self.s.ssim_clamp)
+        else:
+            self.sums[:, pairs], self.cost[pairs] = sums, _ssim(*sums, self.s.ssim_clamp)
+
+    def energies(self) -> np.ndarray:
+        """The whole energy of each pair: similarity and control points by the area, and the bending."""
+        bent = np.zeros(self.v.shape)
         for c in range(2):
             for dy in range(-2, 3):
                 for dx in range(-2, 3):
-                    out[..., c] += self.stencil[..., dy + 2, dx + 2] * _shifted(self.v[..., c], dy, dx, 0.0)
-        return out
-
-    def energy(self) -> float:
-        """The whole energy: similarity and control points by the area, and the bending."""
-        ui = (self.ui_a * (self.v**2).sum(-1) - 2 * (self.ui_target * self.v).sum(-1)).sum()
-        return float((self.s.w_ssim * self.cost.sum() + self.s.w_ui * ui) / self.cost.size + self.s.w_tps * 0.5 * (self._gradients() * self.v).sum())
-
-    def _change(self, y, x, d, tps_b, squares, inside, cells) -> np.ndarray:
-        """The change of energy if the pixels (y, x) move by d."""
-        l0, l1 = self._luma(y, x, self.v[y, x] + d)
-        m, a, b = self.mask[y, x], self.luma0[y, x], self.luma1[y, x]
-        delta = np.stack([np.zeros(len(y)), m * (l0 - a), m * (l1 - b), m * (l0 * l0 - a * a), m * (l1 * l1 - b * b), m * (l0 * l1 - a * b)])
+                    bent[..., c] += self.stencil[..., dy + 2, dx + 2] * _shifted(self.v[..., c], dy, dx)
+        ui = (self.ui_a * (self.v**2).sum(-1) - 2 * (self.ui_target * self.v).sum(-1)).sum((1, 2))
+        return (self.s.w_ssim * self.cost.sum((1, 2)) + self.s.w_ui * ui) / (self.h * self.w) + self.s.w_tps * 0.5 * (bent * self.v).sum((1, 2, 3))
+
+    def _change(self, b, y, x, d, tps_b, squares, inside, cells) -> np.ndarray:
+        """The change of energy if the pixels (b, y, x) move by d."""
+        v = self.v[b, y, x]
+        l0, l1 = self._luma(b, y, x, v + d)
+        m, p, q = self.mask[b, y, x], self.luma0[b, y, x], self.luma1[b, y, x]
+        delta = np.stack([np.zeros(len(y)), m * (l0 - p), m * (l1 - q), m * (l0 * l0 - p * p), m * (l1 * l1 - q * q), m * (l0 * l1 - p * q)])
         new = _ssim(*(squares + delta[:, :, None]), self.s.ssim_clamp)
         ssim = ((new - cells) * inside).sum(-1)
-        ui_b = 2 * (self.ui_a[y, x][:, None] * self.v[y, x] - self.ui_target[y, x])
+        ui_b = 2 * (self.ui_a[y, x][:, None] * v - self.ui_target[y, x])
         d2 = (d * d).sum(-1)
         ui = self.ui_a[y, x] * d2 + (ui_b * d).sum(-1)
         tps = self.tps_a[y, x] * d2 + (tps_b * d).sum(-1)
-        return (self.s.w_ui * ui + self.s.w_ssim * ssim) / self.cost.size + self.s.w_tps * tps
+        return (self.s.w_ui * ui + self.s.w_ssim * ssim) / (self.h * self.w) + self.s.w_tps * tps
 
-    def _limit(self, y, x, g) -> np.ndarray:
+    def _limit(self, b, y, x, g) -> np.ndarray:
         """How far pixels may go along g before they cross the ring of their neighbours, in either image."""
-        best = np.full(len(y), np.inf)
+        best, own = np.full(len(y), np.inf), self.v[b, y, x]
         for sign in (-1, 1):
             ring = []
             for dy, dx in RING:
                 ny, nx = y + dy, x + dx
                 there = (ny >= 0) & (ny < self.h) & (nx >= 0) & (nx < self.w)
-                v = np.where(there[:, None], self.v[np.clip(ny, 0, self.h - 1), np.clip(nx, 0, self.w - 1)], self.v[y, x])
+                v = np.where(there[:, None], self.v[b, np.clip(ny, 0, self.h - 1), np.clip(nx, 0, self.w - 1)], own)
                 ring.append(np.stack([nx, ny], -1) + sign * v)
-            p, d = np.stack([x, y], -1) + sign * self.v[y, x], sign * g
+            p, d = np.stack([x, y], -1) + sign * own, sign * g
             for k in range(len(RING)):
                 a, e = ring[k], ring[(k + 1) % len(RING)] - ring[k]
                 det, w = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0], a - p
@@ -164,50 +168,49 @@ class Level:
         return np.where(np.isinf(best), 1.0, np.maximum(0.0, best - self.s.eps))
 
     def _colour(self, cy: int, cx: int) -> bool:
-        active = _box(self.improving.astype(float)) > 0
-        y, x = (a.ravel() for a in np.mgrid[cy : self.h : 5, cx : self.w : 5])
-        keep = active[y, x]
-        y, x = y[keep], x[keep]
-        self.improving[y, x] = False
-        keep = ~self.locked[y, x]
-        y, x = y[keep], x[keep]
+        part = np.zeros((self.h, self.w), bool)
+        part[cy::5, cx::5] = True
+        b, y, x = np.nonzero((_box(self.improving.astype(float)) > 0) & part)
+        self.improving[b, y, x] = False
+        free = ~self.locked[y, x]
+        b, y, x = b[free], y[free], x[free]
         if not len(y):
             return False
         dy, dx = (a.ravel() for a in np.mgrid[-2:3, -2:3])
         ny, nx = y[:, None] + dy, x[:, None] + dx
         inside = (ny >= 0) & (ny < self.h) & (nx >= 0) & (nx < self.w)
-        at = np.clip(ny, 0, self.h - 1), np.clip(nx, 0, self.w - 1)
-        squares, cells = self.sums[:, at[0], at[1]], self.cost[at]
+        at = b[:, None], np.clip(ny, 0, self.h - 1), np.clip(nx, 0, self.w - 1)
+        squares, cells = self.sums[:, at[0], at[1], at[2]], self.cost[at]
         tps_b = (self.stencil[y, x].reshape(len(y), 25)[..., None] * np.where(inside[..., None], self.v[at], 0)).sum(1)
-        change = lambda d: self._change(y, x, d, tps_b, squares, inside, cells)
+        change = lambda d: self._change(b, y, x, d, tps_b, squares, inside, cells)
         e = self.s.eps
         g = np.stack([change(np.tile(-step, (len(y), 1))) - change(np.tile(step, (len(y), 1))) for step in np.array([[e, 0.0], [0.0, e]])], -1)
         size = np.sqrt((g * g).sum(-1))
         g = g / np.where(size > 0, size, 1)[:, None]
-        a, b = np.zeros(len(y)), np.where(size > 0, self._limit(y, x, g), 0.0)
-        lo, hi = b - GOLDEN * b, GOLDEN * b
-        f_lo, f_hi = change(lo[:, None] * g), change(hi[:, None] * g)
-        while (b - a).max(initial=0) > e:
-            left = f_lo < f_hi
-            a, b = np.where(left, a, lo), np.where(left, hi, b)
-            lo, hi = b - GOLDEN * (b - a), a + GOLDEN * (b - a)
-            f_lo, f_hi = change(lo[:, None] * g), change(hi[:, None] * g)
-        step, gain = np.where(f_lo < f_hi, lo, hi), np.minimum(f_lo, f_hi)
+        low, high = np.zeros(len(y)), np.where(size > 0, self._limit(b, y, x, g), 0.0)
+        left, right = high - GOLDEN * high, GOLDEN * high
+        f_left, f_right = change(left[:, None] * g), change(right[:, None] * g)
+        while (open_ := high - low > e).any():
+            less = f_left < f_right
+            low, high = np.where(open_ & ~less, left, low), np.where(open_ & less, right, high)
+            left, right = np.where(open_, high - GOLDEN * (high - low), left), np.where(open_, low + GOLDEN * (high - low), right)
+            f_left, f_right = change(left[:, None] * g), change(right[:, None] * g)
+        step, gain = np.where(f_left < f_right, left, right), np.minimum(f_left, f_right)
         moved = (gain < 0) & (size > 0)
         if not moved.any():
             return False
-        y, x = y[moved], x[moved]
-        self.v[y, x] += (step[:, None] * g)[moved]
-        self.luma0[y, x], self.luma1[y, x] = self._luma(y, x, self.v[y, x])
-        self.improving[y, x] = True
-        self._sum()
+        b, y, x = b[moved], y[moved], x[moved]
+        self.v[b, y, x] += (step[:, None] * g)[moved]
+        self.luma0[b, y, x], self.luma1[b, y, x] = self._luma(b, y, x, self.v[b, y, x])
+        self.improving[b, y, x] = True
+        self._sum(np.unique(b))
         return True
 
     def sweep(self) -> bool:
         return any([self._colour(cy, cx) for cy in range(min(5, self.h)) for cx in range(min(5, self.w))])
 
     def run(self, most: int) -> int:
-        """Sweeps until nothing moves; how many there were."""
+        """Sweeps until nothing moves in any pair; how many there were."""
         for n in range(most):
             if not self.sweep():
                 return n + 1
@@ -215,20 +218,28 @@ class Level:
 
 
 def morph(i0: np.ndarray, i1: np.ndarray, s: Settings = Settings(), mask: np.ndarray | None = None, progress=None) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-    """(field, sweeps by level) between two images of equal size. progress(level, field) may return False to stop."""
-    sizes = level_sizes(*i0.shape, s.start_res)
+    """(fields, sweeps by level) between images (b, y, x) of equal size; pairs do not touch each other.
+
+    progress(level, fields) may return False to stop.
+    """
+    n, *size = i0.shape
+    sizes = level_sizes(*size, s.start_res)
     images = [(i0, i1)]
     for (h, w), (nh, nw) in zip(sizes, sizes[1:]):
         rows, cols = resize_matrix(h, nh), resize_matrix(w, nw)
         images.append(tuple(rows @ i @ cols.T for i in images[-1]))  # type: ignore[arg-type]
-    field = coarse_field(list(s.points), *sizes[-1], s.boundary, s.w_tps, s.w_ui) if s.points else np.zeros((*sizes[-1], 2))
+    start = coarse_field(list(s.points), *sizes[-1], s.boundary, s.w_tps, s.w_ui) if s.points else np.zeros((*sizes[-1], 2))
+    field = np.repeat(start[None], n, axis=0)
     most, log = float(s.max_iter), []
     for level in range(len(sizes) - 2, -1, -1):
         most /= s.drop
         (h, w), (ch, cw) = sizes[level], sizes[level + 1]
         rows, cols = resize_matrix(ch, h, "hat", False, False), resize_matrix(cw, w, "hat", False, False)
         field = np.stack([rows @ field[..., c] @ cols.T * r for c, r in ((0, w / cw), (1, h / ch))], -1)
-        m = None if mask is None else bilinear(mask, *np.meshgrid((np.arange(h) + 0.5) * sizes[0][0] / h - 0.5, (np.arange(w) + 0.5) * sizes[0][1] / w - 0.5, indexing="ij"))
+        m = mask
+        if mask is not None and level:
+            y, x = np.meshgrid((np.arange(h) + 0.5) * size[0] / h - 0.5, (np.arange(w) + 0.5) * size[1] / w - 0.5, indexing="ij")
+            m = bilinear(mask, np.arange(n)[:, None, None], y, x)
         state = Level(*images[level], field, s, m)
         log.append((level, h, w, state.run(int(most))))
         field = state.v
@@ -237,17 +248,34 @@ def morph(i0: np.ndarray, i1: np.ndarray, s: Settings = Settings(), mask: np.nda
     return field, log
 
 
+#: Pixels of pairs that are matched side by side, about.
+TOGETHER = 1 << 17
+
+
 def match(pairs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(pair_id, y, x, vx, vy) of pairs (pair_id, y, x, v0, v1, and mask if there is one): pairs run in parallel."""
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        shape = (int(part["y"].max()) + 1, int(part["x"].max()) + 1)
-        images = []
-        for c in ("v0", "v1", *(["mask"] if "mask" in part else [])):
-            image = np.zeros(shape)
-            image[part["y"], part["x"]] = part[c]
-            images.append(image)
-        field, _ = morph(images[0], images[1], settings, images[2] if len(images) > 2 else None)
-        y, x = np.mgrid[: field.shape[0], : field.shape[1]]
-        return pd.DataFrame({"pair_id": key[0], "y": y.ravel(), "x": x.ravel(), "vx": field[..., 0].ravel(), "vy": field[..., 1].ravel()})
-
-    return pairs.groupBy("pair_id").applyInPandas(run, "pair_id long, y int, x int, vx double, vy double")
+    """(pair_id, y, x, vx, vy) of pairs (pair_id, y, x, v0, v1, and mask if there is one), complete rasters.
+
+    Each pair becomes a row of arrays; tasks match pairs of one size side by side, as many as TOGETHER holds.
+    """
+    channels = ["v0", "v1", *(["mask"] if "mask" in pairs.columns else [])]
+    cells = F.array_sort(F.collect_list(F.struct("y", "x", *channels)))
+    whole = pairs.groupBy("pair_id").agg(cells.alias("c")).select(
+        "pair_id", (F.element_at("c", -1)["y"] + 1).alias("high"), (F.element_at("c", -1)["x"] + 1).alias("wide"), *(F.col(f"c.{k}").alias(k) for k in channels)
+    )
+
+    def run(batches):
+        for batch in batches:
+            for (high, wide), part in batch.groupby(["high", "wide"]):
+                count = max(1, TOGETHER // (high * wide))
+                for at in range(0, len(part), count):
+                    some = part.iloc[at : at + count]
+                    images = [np.stack(some[c].to_numpy()).reshape(-1, high, wide).astype(float) for c in channels]
+                    field, _ = morph(*images[:2], settings, images[2] if len(images) > 2 else None)
+                    n = high * wide
+                    y, x = np.divmod(np.arange(n), wide)
+                    yield pd.DataFrame({
+                        "pair_id": np.repeat(some["pair_id"].to_numpy(), n), "y": np.tile(y, len(some)), "x": np.tile(x, len(some)),
+                        "vx": field[..., 0].ravel(), "vy": field[..., 1].ravel(),
+                    })
+
+    return whole.mapInPandas(run, "pair_id long, y int, x int, vx double, vy double")

@@ -106,7 +106,7 @@ def test_matrices_match_the_plan(spark):
 
 
 def test_identical_images_do_not_move():
-    field, log = matching.morph(BUMPY, BUMPY, matching.Settings(start_res=4, max_iter=20))
+    field, log = matching.morph(BUMPY[None], BUMPY[None], matching.Settings(start_res=4, max_iter=20))
     assert np.abs(field).max() == 0 and log
 
 
@@ -114,15 +114,15 @@ def test_energy_falls_and_shift_is_found():
     y, x = np.mgrid[:24, :24]
     smooth = lambda s: 128 + 60 * np.sin((x + s) / 2.5) * np.cos(y / 3.0) + 40 * np.cos((x + s) / 4 + y / 5)
     settings = matching.Settings(start_res=6, max_iter=40)
-    level = matching.Level(smooth(0), smooth(2), np.zeros((24, 24, 2)), settings)
-    last = level.energy()
+    level = matching.Level(smooth(0)[None], smooth(2)[None], np.zeros((1, 24, 24, 2)), settings)
+    last = level.energies()[0]
     for _ in range(4):
         level.sweep()
-        now = level.energy()
+        now = level.energies()[0]
         assert now <= last + 1e-9
         last = now
-    field, _ = matching.morph(smooth(0), smooth(2), settings)
-    inner = field[8:16, 8:16, 0]
+    field, _ = matching.morph(smooth(0)[None], smooth(2)[None], settings)
+    inner = field[0, 8:16, 8:16, 0]
     assert abs(np.median(inner) + 1) < 0.4
 
 
@@ -130,9 +130,9 @@ def test_locked_border_and_points():
     settings = matching.Settings(start_res=4, max_iter=10, boundary="border", points=((0.4, 0.5, 0.6, 0.5),))
     field = solvers.coarse_field(list(settings.points), 16, 16, "border")
     assert np.abs(field[0]).max() < 1e-2 and field[7:9, 7:9, 0].mean() > 0.5
-    level = matching.Level(BUMPY, BUMPY[::-1], np.zeros((13, 9, 2)), settings)
+    level = matching.Level(BUMPY[None], BUMPY[None, ::-1], np.zeros((1, 13, 9, 2)), settings)
     level.sweep()
-    assert np.abs(level.v[0]).max() == np.abs(level.v[:, -1]).max() == 0 and np.abs(level.v).max() > 0
+    assert np.abs(level.v[0, 0]).max() == np.abs(level.v[0, :, -1]).max() == 0 and np.abs(level.v).max() > 0
 
 
 def test_path_solution_solves_its_system(spark):
@@ -234,3 +234,15 @@ def test_extensions(spark):
         kernel("no such kernel")
     with pytest.raises(ValueError):
         filters.taps("no such filter")
+
+
+def test_pairs_side_by_side_equal_pairs_alone(spark):
+    settings = matching.Settings(start_res=4, max_iter=8)
+    images = np.random.default_rng(5).random((4, 2, 13, 9)) * 255
+    together, _ = matching.morph(images[:, 0], images[:, 1], settings)
+    for k, (a, b) in enumerate(images):
+        alone, _ = matching.morph(a[None], b[None], settings)
+        assert np.allclose(alone[0], together[k])
+    rows = [(k, y, x, float(a[y, x]), float(b[y, x])) for k, (a, b) in enumerate(images) for y in range(13) for x in range(9)]
+    got = matching.match(spark.createDataFrame(rows, "pair_id long, y int, x int, v0 double, v1 double"), settings).collect()
+    assert len(got) == len(rows) and all(np.allclose((r["vx"], r["vy"]), together[r["pair_id"], r["y"], r["x"]]) for r in got)
