@@ -16,12 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNIT = 64
 #: Payload bytes that are encoded or decoded together, about.
-_GROUP = 1 << 21
+_GROUP = 1 << 19
 _LANES = 1 << 15
 
 # Code lengths of the sizes of coefficients; size 0 is an empty block's DC, and the end of a block.
@@ -42,7 +43,7 @@ _CODES = _canonical(CODE_LENGTHS)
 _VALUES = np.arange(256) - 128 + (np.arange(256) >= 128)
 _SIZES = np.array([abs(int(v)).bit_length() for v in _VALUES])
 _WORDS = np.array([(_CODES[s][0] << s) | (v if v > 0 else v + (1 << s) - 1) for v, s in zip(_VALUES.tolist(), _SIZES.tolist())], np.uint32)
-_LENGTHS = np.array([_CODES[s][1] + s for s in _SIZES.tolist()])
+_LENGTHS = np.array([_CODES[s][1] + s for s in _SIZES.tolist()], np.int32)
 _EMPTY = (_CODES[0][0] << _CODES[0][1] | _CODES[0][0], 2 * _CODES[0][1])
 
 
@@ -67,7 +68,7 @@ def _intervals(blocks: np.ndarray, last: np.ndarray, turn: np.ndarray) -> tuple[
     """(bytes, end of each block) of coded blocks, each with the restart marker after it but for an image's last."""
     n = len(blocks)
     length = _LENGTHS[blocks]
-    stop = np.cumsum(length, axis=1)
+    stop = np.cumsum(length, axis=1, dtype=np.int32)
     size = (stop[:, -1] + 7) >> 3
     base = np.cumsum(size) - size
     out = np.zeros(int(size.sum()) + 4, np.uint8)
@@ -341,9 +342,10 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
-            for a, b in _groups([len(t) + UNIT for t in texts]):
-                media = encode_many([payload_of(t) for t in texts[a:b]], [len(t) for t in texts[a:b]])
+            column = batch.column(batch.num_columns - 1).cast(pa.binary())
+            for a, b in _groups([(n or 0) + UNIT for n in pc.binary_length(column).to_pylist()]):
+                texts = [t or b"" for t in column.slice(a, b - a).to_pylist()]
+                media = encode_many([payload_of(t) for t in texts], [len(t) for t in texts])
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(media, pa.binary())], names)
 
     return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
@@ -386,9 +388,9 @@ def examined(media: DataFrame, keep: list[str], column: str = "media") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in _groups([len(m) for m in files]):
-                found = list(zip(*facts(files[a:b])))
+            files = batch.column(batch.num_columns - 1)
+            for a, b in _groups(pc.binary_length(files).to_pylist()):
+                found = list(zip(*facts(files.slice(a, b - a).to_pylist())))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *(pa.array(c, t) for c, t in zip(found, types))], names)
 
     return media.select(*keep, F.col(column).alias("__media")).mapInArrow(run, schema)
