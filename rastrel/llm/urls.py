@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rastrel.llm.common import discard, written
+
 # Fixed values: (host, path, verdict) of the rules.
 RULES = (
     ("org", "/", "allow"),
@@ -61,11 +63,23 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
 
 
 def unigrams(pages: DataFrame, html: str = "html", size: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the most frequent words in the visible text of all pages; of equal counts the first by name."""
+    """Counts of the most frequent words in the visible text of all pages, `size` at most.
+
+    How many words are about how frequent (in steps of a hundredth) is counted first, and says from which count on the
+    words fit; only those go to the driver. Words as frequent as the first that do not fit are left out together.
+    """
     visible = F.regexp_replace(F.col(html), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.lower(visible), r"[^\p{L}]+")).alias("word"))
     counts = words.where((F.col("word") != "") & (F.length("word") <= LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()}
+    stepped = written(counts.withColumn("step", F.floor(F.log2("n") * 64).cast("int")), "unigrams")
+    held, least = 0, None
+    for step, n in sorted((tuple(r) for r in stepped.groupBy("step").count().collect()), reverse=True):  # some thousands
+        if held + n > size:
+            break
+        held, least = held + n, step
+    rows = stepped.where(F.col("step") >= least).select("word", "n").collect() if least is not None else []
+    discard(stepped)
+    return {r["word"]: r["n"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))}
 
 
 class Segmenter:
