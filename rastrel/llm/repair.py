@@ -28,7 +28,6 @@ MAGIC = b"RPG1"
 HEADER = struct.Struct("<4sIQQIIB")  # magic, documents, tokens, codes, rules, base, width
 #: Tokens of a shard at most, but for a longer document, which is a shard of its own.
 SHARD_TOKENS = 1 << 20
-ROUNDS = 3
 #: A pair is replaced if it occurs so often at least: a rule costs 12 bytes.
 LEAST = 8
 #: Of the table that a round's pairs are looked up in.
@@ -41,39 +40,55 @@ def _slot(pairs: np.ndarray) -> np.ndarray:
     return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.intp)
 
 
-def _compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, document end of each code, rules) of ids; ends marks the last id of each document."""
+def _compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, document end of each code, rules) of ids; ends marks the last id of each document.
+
+    Rounds go on until no pair is found `least` times or the symbols run out. A pair that a round replaces is gone, so
+    the next one counts those with a symbol of that round and those that were frequent but had to wait.
+    """
     short = base < 1 << 16  # then symbols stay within 16 bits, and a pair within 32
     half, kind = (16, np.uint32) if short else (32, np.uint64)
     none = kind((1 << 2 * half) - 1)
     codes, rules, room = ids.astype(kind), [], (1 << 16) - 1 - base if short else 1 << 31
-    for _ in range(rounds):
-        if codes.size < 2 or room <= 0:
-            break
+    newest, waiting = 0, np.empty(0, kind)  # the least symbol of the round before, and the pairs that wait
+    while codes.size > 1 and room > 0:
         pairs = (codes[:-1] << kind(half)) | codes[1:]
-        pairs[ends[:-1]] = none
+        fresh = codes >= kind(newest)
+        open_ = fresh[:-1] | fresh[1:]
+        if waiting.size:
+            held = np.zeros(SLOTS, bool)
+            held[_slot(waiting)] = True
+            open_ |= held[_slot(pairs)]
+        places = np.flatnonzero(open_ & ~ends[:-1])
+        pairs = pairs[places]  # of each pair in it, all places
         kinds, counts = np.unique(pairs, return_counts=True)
         good = (counts >= least) & (kinds != none)
         kinds, counts = kinds[good], counts[good]
         if not kinds.size:
             break
-        best = kinds[np.argsort(-counts, kind="stable")[: min(room, SLOTS // 12)]]
+        order = np.argsort(-counts, kind="stable")
+        take = min(room, SLOTS // 12)
+        best = kinds[order[:take]]
         slot = _slot(best)
-        _, first = np.unique(slot, return_index=True)  # of pairs that share a slot, the most frequent
+        _, first = np.unique(slot, return_index=True)  # of pairs that share a slot, the most frequent; the others wait
         table = np.full(SLOTS, none)
         table[slot[first]] = best[first]
+        waiting = np.concatenate([np.delete(best, first), kinds[order[take:]]])
         at = _slot(pairs)
-        where = np.flatnonzero((table[at] == pairs) & (pairs != none))
+        hit = (table[at] == pairs) & (pairs != none)
+        where, at = places[hit], at[hit]
         # of overlapping places in a run, the first, third and so on
-        fresh = np.r_[True, np.diff(where) > 1]
-        run_start = np.maximum.accumulate(np.where(fresh, np.arange(where.size), 0))
-        where = where[(np.arange(where.size) - run_start) % 2 == 0]
+        starts = np.r_[True, np.diff(where) > 1]
+        run_start = np.maximum.accumulate(np.where(starts, np.arange(where.size), 0))
+        chosen = (np.arange(where.size) - run_start) % 2 == 0
+        where, at = where[chosen], at[chosen]
         used = np.zeros(SLOTS, bool)
-        used[at[where]] = True
-        number = (np.cumsum(used) - 1 + base + sum(map(len, rules))).astype(kind)
+        used[at] = True
+        newest = base + sum(map(len, rules))
+        number = (np.cumsum(used) - 1 + newest).astype(kind)
         rules.append(table[used])
         room -= rules[-1].size
-        codes[where] = number[at[where]]
+        codes[where] = number[at]
         ends[where] = ends[where + 1]
         keep = np.ones(codes.size, bool)
         keep[where + 1] = False

@@ -122,3 +122,20 @@ def test_stored_order(spark):
             assert r["start"] == at and (r["doc_id"] is None or r["doc_id"] >= last)
             at, last = at + r["n_tokens"], r["doc_id"] if r["doc_id"] is not None else last
     assert repair.store_and_read(empty(spark), path).count() == 0
+
+
+@pytest.mark.parametrize("base", [50257, 70000])
+def test_no_frequent_pair_is_left(base):
+    rng = np.random.default_rng(4)
+    copies = np.tile(rng.integers(0, 50257, 1000), 40)
+    ends = np.arange(1, copies.size + 1) % 1000 == 0
+    codes, _, rules = repair._compress(copies, ends, base)
+    assert codes.size == 40 and repair.expand(codes, rules, base).tolist() == copies.tolist()
+    ids = (rng.pareto(0.6, 200_000) * 3).clip(0, 50256).astype(np.int64)
+    ends = rng.random(ids.size) < 0.01
+    ends[-1] = True
+    codes, ends, rules = repair._compress(ids.copy(), ends, base)
+    inside = np.stack([codes[:-1], codes[1:]], axis=1)[~ends[:-1]]
+    _, counts = np.unique(inside, axis=0, return_counts=True)
+    assert repair.expand(codes, rules, base).tolist() == ids.tolist()
+    assert counts.max() < repair.LEAST or base < 1 << 16 and base + len(rules) == (1 << 16) - 1
