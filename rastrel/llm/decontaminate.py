@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so a question keeps its template when its parameters change.
 Windows of five template words are hash-joined between documents and benchmark items. Windows that continue each
-other make a run, within which the slots must agree: each value of the item has one value in the document.
+other make a run, within which the slots must agree: each value of the item has one value in the document. Windows
+whose values are the item's own count by themselves too, whether or not the slots of their run agree.
 """
 
 from __future__ import annotations
@@ -187,9 +188,9 @@ def template_windows(rows: DataFrame, key: str, sizes: list[int], whole: bool =
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, item_id, coverage, matched, windows, run_words, slots_agree) of each contaminated document and item.
 
-    A document has an item if, in runs whose slots agree, it has `coverage` of the item's windows or `run_words` words
-    in a row (an item of fewer than five words: all of it in a row). slots_agree: false if some run was set aside, as
-    one value of the item stood for two in the document. Null or empty texts match nothing, null ids are passed over,
+    A document has an item if it has `coverage` of the item's windows, either in runs whose slots agree or with the
+    item's own values, or `run_words` words in a row in a run whose slots agree (an item of fewer than five words: all of
+    it in a row). slots_agree: false if in some run one value of the item stood for two in the document. Null or empty texts match nothing, null ids are passed over,
     rows of one doc_id are judged apart and the best is told. Items of one text are all named. Empty tables give no rows.
     """
     # the windows of the benchmark serve both the filter and the join
@@ -208,13 +209,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     runs = pairs.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(line))
     slots = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: (x["i"] != "") & (x["d"] != ""))
     per_run = runs.groupBy("row", "doc_id", "item_row", "item_id", "shift", "run", "windows", "size").agg(
-        F.count(F.lit(1)).alias("n"), F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("pairs")
+        F.count(F.lit(1)).alias("n"), F.collect_set("item_place").alias("places"),
+        F.collect_set(F.when(F.col("slots") == F.col("item_slots"), F.col("item_place"))).alias("same"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("pairs")
     )  # a run is no longer than its item
     agree = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
     judged = per_run.withColumn("agree", agree)
-    good = F.when(F.col("agree"), F.col("places"))
+    good, same = (F.size(F.array_distinct(F.flatten(F.collect_set(c)))) for c in (F.when(F.col("agree"), F.col("places")), F.col("same")))
     by_item = judged.groupBy("row", "doc_id", "item_row", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set(good)))).cast("long").alias("matched"), F.max("windows").cast("long").alias("windows"),
+        F.greatest(good, same).cast("long").alias("matched"), F.max("windows").cast("long").alias("windows"),
         F.coalesce(F.max(F.when(F.col("agree"), F.col("n") + F.col("size") - 1)), F.lit(0)).cast("long").alias("run_words"), F.min("agree").alias("slots_agree"),
     )
     share = by_item.withColumn("coverage", F.col("matched") / F.col("windows"))

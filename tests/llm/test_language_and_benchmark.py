@@ -111,3 +111,17 @@ def test_reparameterised_questions_and_slots(spark):
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
     assert decontaminate.contaminated(odd(spark), bench.where("false")).count() == 0
     assert decontaminate.contaminated(odd(spark), bench).count() == 0
+
+
+def test_one_changed_value_does_not_hide_a_copy(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    for at in (10, 30, 50):
+        words[at] = "Mary"
+    item = " ".join(words)
+    other = [w if w == "Mary" else f"{w}x" for w in words]
+    rows = [(1, item.replace("Mary", "Maria", 1)), (2, item), (3, " ".join(other)), (4, " ".join(words[:9] + other[9:25] + words[25:]).replace("Mary", "Maria", 1))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contaminated(documents(spark, rows), bench).collect()}
+    assert set(got) == {1, 2, 4}
+    assert (got[1]["matched"], got[1]["windows"], got[1]["slots_agree"]) == (51, 56, False)
+    assert (got[2]["matched"], got[2]["run_words"], got[2]["slots_agree"]) == (56, 60, True)
