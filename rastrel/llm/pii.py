@@ -27,12 +27,25 @@ PATTERNS = {
     "date": r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}[/.-]\d{1,2}[/.-]\d{4})(?![\d/-])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "card": r"(?<![\d-])\d(?:(?:-| (?!\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}[/-]\d{1,2}[/-]\d|\d{3}-\d{2}-\d{4}(?!\d)|\d{1,3}(?:\.\d{1,3}){3}|[\w.+-]{1,64}@))?\d){12,}(?![\d-])",
     "phone": r"(?<![\w+])\+(?:1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,10})(?!\d)",
 }
 KINDS = tuple(PATTERNS)
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()), re.ASCII)
 _MAYBE = re.compile(r"[0-9@]")
+# Letters and digits of an IBAN by country.
+_IBAN_SIZE = {
+    size: names.split()
+    for size, names in {
+        15: "NO", 16: "BE BI", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BJ DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+_IBAN_SIZE = {name: size for size, names in _IBAN_SIZE.items() for name in names}
+#: Digits of a card, in the order in which they are tried.
+_CARD_SIZES = (16, 15, 14, 13, 19, 18, 17)
+_GROUP = re.compile(r"\d+")
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -97,11 +110,15 @@ def _iban_check(country: str, rest: str) -> int:
 
 
 def _iban(f: Feistel, v: str, back: bool) -> str | None:
+    """What follows the country's length, if that ends at a blank, is no part of it and stays."""
+    size = _IBAN_SIZE.get(v[:2], 0)
+    at = next((k for k in range(len(v)) if v[k] == " " and k - v[:k].count(" ") == size), len(v))
+    v, tail = v[:at], v[at:]
     bare = v.replace(" ", "")
     if not 15 <= len(bare) <= 34 or int(bare[2:4]) != _iban_check(bare[:2], bare[4:]):
         return None
     rest = _mixed(f, bare[4:], f"iban|{bare[:2]}", back)
-    return _filled(v, f"{bare[:2]}{_iban_check(bare[:2], rest):02d}{rest}")
+    return _filled(v, f"{bare[:2]}{_iban_check(bare[:2], rest):02d}{rest}") + tail
 
 
 def _date(f: Feistel, v: str, back: bool) -> str | None:
@@ -157,10 +174,42 @@ def _ssn(f: Feistel, v: str, back: bool) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+def _card_spots(v: str) -> list[tuple[int, int]]:
+    """The places of cards in groups of digits: whole groups that pass the check, by size as in _CARD_SIZES, then from the left."""
+    groups = [m.span() for m in _GROUP.finditer(v)]
+    found: dict[int, list[tuple[int, int]]] = {}
+    for i, (start, _) in enumerate(groups):
+        size = 0
+        for a, end in groups[i:]:
+            size += end - a
+            if size > 19:
+                break
+            if size >= 13:
+                digits = re.sub(r"\D", "", v[start:end])
+                if len(set(digits)) > 1 and luhn_digit(digits[:-1]) == int(digits[-1]):
+                    found.setdefault(size, []).append((start, end))
+    spots: list[tuple[int, int]] = []
+    for a, b in (spot for size in _CARD_SIZES for spot in found.get(size, ())):
+        if all(b <= c or d <= a for c, d in spots):
+            spots.append((a, b))
+    return sorted(spots)
+
+
 def _card(f: Feistel, v: str, back: bool) -> str | None:
-    digits = re.sub(r"\D", "", v)
-    if len(set(digits)) < 2 or luhn_digit(digits[:-1]) != int(digits[-1]):
+    """All cards of v replaced. The network is walked on while other places would pass for cards afterwards, so that the
+    key's holder finds the same ones."""
+    spots = _card_spots(v)
+    if not spots:
         return None
+    while True:
+        for a, b in spots:
+            v = v[:a] + _one_card(f, v[a:b], back) + v[b:]
+        if _card_spots(v) == spots:
+            return v
+
+
+def _one_card(f: Feistel, v: str, back: bool) -> str:
+    digits = re.sub(r"\D", "", v)
     n = len(digits) - 2  # the first digit, which names the network, stays
     body = digits[0] + f"{f.permute(int(digits[1:-1]), 10**n, f'card|{digits[0]}', back):0{n}d}"
     return _filled(v, body + str(luhn_digit(body)))
@@ -190,7 +239,7 @@ def replace(text: str, feistel: Feistel, back: bool = False) -> tuple[str, dict[
         new = _FORMATS[m.lastgroup](feistel, m[0], back)
         if new is None:
             return m[0]
-        counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
+        counts[m.lastgroup] = counts.get(m.lastgroup, 0) + (len(_card_spots(m[0])) if m.lastgroup == "card" else 1)
         return new
 
     return _ANY.sub(fresh, text), counts

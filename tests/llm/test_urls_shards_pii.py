@@ -142,3 +142,24 @@ def test_random_texts_never_fail():
     for _ in range(2000):
         text = "".join(rng.choice("0123456789.-/@+() aZ:٣") for _ in range(rng.randint(0, 60)))
         pii.replace(text, f)
+
+
+def test_values_beside_other_text_are_found():
+    f = pii.Feistel(b"key")
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    new = pii.replace(card, f)[0]
+    for text in (f"card {card} 12/25", f"order 5 {card}", f"{card} 123", f"1234 {card}", f"77 {card} 12.05.2024", f"{card} {card}"):
+        got, counts = pii.replace(text, f)
+        assert card not in got and counts["card"] >= 1 and pii.replace(got, f, back=True)[0] == text
+    assert pii.replace(f"card {card} 12/25", f)[0] == f"card {new} 12/25"
+    assert pii.replace("order 5 4111111111111111", f)[0] == f"order 5 {new.replace(' ', '')}"
+    assert pii.replace("5105 1051 0510 5100 12 4111111111111111", f)[1] == {"card": 2}
+    assert pii.replace(f"{card} 12 1234567 99@x.example.com", f)[1] == {"card": 1, "email": 1}
+    hidden = pii.replace(iban, f)[0]
+    for tail in (" EUR", " EURO", " EUROS"):
+        assert hidden != iban and pii.replace(iban + tail, f)[0] == hidden + tail and pii.replace(hidden + tail, f, back=True)[0] == iban + tail
+    rng = random.Random(5)
+    for _ in range(3000):
+        parts = [f"{(s := f'4{rng.randrange(10**14):014d}')}{pii.luhn_digit(s)}" if rng.random() < 0.5 else str(rng.randrange(10 ** rng.randint(1, 6))) for _ in range(rng.randint(1, 5))]
+        text = " ".join(parts)
+        assert pii.replace(pii.replace(text, f)[0], f, back=True)[0] == text
