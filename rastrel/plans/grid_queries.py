@@ -359,8 +359,7 @@ def filled_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def morph_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Halfway fields of all pairs of embeddings, from 4 by 4 to 8 by 8."""
-    settings = matching.Settings(start_res=4, max_iter=4, w_ui=1.0)
-    return told(matching.match(_pairs(spark, sf_dir), settings), PAIR, 4, vx="vx", vy="vy")
+    return told(matching.match(_pairs(spark, sf_dir), matching.Settings(start_res=4)), PAIR, 4, vx="vx", vy="vy")
 
 
 # contours
