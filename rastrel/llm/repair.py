@@ -43,15 +43,23 @@ def _slot(pairs: np.ndarray) -> np.ndarray:
 def _compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, document end of each code, rules) of ids; ends marks the last id of each document.
 
-    Rounds go on until no pair is found `least` times or the symbols run out. A pair that a round replaces is gone, so
-    the next one counts those with a symbol of that round and those that were frequent but had to wait.
+    Rounds go on until no pair is found `least` times. A pair that a round replaces is gone, so the next one counts
+    those with a symbol of that round and those that were frequent but had to wait. Symbols have 16 bits, and a pair 32,
+    until those run out.
     """
-    short = base < 1 << 16  # then symbols stay within 16 bits, and a pair within 32
-    half, kind = (16, np.uint32) if short else (32, np.uint64)
+    half, kind = (16, np.uint32) if base < (1 << 16) - 1 else (32, np.uint64)
     none = kind((1 << 2 * half) - 1)
-    codes, rules, room = ids.astype(kind), [], (1 << 16) - 1 - base if short else 1 << 31
+    codes, rules, room = ids.astype(kind), [], (1 << half) - 1 - base
     newest, waiting = 0, np.empty(0, kind)  # the least symbol of the round before, and the pairs that wait
-    while codes.size > 1 and room > 0:
+
+    def wide(pairs: np.ndarray) -> np.ndarray:
+        return pairs.astype(np.uint64) >> np.uint64(16) << np.uint64(32) | pairs.astype(np.uint64) & np.uint64(0xFFFF)
+
+    while codes.size > 1:
+        if not room and half == 16:
+            half, kind = 32, np.uint64
+            none, room = kind((1 << 64) - 1), (1 << 32) - (1 << 16)
+            codes, rules, waiting = codes.astype(kind), [wide(r) for r in rules], wide(waiting)
         pairs = (codes[:-1] << kind(half)) | codes[1:]
         fresh = codes >= kind(newest)
         open_ = fresh[:-1] | fresh[1:]
@@ -155,8 +163,29 @@ class Shard(NamedTuple):
     base: int
 
     def document(self, i: int) -> np.ndarray:
-        """The ids of document i, from its own codes."""
-        return expand(self.codes[self.code_ends[i - 1] if i else 0 : self.code_ends[i]], self.rules, self.base)
+        """The ids of document i, from its own codes and the rules that they use."""
+        return self.tokens_at(i, 0, int(self.tokens[i]))
+
+    def tokens_at(self, i: int, start: int, n: int) -> np.ndarray:
+        """n ids of document i from `start` on (fewer at its end). The stored lengths say which codes hold them, so that
+        only those are read, and only those rules followed whose ids are asked for."""
+        codes = self.codes[self.code_ends[i - 1] if i else 0 : self.code_ends[i]].astype(np.int64)
+        size = np.ones(codes.size, np.int64)
+        size[codes >= self.base] = self.lengths[codes[codes >= self.base] - self.base]
+        ends = np.cumsum(size)
+        first, last = np.searchsorted(ends, [start, start + n - 1], side="right")
+        left = codes[first : last + 1][::-1].tolist()
+        skip, out = start - int(ends[first - 1] if first else 0), []
+        while left and len(out) < n:
+            code = left.pop()
+            length = int(self.lengths[code - self.base]) if code >= self.base else 1
+            if skip >= length:
+                skip -= length
+            elif code < self.base:
+                out.append(code)
+            else:
+                left += self.rules[code - self.base][::-1].tolist()
+        return np.array(out, np.uint32)
 
     def every(self) -> np.ndarray:
         return expand(self.codes, self.rules, self.base)
@@ -185,8 +214,8 @@ def read_shard(data: bytes) -> Shard:
 def shards(docs: DataFrame, tokenizer: str, end_id: int = 0, blanks: bool = True, base: int = 50257, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(part, block, documents, tokens, payload) of shards in ascending doc_id order, by range partitions of doc_id.
 
-    Documents of one doc_id follow the hash of their texts; null doc_ids come first. A null or empty text has the end
-    id only. An empty table gives no shards.
+    Documents of one doc_id follow the hash of their texts, by which they are split over tasks too; null doc_ids come
+    first. A null or empty text has the end id only. An empty table gives no shards.
     """
     end = end_id.to_bytes(4, "little")
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("documents", pa.int64()), ("tokens", pa.int64()), ("payload", pa.binary())])
@@ -214,9 +243,10 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = 0, blanks: bool = True
         if held:
             yield shard()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(run, "part long, block long, documents long, tokens long, payload binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("at"))
+    order = ("doc_id", "hash", "at")  # equal rows go by where they stood
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.select("doc_id", "text").mapInArrow(run, "part long, block long, documents long, tokens long, payload binary")
 
 
 def read_documents(table: DataFrame) -> DataFrame:

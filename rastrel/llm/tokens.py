@@ -8,10 +8,12 @@ their ids are kept as bytes in a bounded cache.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +38,43 @@ _BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (
 _BLOCK = 1 << 22
 
 
+# Fixed values: (normalizer, pre-tokenizer) of files that are known to cut as told above, with and without blanks.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_CUTTING = {
+    True: (None, _BYTES | {"use_regex": True}),
+    False: (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            _BYTES | {"use_regex": False},
+        ]},
+    ),
+}
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, equal to Tokenizer.encode(add_special_tokens=False).
 
     blanks: whether a blank belongs to the piece after it (a byte-level vocabulary) or to none (a word vocabulary that
-    drops white space). Texts that spell a special token are ordinary text.
+    drops white space). A special token that a text spells is its id, as in the library, and parts the text. With a file
+    whose normalizer, pre-tokenizer, model or added tokens are other ones, the library encodes each text as a whole.
     """
 
     def __init__(self, path: str, blanks: bool, most: int = KEPT):
         self.most = most
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        added, model = said["added_tokens"], said["model"]
+        plain = all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
+        self.known = plain and (said["normalizer"], said["pre_tokenizer"]) == _CUTTING[blanks] and (
+            model["type"] == "BPE" and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges") or model.get("byte_fallback"))
+        )
+        if not self.known:
+            return
+        self.special = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        self.parted = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        self.tokenizer.encode_special_tokens = True  # what is left between them is ordinary, in lower case too
         self.blanks = blanks
         self.kept: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
@@ -158,6 +186,24 @@ class Encoder:
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text in turn; a null text has none."""
+        if not self.known:
+            for text in texts:
+                yield self._ids([text or ""])[0]
+            return
+        marked = [k for k, t in enumerate(texts) if t and self.parted.search(t)]
+        if not marked:
+            yield from self._plain(texts)
+            return
+        last = 0
+        for k in marked:
+            yield from self._plain(texts[last:k])
+            text, last = texts[k] or "", k + 1
+            between = self._plain(self.parted.split(text))
+            yield b"".join(chain(*zip_longest(between, (self.special[m] for m in self.parted.findall(text)), fillvalue=b"")))
+        yield from self._plain(texts[last:])
+
+    def _plain(self, texts: list[str | None]) -> Iterator[bytes]:
+        """encode_many() of texts without special tokens."""
         at = 0
         while at < len(texts):
             end, size = at, 0
