@@ -5,7 +5,7 @@ from tests.conftest import DATA
 from tests.llm.cases import documents, empty
 from tests.llm.test_language_and_benchmark import slow_windows
 from tests.llm.test_secrets import base
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_simhash import slow_near_copies
 from tests.llm.test_tokens_and_packing import check_pieces
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,7 +36,7 @@ def test_stages_against_brute_force(spark):
 
     two, next_ = step("simhash_near_dedup", one)
     ids = sorted(got)
-    roots = slow_components([slow_fingerprint(got[i]["text"]) for i in ids])
+    roots = slow_near_copies([got[i]["text"] for i in ids])
     assert two.columns == COLUMNS and set(next_) == {ids[r] for r in roots} and len(next_) < len(got)
 
     three, clean = step("benchmark_decontamination", two)
