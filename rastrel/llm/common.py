@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset the one that was given to
+    setCheckpointDir(). Without either, only a local session has a folder that all can read; others raise."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if folder:
@@ -21,6 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
     held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    import tempfile
+
     context.setCheckpointDir(tempfile.mkdtemp(prefix="rastrel-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -42,3 +47,11 @@ def discard(df: DataFrame) -> None:
     for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(rows: DataFrame, names: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows joined with names, one row a key, on key. The keys in `hot`, a table of bounded size, go by broadcast, so that
+    no task gets all rows of one; the others by a shuffle."""
+    hot = hot.select(key).distinct()
+    some = rows.join(F.broadcast(names.join(F.broadcast(hot), key, "left_semi")), key)
+    return some.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(names, key))

@@ -14,13 +14,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import written
+from rastrel.llm.common import spread_join, written
 from rastrel.llm.components import connected_components
 from rastrel.llm.fingerprints import fingerprint
+from rastrel.llm.nearcopies import deduplicated
 
 MAX_BITS = 3
 SEGMENTS = 4
 SEGMENT_BITS = 16
+#: A fingerprint or a component with more than one in so many rows is hot; there are no more than so many of them.
+HOT = 1000
+__all__ = ["deduplicated", "hamming_links", "simhash_components", "with_fingerprints"]
 
 
 def _signed(x: int) -> int:
@@ -77,21 +81,14 @@ def simhash_components(docs: DataFrame, keys: list[str], order: str = "doc_id",
     are null. Repeated rows stay. An empty table gives an empty table.
     """
     marked = written(with_fingerprints(docs, keys, text), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min(order).alias("least")), "distinct-fingerprints")
+    distinct = written(marked.groupBy("fp").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     parts = connected_components(hamming_links(distinct.select("fp")))
     labelled = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
-    names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(names, "component").select(F.col("fp").alias("__fp"), "component_id")
-    return marked.join(by_fp, F.col("fp") == F.col("__fp")).drop("__fp")
-
-
-def deduplicated(docs: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs with one of each component left: that of the least `order`, then of the least hash of the row."""
-    marked = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    found = simhash_components(marked, [order, "__row"], order, text)
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("id"), F.col("__row").alias("row"))).alias("best"))
-    best = best.select(F.col("best.id").alias("__id"), F.col("best.row").alias("__best"))
-    kept = marked.join(best, F.col(order).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__best")), "left_semi")
-    return kept.dropDuplicates([order, "__row"]).select(*docs.columns)
+    names = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    total = distinct.agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows")).first()
+    large = names.where(F.col("n") * HOT > total["texts"])
+    by_fp = spread_join(labelled.select("fp", "component"), names.select("component", "component_id"), "component", large).select("fp", "component_id")
+    often = distinct.where(F.col("n") * HOT > (total["rows"] or 0))
+    return spread_join(marked, by_fp, "fp", often).select(*marked.columns, "component_id")
