@@ -1,8 +1,11 @@
 import random
 import re
+import zlib
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rastrel.llm import pii, sharding, urls
 from tests.conftest import DATA
@@ -38,7 +41,69 @@ def test_words_and_verdicts(spark):
     got = {r["page_id"]: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert "h:cheap h:pills" in got[500]["words"] and got[500]["verdict"] == "block"
     assert "h:river h:stone" in got[501]["words"] and got[501]["verdict"] == "allow"
-    assert urls.unigrams(spark.createDataFrame(rows, "page_id long, url string, html string")) == {w: 200 for w in ("river", "stone", "cheap", "free", "house")}
+    counted = urls.word_counts(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["word"]: r["n"] for r in counted.collect()} == {w: 200 for w in ("river", "stone", "cheap", "free", "house")}
+
+
+def slow_verdicts(rows):
+    """verdict by page_id, with every word counted and every split of a run tried over all its letters."""
+    import math
+
+    counts = Counter()
+    for r in rows:
+        html = re.sub(r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ", r["html"] or "")
+        counts.update(re.findall(r"[^\W\d_]+", html.lower()))
+    total = sum(counts.values()) + 1
+    cost = {w: math.log(total / max(n, 20 if w in urls.SEEDS else 0)) for w, n in counts.items()} | {w: math.log(total / 20) for w in urls.SEEDS if w not in counts}
+
+    def split(run):
+        best = [(0.0, 0)]
+        for end in range(1, len(run) + 1):
+            best.append(min((best[s][0] + cost.get(run[s:end], math.log(10 * total) + 2.3 * (end - s)), s) for s in range(end)))
+        words, end = [], len(run)
+        while end:
+            words.insert(0, run[best[end][1] : end])
+            end = best[end][1]
+        return words
+
+    passed = {w for h, p, _ in urls.RULES for w in re.findall(r"[^\W\d_]+|\d+", h + p)}
+    seen, n, of, out = [], [Counter(), Counter()], [0, 0], {}
+    for r in rows:
+        host, path, rule, verdict = slow_rule(r["url"])
+        tokens = []
+        for side, text in (("h", host), ("p", path.lower())):
+            for run in re.findall(r"[^\W\d_]+|\d+", text):
+                tokens += [f"{side}:{w}" for w in ([f"<{len(run)} digits>"] if run.isdigit() else split(run)) if w not in passed]
+        block = any(t[2:] in urls.SEEDS for t in tokens)
+        if tokens and (block or verdict != "block"):
+            of[block] += 1
+            n[block].update(zlib.crc32(t.encode()) % urls.FEATURES for t in tokens)
+        seen.append((r["page_id"], verdict, tokens))
+    kinds = len(set(n[0]) | set(n[1]))
+    for page, verdict, tokens in seen:
+        score = math.log((of[1] + 1) / (of[0] + 1))
+        for f in (zlib.crc32(t.encode()) % urls.FEATURES for t in tokens):
+            if f in n[0] or f in n[1]:
+                score += math.log((n[1][f] + 0.1) / (n[1].total() + 0.1 * kinds)) - math.log((n[0][f] + 0.1) / (n[0].total() + 0.1 * kinds))
+        out[page] = verdict or ("block" if tokens and min(of) and score > 0 else "allow", tokens, score)
+    return out
+
+
+def test_verdicts_against_brute_force(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    long = "verylongwordofmorethantwentyfourletters"
+    extra = [(10_000 + i, f"http://{h}.net/{p}", f"<P>{long} pills river</P><SCRIPT>hiddenword();</SCRIPT>", None) for i, (h, p) in enumerate(
+        [("cheap" + long, "x"), ("hiddenword", "pillsriver"), (long + long, long), ("casinoriver", "casino"), ("a" * 3000, "b" * 3000), ("x", "/".join("river" for _ in range(3000)))])]
+    both = pages.select("page_id", "url", "html", F.lit(1).alias("word")).union(spark.createDataFrame(extra, "page_id long, url string, html string, word int"))
+    want = slow_verdicts(both.collect())
+    got = {r["page_id"]: r for r in urls.judged(both).collect()}
+    assert set(got) == set(want)
+    for page, w in want.items():
+        if isinstance(w, str):
+            assert got[page]["verdict"] == w
+        else:
+            assert got[page]["words"] == " ".join(w[1]) and (got[page]["verdict"] == w[0] or abs(w[2]) < 1e-9), page
+    assert f"h:cheap h:{long}" in got[10_000]["words"] and "h:hiddenword" in got[10_001]["words"]
 
 
 def test_viterbi_is_the_best_split():
