@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 #: N-grams of a profile, of a language and of a document alike; also the distance of one that a profile lacks.
 PROFILE = 300
 LONGEST = 3
-#: Documents that a language is learned from, on average at most: a bounded sample, chosen by a hash of doc_id.
+#: Documents that a language is learned from, on average at most: a bounded sample, chosen by a hash of doc_id and text.
 SAMPLE = 3000
-#: Languages at most, the most frequent first.
-LANGUAGES = 400
+#: A text is rejected that scores less than so much of what all but one in a hundred of its language's sample reach.
+FLOOR = 0.7
 UNDETERMINED = "und"
 _EDGE = 0x5F  # an underscore stands for each run of what is no letter
 _BLOCK = 1 << 20
@@ -97,14 +97,31 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE, languages: int = LANGUAGES) -> Profiles:
-    """Profiles of the languages in `lang`, from rows that are not held out and have both lang and text."""
+def _sample(docs: DataFrame, sample: int) -> DataFrame | None:
+    """lang and text of the rows to learn from: not held out, with both; equal rows once. None if there are none."""
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language, as in the model
     if not sizes:
+        return None
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample / n))))
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.try_element_at(share, "lang") * (1 << 20))
+    return chosen.distinct().select("lang", "text")
+
+
+def floors(docs: DataFrame, profiles: Profiles, sample: int = SAMPLE) -> dict[str, float]:
+    """The least score at which a text is taken to be in a language, by language, from the scores of the sample."""
+    chosen = _sample(docs, sample)
+    if chosen is None:
+        return {}
+    low = identify(chosen, profiles, []).groupBy("lang_pred").agg(F.percentile_approx("score", 0.01, F.lit(10_000)).alias("low"))
+    return {r["lang_pred"]: FLOOR * r["low"] for r in low.collect()}
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> Profiles:
+    """Profiles of the languages in `lang`, from rows that are not held out and have both lang and text."""
+    chosen = _sample(docs, sample)
+    if chosen is None:
         return Profiles({})
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.try_element_at(share, "lang") * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -135,19 +152,20 @@ def learn(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE, languages:
     return Profiles({lang: [g for _, g in sorted(found)] for lang, found in ranks.items()}, size)
 
 
-def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep`, lang_pred and score of each row; `und` and 0 for a text that is null or has no letter, and
-    for all texts if no language was learned. Only the text is looked at."""
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    names = [f.name for f in schema]
+def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep`, then the language and the score of each row by these names; `und` and 0 for a text that is
+    null or has no letter, and for all texts if no language was learned. Only the text is looked at."""
+    sent = keep if text in keep else [*keep, text]
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
+    at = sent.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            judged = [profiles.judge(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            judged = [profiles.judge(t.as_py()) for t in batch.column(at)]
             made = [pa.array([x[0] for x in judged], pa.string()), pa.array([x[1] for x in judged], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], schema.names)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame) -> DataFrame:
@@ -156,8 +174,12 @@ def predict(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows whose text has a language: not undetermined, and with an n-gram in common with its profile."""
-    judged = identify(docs, learn(docs), docs.columns)
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") > 0)).select(*docs.columns)
-
+    """The rows whose text has a language: not undetermined, and with a score that is not under that language's floor.
 
+    Columns of any names stay as they are; null texts and texts without letters go. An empty table gives an empty one.
+    """
+    profiles = learn(docs)
+    judged = identify(docs, profiles, docs.columns, names=("__lang", "__score"))
+    least = sorted(floors(docs, profiles).items())
+    enough = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in least for x in pair)), "__lang"), F.lit(0.0)) if least else F.lit(0.0)
+    return judged.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") > 0) & (F.col("__score") >= enough)).select(*docs.columns)
