@@ -3,7 +3,11 @@
 Numbers, names and units become typed placeholders, so a question keeps its template when its parameters change.
 Windows of five template words are hash-joined between documents and benchmark items. Windows that continue each
 other make a run, within which the slots must agree: each value of the item has one value in the document. Windows
-whose values are the item's own count by themselves too, whether or not the slots of their run agree.
+whose values are the item's own count by themselves too, whether or not the slots of their run agree. A window of
+nothing but slots says little: it is known by its values.
+
+A capitalised word inside a sentence is a name; at the start of one it is a name unless the benchmark has the word in
+lower case somewhere.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from rastrel.llm.common import written
 WORDS = 5
 #: Share of an item's windows that a document has, or words in a row; either is contamination.
 COVERAGE, RUN_WORDS = 0.8, 13
+#: Literal words of an item of fewer than five words at least; one with less ("42") is not looked for.
+LITERALS = 3
 #: Slots of the filter that documents are held against before the join; bounded, whatever the benchmark's size.
 FILTER_BITS = 22
 _SEED = 7
@@ -52,12 +58,16 @@ _TYPED = {NUMBER: _code("<number>"), UNIT: _code("<unit>"), NAME: _code("<name>"
 
 
 class Template:
-    """Template codes of words, remembered by word in a bounded table."""
+    """Template codes of words, remembered by word in a bounded table.
+
+    common: by the first bits of their codes, the words that are no names at the start of a sentence; without it none is.
+    """
 
-    #: Of a word at the start of a sentence and inside one: its code and type; and whether it ends a sentence.
-    KIND = np.dtype([("start", np.uint64), ("start_kind", np.int8), ("inside", np.uint64), ("kind", np.int8), ("ends", bool)])
+    #: Of a word at the start of a sentence and inside one: its code and type; whether it ends a sentence; its own code.
+    KIND = np.dtype([("start", np.uint64), ("start_kind", np.int8), ("inside", np.uint64), ("kind", np.int8), ("ends", bool), ("own", np.uint64)])
 
-    def __init__(self) -> None:
+    def __init__(self, common: np.ndarray | None = None) -> None:
+        self.common = common
         self.kept: dict[str, int] = {}
         self.table = np.empty(1 << 16, self.KIND)
 
@@ -74,50 +84,47 @@ class Template:
             self.kept.update(zip(new, range(at, end)))
         return np.fromiter(map(self.kept.__getitem__, words), np.int64, len(words))
 
-    def _word(self, word: str) -> tuple[int, int, int, int, bool]:
-        """(code, type) at the start of a sentence, (code, type) inside one, and whether the word ends a sentence.
+    def _word(self, word: str) -> tuple[int, int, int, int, bool, int]:
+        """(code, type) at the start of a sentence, (code, type) inside one, whether the word ends a sentence, and its own code.
 
         A word without letters or digits has code 0 and is passed over. Words stand between white space.
         """
         bare = word.strip(".,;:!?\"'()[]")
         if bare.isalpha():  # most words
             ends = not word[-1].isalpha() and word.rstrip("\"')]")[-1:] in (".", "!", "?", ":")
-            low = bare.lower()
-            if low in UNITS:
-                return _TYPED[UNIT], UNIT, _TYPED[UNIT], UNIT, ends
-            code = _code(low)
-            return (code, LITERAL, _TYPED[NAME], NAME, ends) if bare[0].isupper() and not bare.isupper() else (code, LITERAL, code, LITERAL, ends)
-        bare = _TRIM.sub("", word)
-        ends = word.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":")
-        if not any(c.isalnum() for c in bare):
-            return 0, LITERAL, 0, LITERAL, ends
-        low = bare.lower()
-        if _NUMBER.fullmatch(bare):
-            kind = NUMBER
-        elif low in UNITS:
-            kind = UNIT
         else:
-            code = _code(low)
-            return (code, LITERAL, _TYPED[NAME], NAME, ends) if bare[0].isupper() and not bare.isupper() else (code, LITERAL, code, LITERAL, ends)
-        return _TYPED[kind], kind, _TYPED[kind], kind, ends
-
-    def many(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], np.ndarray]]:
-        """(codes, types, dictionary, words) of each text, the words by number in the dictionary. Arrow splits the texts
-        and numbers their words, so that each different one is looked at once."""
+            bare = _TRIM.sub("", word)
+            ends = word.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":")
+            if not any(c.isalnum() for c in bare):
+                return 0, LITERAL, 0, LITERAL, ends, 0
+        low = bare.lower()
+        code = _code(low)
+        kind = UNIT if low in UNITS else LITERAL if bare.isalpha() or not _NUMBER.fullmatch(bare) else NUMBER
+        if kind:
+            return _TYPED[kind], kind, _TYPED[kind], kind, ends, code
+        if not bare[0].isupper() or bare.isupper():
+            return code, LITERAL, code, LITERAL, ends, code
+        if self.common is None or self.common[code >> 64 - FILTER_BITS]:
+            return code, LITERAL, _TYPED[NAME], NAME, ends, code
+        return _TYPED[NAME], NAME, _TYPED[NAME], NAME, ends, code
+
+    def many(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]]:
+        """(codes, types, dictionary, words, own codes) of each text, the words by number in the dictionary. Arrow splits
+        the texts and numbers their words, so that each different one is looked at once."""
         cut = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.string()))
         coded = cut.flatten().dictionary_encode()
         at, edges, words = coded.indices.to_numpy(), cut.offsets.to_numpy(), coded.dictionary.to_pylist()
         numbers = self._numbers(words)  # may make the table anew
         table = self.table[numbers]
-        start, start_kind, inside, kind, ends = (np.ascontiguousarray(table[c]) for c in self.KIND.names)
+        start, start_kind, inside, kind, ends, codes = (np.ascontiguousarray(table[c]) for c in self.KIND.names)
         for a, b in zip(edges.tolist(), edges[1:].tolist()):
             own = at[a:b]
             own = own[inside[own] != 0]
             first = np.empty(own.size, bool)
             first[:1], first[1:] = True, ends[own[:-1]]
-            yield np.where(first, start[own], inside[own]), np.where(first, start_kind[own], kind[own]), words, own
+            yield np.where(first, start[own], inside[own]), np.where(first, start_kind[own], kind[own]), words, own, codes[own]
 
-    def blocks(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], np.ndarray]]:
+    def blocks(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]]:
         """many() over texts that together are about a block long, in turn."""
         at = 0
         while at < len(texts):
@@ -130,7 +137,7 @@ class Template:
 
     def words(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(codes, types, words) of a text, in order."""
-        codes, kinds, words, own = next(self.many([text]))
+        codes, kinds, words, own, _ = next(self.many([text]))
         return codes, kinds, [words[k] for k in own.tolist()]
 
 
@@ -148,29 +155,50 @@ def windows(codes: np.ndarray, size: int) -> np.ndarray:
 _SCHEMA = "row long, key long, place int, hash long, slots array<string>, length int, size int"
 
 
-def _found(found: tuple[np.ndarray, np.ndarray, list[str], np.ndarray], sizes: list[int], whole: bool, slots: np.ndarray | None) -> Iterator[tuple[int, int, list[str], int, int]]:
+def _found(found: tuple, sizes: list[int], whole: bool, slots: np.ndarray | None) -> Iterator[tuple[int, int, list[str], int, int]]:
     """(place, hash, slot values, words of the text, window size) of windows; of those that may be in the benchmark."""
-    codes, kinds, words, own = found
+    codes, kinds, words, own, values = found
+    if whole and codes.size < WORDS and (kinds == LITERAL).sum() < LITERALS:
+        return
     for size in [min(WORDS, codes.size)] if whole else sizes:
         hashes = windows(codes, size) if size else np.empty(0, np.uint64)
+        literals = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
+        bare = literals[size:] == literals[:-size] if hashes.size else np.empty(0, bool)
+        if bare.any():
+            hashes = np.where(bare, windows(values, size), hashes)
         at = np.arange(hashes.size) if slots is None else np.flatnonzero(slots[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         for i, h in zip(at.tolist(), hashes[at].astype(np.int64).tolist()):
-            values = [_TRIM.sub("", words[own[i + k]]).lower() if kinds[i + k] else "" for k in range(size)]
-            yield i, h, values, codes.size, size
+            texts = [_TRIM.sub("", words[own[i + k]]).lower() if kinds[i + k] else "" for k in range(size)]
+            yield i, h, texts, codes.size, size
+
+
+def common_words(texts: DataFrame, text: str = "text") -> np.ndarray:
+    """The words that texts have in lower case, by the first FILTER_BITS bits of their codes: a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                words = {bare for w in (content or "").split() if (bare := _TRIM.sub("", w)) and bare[0].islower()}
+                yield pa.RecordBatch.from_arrays([pa.array([_code(w.lower()) >> 64 - FILTER_BITS for w in words], pa.int32())], ["slot"])
+
+    seen = np.zeros(1 << FILTER_BITS, bool)
+    rows = texts.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "slot int").distinct()
+    seen[[r[0] for r in rows.toLocalIterator()]] = True  # as many as the table has slots at most
+    return seen
 
 
-def template_windows(rows: DataFrame, key: str, sizes: list[int], whole: bool = False, slots: np.ndarray | None = None, text: str = "text") -> DataFrame:
+def template_windows(rows: DataFrame, key: str, sizes: list[int], whole: bool = False, slots: np.ndarray | None = None, text: str = "text", common: np.ndarray | None = None) -> DataFrame:
     """Windows of each row's template: (row, key, place, hash, slots, length, size); whole: of a short text, all of it.
 
     row tells rows of one key apart.
     """
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32()]
-    packed = None if slots is None else np.packbits(slots).tobytes()
+    packed = [None if x is None else np.packbits(x).tobytes() for x in (slots, common)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template, rows, number = Template(), [], TaskContext.get().partitionId() << 40
-        held = None if packed is None else np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        held, lower = (None if x is None else np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in packed)
+        template, rows, number = Template(lower), [], TaskContext.get().partitionId() << 40
         for batch in batches:
             for k, found in zip(batch.column(0).to_pylist(), template.blocks(batch.column(1).to_pylist())):
                 number += 1
@@ -190,16 +218,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     A document has an item if it has `coverage` of the item's windows, either in runs whose slots agree or with the
     item's own values, or `run_words` words in a row in a run whose slots agree (an item of fewer than five words: all of
-    it in a row). slots_agree: false if in some run one value of the item stood for two in the document. Null or empty texts match nothing, null ids are passed over,
+    it in a row, if LITERALS of them are no slots). slots_agree: false if in some run one value of the item stood for two in the document. Null or empty texts match nothing, null ids are passed over,
     rows of one doc_id are judged apart and the best is told. Items of one text are all named. Empty tables give no rows.
     """
     # the windows of the benchmark serve both the filter and the join
-    items = written(template_windows(benchmark.where("item_id is not null").dropDuplicates(["item_id", "text"]), "item_id", [], whole=True), "benchmark-windows")
+    named = benchmark.where("item_id is not null").select("item_id", "text")
+    common = common_words(named)
+    items = written(template_windows(named.distinct(), "item_id", [], whole=True, common=common), "benchmark-windows")
     sizes = [r[0] for r in items.select("size").distinct().collect()]  # five at most
     slot = F.shiftrightunsigned("hash", 64 - FILTER_BITS).cast("int").alias("slot")
     filled = np.zeros(1 << FILTER_BITS, bool)
     filled[[r[0] for r in items.select(slot).distinct().toLocalIterator()]] = True  # as many as the filter has slots at most
-    there = template_windows(docs.where("doc_id is not null"), "doc_id", sizes, slots=filled)
+    there = template_windows(docs.where("doc_id is not null"), "doc_id", sizes, slots=filled, common=common)
     item = items.select("hash", F.col("row").alias("item_row"), F.col("key").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), (F.col("length") - F.col("size") + 1).alias("windows"), F.col("size").alias("item_size"))
     pairs = there.join(item, "hash").where("size = item_size").select(
         "row", F.col("key").alias("doc_id"), "item_row", "item_id", "place", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), "windows", "size", "slots", "item_slots"

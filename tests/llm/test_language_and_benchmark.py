@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -74,6 +75,23 @@ def test_odd_rows(spark):
     assert kept.columns == mixed.columns and {r["doc_id"] for r in kept.collect()} >= {20, 21, 22, 23, 24, 25}
 
 
+def test_noise_and_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    noise = ["xkcd qwrtp zzzz vbnm jkl wqp mnbv tyq hjkl zxcv bnmq wrtp", "Кошка сидит на столе и смотрит в окно", "猫はテーブルの上に座っています", "k9 x7 qz vv jj ww xx kkq zpt rrw"]
+    extra = documents(spark, [(100_000 + i, t) for i, t in enumerate(noise)] + [(200_000, "This is a short English sentence about the weather.")])
+    both = docs.select(*extra.columns).union(extra).selectExpr("*", "1 AS score", "2 AS lang_pred", "3 AS __text")
+    kept = langid.accepted(both)
+    assert kept.columns == both.columns
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert ids >= {r["doc_id"] for r in docs.collect()} | {200_000} and not ids & {100_000 + i for i in range(len(noise))}
+
+
+def test_repeated_rows_without_id_do_not_outgrow_the_sample(spark):
+    rows = [(None, "the same english words", "en")] * 500 + [(i, f"words number {i} of the english language", "en") for i in range(50)]
+    chosen = langid._sample(documents(spark, rows), 30)
+    assert chosen.count() < 60
+
+
 def slow_windows(text, size):
     template = decontaminate.Template()
     codes, _, _ = template.words(text)
@@ -125,3 +143,44 @@ def test_one_changed_value_does_not_hide_a_copy(spark):
     assert set(got) == {1, 2, 4}
     assert (got[1]["matched"], got[1]["windows"], got[1]["slots_agree"]) == (51, 56, False)
     assert (got[2]["matched"], got[2]["run_words"], got[2]["slots_agree"]) == (56, 60, True)
+
+
+NAMES = "Natalia Weng Betty Julie James Mark Albert Ken Alexis Tina Randy Jasper Joy Bella Carlos Dana Ethan Fiona Grace Hugo".split()
+STORIES = [
+    "{A} sold {n} clips to friends in April. {A} then gave {m} of them to {B} and kept the rest. How many clips did {A} keep?",
+    "{A} is {n} years old and {B} is {m} years older than that. Together with {A} they pay {k} dollars for the ride home.",
+    "{A} runs {n} km every day while {B} walks {m} km in the park. {B} stops after {k} days. {A} never stops at all.",
+    "At the market {A} buys {n} kg of apples for {k} dollars. {B} buys {m} kg of pears there. Who pays more per kg and why?",
+]
+
+
+def test_names_at_sentence_starts_and_recall(spark):
+    """Of items told again with other names and numbers, nine in ten are found; told with other words, none."""
+    rng, items, rows = random.Random(6), [], []
+    for i in range(60):
+        story = STORIES[i % 4]
+        names, numbers = rng.sample(NAMES, 4), rng.sample(range(2, 500), 6)
+        items.append((i, f"Item {chr(97 + i % 26)}{chr(97 + i // 26)} reads: " + story.format(A=names[0], B=names[1], n=numbers[0], m=numbers[1], k=numbers[2])))
+        rows.append((i, "Some words before it. " + items[-1][1].replace(names[0], names[2]).replace(names[1], names[3]).replace(str(numbers[0]), str(numbers[3])).replace(str(numbers[1]), str(numbers[4])).replace(str(numbers[2]), str(numbers[5]))))
+        rows.append((1000 + i, f"{names[0]} went out at {numbers[0]} and saw {names[1]} there. {names[1]} had {numbers[1]} things to tell. All of them were new to everybody."))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(documents(spark, rows), bench).collect()}
+    assert sum((i, i) in got for i in range(60)) >= 54 and not [d for d, _ in got if d >= 1000]
+
+
+def test_figures_alone_are_no_template(spark):
+    table = " ".join(str(k) for k in range(100, 130))
+    bench = spark.createDataFrame([(1, "42"), (2, "7 8 9 10 11 12"), (3, "7 km"), (4, "a 7"), (5, table)], "item_id long, text string")
+    rows = [(1, f"The answer is 42 and {table}"), (2, "rows 1 2 3 4 5 6 7 8 9 20 21 22 in a table"), (3, "then 7 8 9 10 11 12 follow"), (4, "a 7 km walk")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(documents(spark, rows), bench).collect()}
+    assert got == {(1, 5), (3, 2)}
+    left = decontaminate.decontaminated(documents(spark, rows).selectExpr("*", "1 AS item_id", "2 AS hash"), bench)
+    assert sorted(r["doc_id"] for r in left.collect()) == [2, 4] and "item_id" in left.columns
+
+
+def test_very_long_text(spark):
+    item = "the quick grey heron waits beside the still green water until evening comes again"
+    long = " ".join(f"word{k} and some {k} more" for k in range(60_000))
+    rows = [(1, f"{long} {item} {long}"), (2, long)]
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.contaminated(documents(spark, rows), bench).collect()] == [(1, 9, 1.0)]
