@@ -28,7 +28,7 @@ PATTERNS = {
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:(?:-| (?!\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}[/-]\d{1,2}[/-]\d|\d{3}-\d{2}-\d{4}(?!\d)|\d{1,3}(?:\.\d{1,3}){3}|[\w.+-]{1,64}@))?\d){12,}(?![\d-])",
-    "phone": r"(?<![\w+])\+(?:1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,10})(?!\d)",
+    "phone": r"(?<![\w+])\+(?:1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,10})(?!\d)|(?<![\w+-])(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[.-]\d{4}(?![\d-])",
 }
 KINDS = tuple(PATTERNS)
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()), re.ASCII)
@@ -43,6 +43,9 @@ _IBAN_SIZE = {
     }.items()
 }
 _IBAN_SIZE = {name: size for size, names in _IBAN_SIZE.items() for name in names}
+# Country codes of one and of two digits; the others have three.
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_NATIONAL = re.compile(r"[2-9]\d\d[2-9]\d{6}")
 #: Digits of a card, in the order in which they are tried.
 _CARD_SIZES = (16, 15, 14, 13, 19, 18, 17)
 _GROUP = re.compile(r"\d+")
@@ -141,19 +144,13 @@ def _date(f: Feistel, v: str, back: bool) -> str | None:
         return None
     if not _FIRST_DAY <= at <= _LAST_DAY:
         return None
-    if order == "dmy/":  # only days past the 12th are written so; they are permuted among themselves
-        n, x = 200 * 12 * 19, ((found["y"] - 1900) * 12 + found["m"] - 1) * 19 + found["d"] - 13
-        while True:
-            x = f.permute(x, n, "date|late", back)
-            y, m, d = 1900 + x // 228, x // 19 % 12 + 1, x % 19 + 13
-            try:
-                datetime.date(y, m, d)
-            except ValueError:
-                continue
-            return f"{d:0{pad}d}/{m:0{pad}d}/{y:04d}"
-    new = datetime.date.fromordinal(_FIRST_DAY + f.permute(at - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, "date", back))
+    # a day past the 12th goes to another such day, in every layout, as a slash before the month can only stand there
+    day, new = datetime.date.fromordinal(at), None
+    while new is None or (new.day > 12) != (day.day > 12):
+        at = _FIRST_DAY + f.permute(at - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, "date", back)
+        new = datetime.date.fromordinal(at)
     text = {"y": f"{new.year:04d}", "m": f"{new.month:0{pad}d}", "d": f"{new.day:0{pad}d}"}
-    return sep.join(text[c] for c in order)
+    return sep.join(text[c] for c in order.rstrip("/"))
 
 
 def _ip(f: Feistel, v: str, back: bool) -> str | None:
@@ -216,14 +213,18 @@ def _one_card(f: Feistel, v: str, back: bool) -> str:
 
 
 def _phone(f: Feistel, v: str, back: bool) -> str | None:
-    head = re.match(r"\+\d{1,3}(?=[ .(-])|\+1|\+[2-9]\d", v)
-    if not head:
-        return None
-    rest = v[head.end() :]
-    digits = re.sub(r"\D", "", rest)
-    if not 7 <= len(digits) <= 12:
+    """The digits after the country code, whatever stands between them; without a code a number of ten digits is one of
+    +1. With +1, numbers that could stand without it are permuted among themselves."""
+    digits = re.sub(r"\D", "", v)
+    code = next((digits[:n] for n in (1, 2) if digits[:n] in _CODES), digits[:3]) if v[0] == "+" else "1"
+    rest = digits[len(code) :] if v[0] == "+" else digits
+    if not 7 <= len(rest) <= 12:
         return None
-    return head[0] + _filled(rest, f"{f.permute(int(digits), 10 ** len(digits), f'phone|{head[0]}', back):0{len(digits)}d}")
+    new = rest
+    while True:
+        new = f"{f.permute(int(new), 10 ** len(rest), f'phone|+{code}', back):0{len(rest)}d}"
+        if code != "1" or bool(_NATIONAL.fullmatch(new)) == bool(_NATIONAL.fullmatch(rest)):
+            return _filled(v, code + new if v[0] == "+" else new)
 
 
 _FORMATS = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}

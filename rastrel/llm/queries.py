@@ -47,7 +47,9 @@ def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents"), ["doc_id"])
+    """With the key of spark.rastrel.pseudonym.key; without that setting, the development key."""
+    key = spark.conf.get("spark.rastrel.pseudonym.key", None)
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), ["doc_id"], key.encode() if key else pii.DEFAULT_KEY)
 
 
 def op10_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,3 +228,56 @@ def test_values_beside_other_text_are_found():
         parts = [f"{(s := f'4{rng.randrange(10**14):014d}')}{pii.luhn_digit(s)}" if rng.random() < 0.5 else str(rng.randrange(10 ** rng.randint(1, 6))) for _ in range(rng.randint(1, 5))]
         text = " ".join(parts)
         assert pii.replace(pii.replace(text, f)[0], f, back=True)[0] == text
+
+
+def test_values_are_linked_across_layouts():
+    f = pii.Feistel(b"key")
+
+    def told(text):
+        new, counts = pii.replace(text, f)
+        assert sum(counts.values()) == 1 and pii.replace(new, f, back=True)[0] == text and new != text
+        return new
+
+    for y, m, d in ((2023, 12, 25), (1999, 3, 4), (2024, 2, 29), (2001, 11, 12), (2001, 11, 13)):
+        want = [int(x) for x in told(f"{y}-{m:02d}-{d:02d}").split("-")]
+        for text, order in ((f"{y}/{m:02d}/{d:02d}", (0, 1, 2)), (f"{d:02d}.{m:02d}.{y}", (2, 1, 0)), (f"{d}-{m}-{y}", (2, 1, 0)), (f"{m:02d}/{d:02d}/{y}", (2, 0, 1))):
+            got = [int(x) for x in re.split("[/.-]", told(text))]
+            assert [got[k] for k in order] == want, text
+        if d > 12:
+            assert [int(x) for x in told(f"{d:02d}/{m:02d}/{y}").split("/")][::-1] == want
+    digits = lambda text: re.sub(r"\D", "", told(text))
+    assert digits("+358 40 1234567") == digits("+358401234567") == digits("+358-40-123 4567")
+    assert digits("+1 212-555-0187") == "1" + digits("212-555-0187") == "1" + digits("(212) 555-0187") == digits("+12125550187")
+    assert told("+1 (017) 555-7713").startswith("+1 (") and digits("+1 (017) 555-7713") == digits("+10175557713")
+    for text in ("112-555-0187", "212-155-0187", "2125550187", "5-212-555-0187", "212-555-0187-3"):
+        assert pii.replace(text, f) == (text, {})
+
+
+def slow_values(text):
+    """Values of an independent reading of plain forms, as a list of (kind, text)."""
+    found = []
+    for m in re.finditer(r"(?<![0-9-])[0-9]{16}(?![0-9-])", text):
+        total = sum(x if k % 2 else (2 * x if x < 5 else 2 * x - 9) for k, x in enumerate(map(int, m[0])))
+        if total % 10 == 0 and len(set(m[0])) > 1:
+            found.append(("card", m[0]))
+    found += [("email", m[0]) for m in re.finditer(r"(?<![A-Za-z0-9.+-])[a-z]+[0-9.a-z]*@[a-z0-9]+(?:[.][a-z0-9]+)*[.][a-z]{2,}(?![A-Za-z0-9-])", text)]
+    found += [("phone", m[0]) for m in re.finditer(r"(?<![0-9A-Za-z+])[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}(?![0-9])", text)]
+    found += [("ssn", m[0]) for m in re.finditer(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", text)]
+    return found
+
+
+def test_query_against_an_independent_detector(spark):
+    """Whatever the detector sees is hidden, the same everywhere, and texts in which it sees nothing stay (but for forms
+    that it does not know)."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymised(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), ["doc_id"]).collect()}
+    seen = {}
+    for i, text in docs.items():
+        own = slow_values(text or "")
+        for kind, value in own:
+            assert got[i][f"n_{kind}"] >= sum(k == kind for k, _ in own) and value not in got[i]["text"], (i, kind, value)
+            new = pii.replace(value, pii.Feistel(pii.DEFAULT_KEY))[0]
+            assert new in got[i]["text"] and seen.setdefault(value, new) == new
+        if not got[i]["n_pii"]:
+            assert got[i]["text"] == text and not own
+    assert len(seen) > 30
