@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +32,31 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the tables that written() makes inside, but for kept ones, when their readers are done: at the end."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for df in _SCRATCH.pop():
+            discard(df)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows of df, written as Parquet to a fresh folder of the shared one and reread: computed once, without lineage.
 
     Unlike checkpoint(), which computes its rows a second time to store them.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(made)
+    return made
 
 
 def discard(df: DataFrame) -> None:

@@ -9,6 +9,7 @@ baseline scan (one or three components, subsampled or not), with fewer intervals
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -137,8 +138,15 @@ class Picture:
     quantisers: tuple[tuple[int, tuple[int, ...]], ...] = ()
 
 
+#: A marker that is neither a stuffed byte nor a restart.
+_SCAN_END = re.compile(rb"\xff+[\x01-\xcf\xd8-\xfe]")
+#: What a file that is damaged or no baseline JPEG raises on its way.
+_BROKEN = (ValueError, KeyError, IndexError, TypeError, ZeroDivisionError, struct.error)
+
+
 def parse(data: bytes) -> Picture:
-    """The markers of a baseline JPEG with one scan; ValueError for what is none."""
+    """The markers of a baseline JPEG and its first scan with luminance (the frame's first component), whatever scans it
+    has besides; ValueError for what is none."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("no JPEG")
     found, at = Picture(), 2
@@ -176,9 +184,13 @@ def parse(data: bytes) -> Picture:
         elif 0xC1 <= marker <= 0xCF and marker != 0xC8:
             raise ValueError("not baseline")
         elif marker == 0xDA:
-            found.components = tuple((*frame[body[1 + 2 * i]], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0]))
-            end = data.rfind(b"\xff\xd9")
-            found.scan = data[at : end if end >= at else len(data)]
+            scanned = [body[1 + 2 * i] for i in range(body[0])]
+            end = stop.start() if (stop := _SCAN_END.search(data, at)) else len(data)
+            if next(iter(frame), None) not in scanned:
+                at = end
+                continue
+            found.components = tuple((*frame[c], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i, c in enumerate(scanned))
+            found.scan = data[at:end]
             found.tables, found.quantisers = tuple(sorted(tables.items())), tuple(sorted(quantisers.items()))
             return found
     raise ValueError("no scan")
@@ -356,29 +368,63 @@ _BYTE = np.zeros(512, np.uint8)
 _BYTE[_VALUES + 256] = np.arange(256)
 
 
-def facts(media: list[bytes]) -> list[tuple]:
-    """What the stored bytes of each file say; see _FACTS."""
-    pictures = [parse(m) for m in media]
-    by_kind: dict[tuple, list[int]] = {}
-    for k, p in enumerate(pictures):
-        by_kind.setdefault(alike(p), []).append(k)
-    out: list[tuple] = [()] * len(media)
-    for where in by_kind.values():
-        for k, coefficients in zip(where, decode_many([pictures[k] for k in where])):
-            picture = pictures[k]
-            size = int(picture.comment.removeprefix(b"bytes="))
-            length = -(-size // UNIT) * UNIT or UNIT
-            data = _BYTE[coefficients.reshape(-1)[:length] + 256].tobytes()
-            thumb = thumbnail(picture, coefficients)
-            out[k] = (
-                size, length, hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media[k]), hashlib.sha256(media[k]).hexdigest(),
-                picture.width, picture.height, feature(picture, thumb),
-            )
+def _read(media: list[bytes | None]) -> list[tuple[Picture, np.ndarray] | None]:
+    """The markers and coefficients of each file; None for one that is null or cannot be read."""
+    by_kind: dict[tuple, list[tuple[int, Picture]]] = {}
+    for k, data in enumerate(media):
+        try:
+            if data is not None and (picture := parse(data)).width and picture.height:
+                by_kind.setdefault(alike(picture), []).append((k, picture))
+        except _BROKEN:
+            continue
+    out: list[tuple[Picture, np.ndarray] | None] = [None] * len(media)
+
+    def decoded(some: list[tuple[int, Picture]]) -> None:
+        try:
+            for (k, picture), coefficients in zip(some, decode_many([p for _, p in some])):
+                out[k] = picture, coefficients
+        except _BROKEN:
+            if len(some) > 1:  # the damaged ones are found by halves
+                decoded(some[: len(some) // 2])
+                decoded(some[len(some) // 2 :])
+
+    for some in by_kind.values():
+        decoded(some)
+    return out
+
+
+def facts(media: list[bytes | None], strict: bool = True) -> list[tuple]:
+    """What the stored bytes of each file say; see _FACTS. A null file has nulls; one that was not made here no payload.
+    One that cannot be read raises ValueError, or if not strict has its own length and hash only."""
+    out: list[tuple] = []
+    for data, read in zip(media, _read(media)):
+        if data is None:
+            out.append((None,) * 9)
+            continue
+        stored = len(data), hashlib.sha256(data).hexdigest()
+        if read is None:
+            if strict:
+                raise ValueError("no baseline JPEG, or a damaged one")
+            out.append((None, None, None, None, *stored, None, None, None))
+            continue
+        picture, coefficients = read
+        shown = picture.width, picture.height, feature(picture, thumbnail(picture, coefficients))
+        said = re.fullmatch(rb"bytes=(\d{1,15})", picture.comment)
+        size = int(said[1]) if said else 0
+        length = -(-size // UNIT) * UNIT or UNIT
+        if not said or length > coefficients.size or np.abs(coefficients).max(initial=0) > 255:
+            out.append((None, None, None, None, *stored, *shown))
+            continue
+        payload = _BYTE[coefficients.reshape(-1)[:length] + 256].tobytes()
+        out.append((size, length, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *stored, *shown))
     return out
 
 
 def examined(media: DataFrame, keep: list[str], column: str = "media") -> DataFrame:
-    """The columns `keep` and what is read back from the stored files: sizes, hashes, dimensions and the feature."""
+    """The columns `keep` and what is read back from the stored files: sizes, hashes, dimensions and the feature.
+
+    No file fails the job: see facts() for null, damaged and foreign ones. Repeated rows stay; an empty table gives none.
+    """
     schema = media.select(*keep).schema
     for part in _FACTS.split(", "):
         schema = schema.add(part.split()[0], {"int": "integer"}.get(part.split()[1], part.split()[1]))
@@ -389,8 +435,8 @@ def examined(media: DataFrame, keep: list[str], column: str = "media") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files = batch.column(batch.num_columns - 1)
-            for a, b in _groups(pc.binary_length(files).to_pylist()):
-                found = list(zip(*facts(files.slice(a, b - a).to_pylist())))
+            for a, b in _groups([n or 0 for n in pc.binary_length(files).to_pylist()]):
+                found = list(zip(*facts(files.slice(a, b - a).to_pylist(), strict=False)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *(pa.array(c, t) for c, t in zip(found, types))], names)
 
     return media.select(*keep, F.col(column).alias("__media")).mapInArrow(run, schema)

@@ -116,12 +116,14 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars", scope: int = SCOPE) -> DataFrame:
-    """docs with each run of overlapping spans replaced by [SECRET]; `length`, if given, becomes the new length.
+    """docs with each run of overlapping spans replaced by [SECRET]; `length`, if docs has it, becomes the new length.
 
-    Rows without spans, null texts among them, are unchanged.
+    Rows without spans, null texts among them, are unchanged; columns of any other names stay as they are. Repeated rows
+    stay, and an empty table gives an empty one.
     """
-    found = located(docs, docs.columns, text, scope)
-    whole = F.col(text)
+    kept = docs.select(F.struct("*").alias("__doc"), F.col(text).alias("__content"))
+    found = located(kept, ["__doc"], "__content", scope)
+    whole = F.col(f"__doc.{text}")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(done: Column, s: Column) -> Column:
@@ -130,6 +132,9 @@ def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars"
         return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(fresh, F.concat(done["out"], F.array(gap, F.lit("[SECRET]")))).otherwise(done["out"]).alias("out"))
 
     made = F.aggregate("found", start, step, lambda done: F.concat(F.array_join(done["out"], ""), F.substring(whole, done["at"] + 1, F.length(whole))))
-    new = found.withColumn("__new", F.when(F.size("found") > 0, made).otherwise(whole))
-    changed = new.withColumn(length, F.when(F.size("found") > 0, F.length("__new").cast("long")).otherwise(F.col(length))) if length else new
-    return changed.withColumn(text, F.col("__new")).select(*docs.columns)
+    hit = F.size("found") > 0
+    new = found.withColumn("__new", F.when(hit, made).otherwise(whole))
+    fresh = {text: F.col("__new")}
+    if length in docs.columns:
+        fresh[length] = F.when(hit, F.length("__new").cast(docs.schema[length].dataType)).otherwise(F.col(f"__doc.{length}"))
+    return new.select(*((fresh[c] if c in fresh else F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns))

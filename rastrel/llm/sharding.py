@@ -50,11 +50,17 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def placed(docs: DataFrame, key: str = "doc_id", names: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
-    """docs with `slot` and `shard` by the hash of the key, without a shuffle. The broadcast has `slots` rows, always."""
+    """docs with `slot` and `shard` by the hash of the key, without a shuffle. The broadcast has `slots` rows, always.
+
+    Columns of docs that have these names are replaced, unless one of them is the key. A null key is an empty one;
+    repeated rows stay; an empty table gives no rows.
+    """
     names = names or shard_names()
+    if key in ("slot", "shard"):
+        raise ValueError(f"the key must not be called {key}")
     spark: SparkSession = docs.sparkSession
     table = spark.createDataFrame(list(enumerate(lookup_table(names, slots))), "__slot long, shard int")
-    at = docs.withColumn("slot", slot_of(F.col(key), slots))
+    at = docs.drop("shard", "__slot").withColumn("slot", slot_of(F.col(key), slots))
     return at.join(F.broadcast(table), F.col("slot") == F.col("__slot")).drop("__slot")
 
 

@@ -179,3 +179,31 @@ def test_tables(spark):
         want = sorted(((r["doc_id"], len((r["text"] or "").encode()), hashlib.sha256(media.payload_of((r["text"] or "").encode())).hexdigest()) for r in df.collect()), key=str)
         assert got == want
     assert media.stored_and_read(empty(spark)).count() == 0
+
+
+def test_null_damaged_and_foreign_files_fail_nothing(spark):
+    good = media.encode_many([media.payload_of(b"some text"), media.payload_of(b"")], [9, 0])
+    foreign = good[0].replace(b"bytes=9", b"made by")
+    files = [good[0], None, b"", b"junk", good[0][:200], good[1], b"\xff\xd8" + bytes(50), foreign, good[0][:-20] + b"\xff\xd9"]
+    rows = spark.createDataFrame(list(enumerate(files)), "k long, media binary").selectExpr("*", "1 AS __media_", "'x' AS text")
+    got = {r["k"]: r for r in media.examined(rows, ["k", "text"]).collect()}
+    assert len(got) == len(files) and all(r["text"] == "x" for r in got.values())
+    assert (got[0]["n_bytes"], got[5]["n_bytes"]) == (9, 0) and got[0]["feature"] and got[0]["payload_sha256"] == hashlib.sha256(media.payload_of(b"some text")).hexdigest()
+    assert all(v is None for v in list(got[1].asDict().values())[2:])
+    for k in (2, 3, 4, 6):
+        assert got[k]["media_bytes"] == len(files[k]) and got[k]["feature"] is None and got[k]["n_bytes"] is None
+    assert got[7]["n_bytes"] is None and got[7]["feature"] == got[0]["feature"]
+
+
+def test_scans_of_single_components(monkeypatch):
+    """A file with one scan for each component shows the luminance that the same blocks have in a file of their own."""
+    own = media.encode_many([media.payload_of(bytes(range(200)))], [200])[0]
+    at = own.index(b"\xff\xc0")
+    size = struct.unpack(">H", own[at + 2 : at + 4])[0]
+    high, wide = struct.unpack(">HH", own[at + 5 : at + 9])
+    frame = b"\xff\xc0" + struct.pack(">HBHHB", 14, 8, high, wide, 2) + b"\1\x11\0" + b"\2\x11\0"
+    scan = own.index(b"\xff\xda")
+    second = own[scan:-2].replace(b"\xff\xda\0\x08\1\1", b"\xff\xda\0\x08\1\2")
+    assert second != own[scan:-2]
+    for data in (own[:at] + frame + own[at + 2 + size : -2] + second + b"\xff\xd9", own[:at] + frame + own[at + 2 + size : scan] + second + own[scan:]):
+        assert media.facts([data])[0][-1] == media.facts([own])[0][-1]

@@ -64,3 +64,12 @@ def test_redaction(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 'é [SECRET]" end', "en", "s", 15), (2, "clean", "en", "s", 5), (3, None, None, None, None), (1, "[SECRET]", "en", "s", 8)], key=str)
     assert secrets.redacted(odd(spark)).count() == odd(spark).count()
     assert secrets.redacted(empty(spark)).count() == 0
+
+
+def test_redaction_with_clashing_columns_and_without_a_length(spark):
+    docs = documents(spark, [(1, "password: longenough1", "en", "s", 21), (2, None)])
+    odd_names = docs.selectExpr("doc_id", "text", "1 AS found", "2 AS __row", "3 AS __new", "4 AS `a.b`")
+    got = secrets.redacted(odd_names)
+    assert got.columns == odd_names.columns and sorted(map(tuple, got.collect()), key=str) == sorted([(1, "[SECRET]", 1, 2, 3, 4), (2, None, 1, 2, 3, 4)], key=str)
+    whole = docs.selectExpr("*", "7 AS found")
+    assert {r["doc_id"]: r["n_chars"] for r in secrets.redacted(whole).collect()} == {1: 8, 2: None}

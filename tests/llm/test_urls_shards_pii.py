@@ -146,6 +146,21 @@ def test_placement(spark):
     assert sharding.placed(empty(spark).select("doc_id")).count() == 0
 
 
+def test_clashing_columns_are_replaced(spark):
+    docs = documents(spark, [(1, "a"), (2, None), (None, "b")]).selectExpr("*", "'old' AS shard", "'old' AS slot")
+    got = sharding.placed(docs)
+    assert got.columns.count("shard") == got.columns.count("slot") == 1
+    want = {r["doc_id"]: (r["slot"], r["shard"]) for r in sharding.placed(docs.select("doc_id")).collect()}
+    assert {r["doc_id"]: (r["slot"], r["shard"]) for r in got.collect()} == want
+
+
+def test_very_long_texts_keep_their_values():
+    f = pii.Feistel(b"k")
+    text = "plain words and 12345 more of them " * 60_000 + "card 4111 1111 1111 1111 here"
+    new, counts = pii.replace(text, f)
+    assert counts == {"card": 1} and pii.replace(new, f, back=True)[0] == text
+
+
 def test_written_shards(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     sharding.write_shards(docs, str(tmp_path / "s"), salts=2)
