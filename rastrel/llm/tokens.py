@@ -28,6 +28,8 @@ _UNCUT = re.compile(" (?=[\\s\u180e\u200b\ufeff]|\\Z)")
 _RUN = re.compile("\n(?:(?=[\\s\u180e\u200b\ufeff])|(?<=[\\s\u180e\u200b\ufeff]\n))")
 _CUT = re.compile(" (?=[^\\s\u180e\u200b\ufeff])")
 _MARKS = tuple(".,!?;:")
+#: A mark between an ASCII letter and a blank is a piece; where blanks count, one behind this sign, which has none before it.
+_MARKED, _SIGN = "([A-Za-z])([.,!?;:]) ", "\x01"
 #: Longer pieces are not kept.
 _LONG = 48
 #: Pieces that a worker keeps at most, at about 250 bytes each; others are encoded again.
@@ -80,6 +82,7 @@ class Encoder:
         self.first: dict[str, bytes] = {}
         self.marks = {"": b""} | dict(zip(_MARKS, self._ids(list(_MARKS))))
         if blanks:
+            self.kept.update((_SIGN + mark, self.marks[mark]) for mark in _MARKS)
             self.marks["\n"] = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -126,15 +129,19 @@ class Encoder:
         return [own[s] + mark for s, mark in zip(stems, marks)]
 
     def _known(self, pieces: list[str]) -> list[bytes]:
-        """The ids of different pieces."""
-        found = list(map(self.kept.get, pieces))
-        new = [k for k, ids in enumerate(found) if ids is None]
-        made = self._learned([pieces[k] for k in new])
-        for k, ids in zip(new, made):
-            found[k] = ids
-        if len(self.kept) < self.most:
-            self.kept.update((pieces[k], ids) for k, ids in zip(new, made) if len(pieces[k]) <= _LONG)
-        return found  # type: ignore[return-value]
+        """The ids of different pieces. Those of letters alone, most of the new ones, are stems already."""
+        kept = self.kept
+        found = list(map(kept.get, pieces))
+        new = [p for p, ids in zip(pieces, found) if ids is None]
+        if not new:
+            return found  # type: ignore[return-value]
+        stems = [p for p in new if p.isalpha() and (self.blanks or p.islower() or not p.isascii())]
+        own = dict(zip(stems, self._stems(stems)))
+        rest = [p for p in new if p not in own]
+        own.update(zip(rest, self._learned(rest)))
+        if len(kept) < self.most:
+            kept.update(own if max(map(len, new)) <= _LONG else {p: ids for p, ids in own.items() if len(p) <= _LONG})
+        return [own[p] if ids is None else ids for p, ids in zip(pieces, found)]
 
     def _opening(self, pieces: list[str]) -> list[bytes]:
         """The ids of texts' first pieces, which have no blank before them."""
@@ -148,10 +155,12 @@ class Encoder:
         """Ids of each text; together they are not long."""
         if not self.blanks:
             lower = pa.array([t.lower() if t.isascii() else t for t in texts], pa.string())
-            return self._laid(pc.split_pattern(pc.replace_substring(lower, "\n", " "), " "))
-        odd = [_UNCUT.search(t) is not None or _RUN.search(t) is not None for t in texts]
+            marked = pc.replace_substring_regex(pc.replace_substring(lower, "\n", " "), _MARKED, r"\1 \2 ")
+            return self._laid(pc.split_pattern(marked, " "))
+        odd = [_UNCUT.search(t) is not None or _RUN.search(t) is not None or _SIGN in t for t in texts]
         even = pa.array([t for t, o in zip(texts, odd) if not o], pa.string())
-        plain = iter(self._laid(pc.split_pattern(pc.replace_substring(even, "\n", " \n"), " ")))
+        marked = pc.replace_substring_regex(pc.replace_substring(even, "\n", " \n"), _MARKED, rf"\1 {_SIGN}\2 ")
+        plain = iter(self._laid(pc.split_pattern(marked, " ")))
         others = iter(self._laid(pa.array([_CUT.split(t) for t, o in zip(texts, odd) if o], pa.list_(pa.string()))))
         return [next(others if o else plain) for o in odd]
 
@@ -190,7 +199,7 @@ class Encoder:
             for text in texts:
                 yield self._ids([text or ""])[0]
             return
-        marked = [k for k, t in enumerate(texts) if t and self.parted.search(t)]
+        marked = [k for k, t in enumerate(texts) if t and any(m in t for m in self.special)]
         if not marked:
             yield from self._plain(texts)
             return
