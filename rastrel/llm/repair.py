@@ -12,7 +12,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -61,13 +60,16 @@ def _compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST)
             none, room = kind((1 << 64) - 1), (1 << 32) - (1 << 16)
             codes, rules, waiting = codes.astype(kind), [wide(r) for r in rules], wide(waiting)
         pairs = (codes[:-1] << kind(half)) | codes[1:]
-        fresh = codes >= kind(newest)
-        open_ = fresh[:-1] | fresh[1:]
-        if waiting.size:
-            held = np.zeros(SLOTS, bool)
-            held[_slot(waiting)] = True
-            open_ |= held[_slot(pairs)]
-        places = np.flatnonzero(open_ & ~ends[:-1])
+        if not newest:
+            places = np.flatnonzero(~ends[:-1])
+        else:
+            fresh = codes >= kind(newest)
+            open_ = fresh[:-1] | fresh[1:]
+            if waiting.size:
+                held = np.zeros(SLOTS, bool)
+                held[_slot(waiting)] = True
+                open_ |= held[_slot(pairs)]
+            places = np.flatnonzero(open_ & ~ends[:-1])
         pairs = pairs[places]  # of each pair in it, all places
         kinds, counts = np.unique(pairs, return_counts=True)
         good = (counts >= least) & (kinds != none)
@@ -105,34 +107,45 @@ def _compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST)
     return codes, ends, np.stack([found >> kind(half), found & kind((1 << half) - 1)], axis=1).astype(np.int64)
 
 
-def _expansions(rules: np.ndarray, base: int) -> list[tuple[int, ...]]:
-    """The ids that each rule stands for."""
-    out: list[tuple[int, ...]] = []
-    for a, b in rules.tolist():
-        out.append((out[a - base] if a >= base else (a,)) + (out[b - base] if b >= base else (b,)))
-    return out
+def _levels(rules: np.ndarray, base: int) -> list[np.ndarray]:
+    """The rules by how deep they go: those of ids first, then those of ids and rules before."""
+    inside = np.where(rules >= base, rules - base, len(rules))
+    level = np.zeros(len(rules) + 1, np.int64)
+    level[-1] = -1
+    while True:
+        new = level[inside].max(axis=1, initial=-1) + 1
+        if (new == level[:-1]).all():
+            break
+        level[:-1] = new
+    order = np.argsort(level[:-1], kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(level[:-1][order])) + 1) if len(rules) else []
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each rule stands for."""
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
-    return np.array(out, np.int64)
+    size = np.ones(base + len(rules), np.int64)
+    for level in _levels(rules, base):
+        size[base + level] = size[rules[level]].sum(axis=1)
+    return size[base:]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of ranges laid end to end."""
+    kind = np.int32 if int(sizes.sum(dtype=np.int64)) < 1 << 31 else np.int64
+    ends = np.cumsum(sizes, dtype=kind)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if ends.size else 0, dtype=kind)
 
 
 def expand(codes: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids of codes: each takes its own from a table of all symbols' ids, laid end to end."""
-    if not codes.size:
-        return np.empty(0, np.uint32)
-    parts = _expansions(rules, base)
-    size = np.ones(base + len(parts), np.int32)
-    size[base:] = list(map(len, parts))
-    table = np.concatenate([np.arange(base, dtype=np.uint32), np.fromiter(chain.from_iterable(parts), np.uint32)])
-    count = size[codes]
-    kind = np.int32 if int(count.sum(dtype=np.int64)) < 1 << 31 else np.int64
-    start, ends = np.cumsum(size, dtype=kind) - size, np.cumsum(count, dtype=kind)
-    return table[np.repeat(start[codes] - (ends - count), count) + np.arange(ends[-1], dtype=kind)]
+    """The ids of codes: each takes its own from a table of all symbols' ids, laid end to end, level by level."""
+    size = np.ones(base + len(rules), np.int32)
+    size[base:] = expansion_lengths(rules, base)
+    start = np.cumsum(size, dtype=np.int32) - size
+    table = np.arange(int(size.sum()), dtype=np.uint32)  # an id stands for itself
+    for level in _levels(rules, base):
+        both = rules[level].ravel()
+        table[_ranges(start[base + level], size[base + level])] = table[_ranges(start[both], size[both])]
+    return table[_ranges(start[codes], size[codes])]
 
 
 def write_shard(doc_ids: list[int | None], ids: list[bytes], base: int) -> bytes:
