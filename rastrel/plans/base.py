@@ -33,16 +33,14 @@ def told(df: DataFrame, keys: tuple[str, ...], digits: int = 6, **columns: Colum
     return df.select(*keys, *(rounded(c, digits).alias(n) for n, c in columns.items()))
 
 
-# SQL of the rasters, as common table expressions.
-EMB = """emb AS (SELECT vec_id AS image_id, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x,
+# SQL of the rasters, as common table expressions; each is read once and none joins a table with itself.
+EMB = """emb AS MATERIALIZED (SELECT vec_id AS image_id, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x,
   (CAST(embedding[i + 1] AS DOUBLE) + 1) * 127.5 AS v FROM embeddings, range(64) AS t(i))"""
-PAIRS = EMB + """, pairs AS (SELECT a.image_id // 2 AS pair_id, a.y, a.x, a.v AS v0, b.v AS v1
-  FROM emb a JOIN emb b ON b.image_id = a.image_id + 1 AND a.y = b.y AND a.x = b.x WHERE a.image_id % 2 = 0)"""
-RGB = """unit AS (SELECT vec_id, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x,
-  least(greatest(CAST(embedding[i + 1] AS DOUBLE) + 0.5, 0), 1) AS v FROM embeddings, range(64) AS t(i)),
-rgb AS (SELECT a.vec_id // 3 AS image_id, a.y, a.x, a.v AS r, b.v AS g, c.v AS b FROM unit a
-  JOIN unit b ON b.vec_id = a.vec_id + 1 AND a.y = b.y AND a.x = b.x JOIN unit c ON c.vec_id = a.vec_id + 2 AND a.y = c.y AND a.x = c.x
-  WHERE a.vec_id % 3 = 0)"""
+PAIRS = EMB + """, pairs AS MATERIALIZED (SELECT image_id // 2 AS pair_id, y, x, max(v) FILTER (image_id % 2 = 0) AS v0, max(v) FILTER (image_id % 2 = 1) AS v1
+  FROM emb GROUP BY ALL HAVING count(*) = 2)"""
+RGB = """rgb AS MATERIALIZED (SELECT vec_id // 3 AS image_id, y, x, max(v) FILTER (vec_id % 3 = 0) AS r, max(v) FILTER (vec_id % 3 = 1) AS g, max(v) FILTER (vec_id % 3 = 2) AS b
+  FROM (SELECT vec_id, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, least(greatest(CAST(embedding[i + 1] AS DOUBLE) + 0.5, 0), 1) AS v FROM embeddings, range(64) AS t(i))
+  GROUP BY ALL HAVING count(*) = 3)"""
 EVT = """evt AS (SELECT g.image_id, g.y, g.x, CAST(coalesce(n, 0) AS DOUBLE) AS v FROM
   (SELECT event_type AS image_id, CAST(i // 24 AS INT) AS y, CAST(i % 24 AS INT) AS x FROM (SELECT DISTINCT event_type FROM events), range(720) AS t(i)) g
   LEFT JOIN (SELECT event_type AS image_id, day(ts) - 1 AS y, hour(ts) AS x, count(*) AS n FROM events GROUP BY ALL) s

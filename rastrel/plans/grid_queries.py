@@ -431,8 +431,9 @@ def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two.withColumn("a", alpha)
 
 
-@query(f"""WITH {EMB}, l AS (SELECT image_id // 2 AS image_id, y, x, v, image_id % 2 AS z FROM emb), a AS (SELECT *, {_ALPHA} / 255.0::DOUBLE AS k FROM l)
-  SELECT a.image_id, a.y, a.x, {r("(255 * a.k + a.v * (1 - a.k)) * b.k + b.v * (1 - b.k)", "v")} FROM a JOIN a b USING (image_id, y, x) WHERE a.z = 0 AND b.z = 1""")
+@query(f"""WITH {EMB}, l AS (SELECT image_id // 2 AS image_id, y, x, v, image_id % 2 AS z FROM emb), a AS (SELECT *, {_ALPHA} / 255.0::DOUBLE AS k FROM l),
+  m AS (SELECT image_id, y, x, {", ".join(f"max({c}) FILTER (z = {z}) AS {c}{z}" for z in (0, 1) for c in "vk")} FROM a GROUP BY ALL HAVING count(*) = 2)
+  SELECT image_id, y, x, {r("(255 * k0 + v0 * (1 - k0)) * k1 + v1 * (1 - k1)", "v")} FROM m""")
 def layer_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(render.composited(_layers(spark, sf_dir)), KEYS, v="v")
 

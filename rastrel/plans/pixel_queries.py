@@ -80,22 +80,25 @@ def srgb_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CURVE = "CASE WHEN {0} > 0.008856 THEN cbrt({0}) ELSE (903.3 * {0} + 16.0) / 116.0 END"
 
 
-@query(f"""WITH {RGB}, xyz AS (SELECT image_id, y, x, {", ".join(f"{e} / {w!r}::DOUBLE AS t{i}" for i, (e, w) in enumerate(zip(_matrix(P._XYZ), P._WHITE)))} FROM rgb),
-  f AS (SELECT image_id, y, x, {", ".join(f"{_CURVE.format(f't{i}')} AS f{i}" for i in range(3))} FROM xyz)
-  SELECT image_id, y, x, {r("116 * f1 - 16", "l")}, {r("500 * (f0 - f1)", "a")}, {r("200 * (f1 - f2)", "b")} FROM f""")
+_LAB = f"""{RGB}, xyz AS (SELECT image_id, y, x, {", ".join(f"{e} / {w!r}::DOUBLE AS t{i}" for i, (e, w) in enumerate(zip(_matrix(P._XYZ), P._WHITE)))} FROM rgb),
+  f AS (SELECT image_id, y, x, {", ".join(f"{_CURVE.format(f't{i}')} AS f{i}" for i in range(3))} FROM xyz)"""
+
+
+@query(f"WITH {_LAB} SELECT image_id, y, x, {r('116 * f1 - 16', 'l')}, {r('500 * (f0 - f1)', 'a')}, {r('200 * (f1 - f2)', 'b')} FROM f")
 def lab(spark: SparkSession, sf_dir: str) -> DataFrame:
     light, a, b = P.rgb_to_lab(RED(), GREEN(), BLUE())
     return told(_rgb(spark, sf_dir), KEYS, l=light, a=a, b=b)
 
 
-@query(f"WITH {RGB} SELECT image_id, y, x, {r('r', 'r', 2)}, {r('g', 'g', 2)}, {r('b', 'b', 2)} FROM rgb WHERE r > 0.02 AND g > 0.02 AND b > 0.02 AND abs(r * 100 - floor(r * 100) - 0.5) > 0.05 AND abs(g * 100 - floor(g * 100) - 0.5) > 0.05 AND abs(b * 100 - floor(b * 100) - 0.5) > 0.05")
+_UNCURVE = "CASE WHEN pow({0}, 3) > 0.008856 THEN pow({0}, 3) ELSE ({0} - 16 / 116.0::DOUBLE) / 7.787 END"
+
+
+@query(f"""WITH {_LAB}, back AS (SELECT image_id, y, x, {", ".join(f"({_UNCURVE.format(f'f{i}')}) * {w!r}::DOUBLE AS t{i}" for i, w in enumerate(P._WHITE))} FROM f)
+  SELECT image_id, y, x, {_three("r g b", _matrix(P._FROM_XYZ, "t0", "t1", "t2"))} FROM back""")
 def lab_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Back to where it came from, for what is not too dark nor between two hundredths."""
-    df = _rgb(spark, sf_dir)
-    for c in "rgb":
-        df = df.where((F.col(c) > 0.02) & (F.abs(F.col(c) * 100 - F.floor(F.col(c) * 100) - 0.5) > 0.05))
+    """There and back, for every pixel."""
     back = P.lab_to_rgb(*P.rgb_to_lab(RED(), GREEN(), BLUE()))
-    return told(df, KEYS, 2, **dict(zip("rgb", back)))
+    return told(_rgb(spark, sf_dir), KEYS, **dict(zip("rgb", back)))
 
 
 @query(f"WITH {RGB} SELECT image_id, y, x, {_three('luma i q', _matrix(P._YIQ))} FROM rgb")
@@ -171,11 +174,11 @@ def unsharp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(df, KEYS, **dict(zip("rgb", made)))
 
 
-_DERIVED = f"""{EMB}, g AS (SELECT image_id, y, x, v / 255.0 AS v FROM emb), w AS (SELECT image_id, y, x, v,
-  greatest(y - 1, 0) AS yu, least(y + 1, 7) AS yd, greatest(x - 1, 0) AS xl, least(x + 1, 7) AS xr FROM g),
-  d AS (SELECT w.image_id, w.y, w.x, w.v, {", ".join(f"{n}.v AS {n}" for n in ("ul", "u", "ur", "l", "rr", "dl", "dn", "dr"))} FROM w
-  {" ".join(f"JOIN g {n} ON {n}.image_id = w.image_id AND {n}.y = w.{yy} AND {n}.x = w.{xx}" for n, yy, xx in (("ul", "yu", "xl"), ("u", "yu", "x"), ("ur", "yu", "xr"), ("l", "y", "xl"), ("rr", "y", "xr"), ("dl", "yd", "xl"), ("dn", "yd", "x"), ("dr", "yd", "xr")))}),
-  der AS (SELECT image_id, y, x, v, (rr - l) / 2 AS dx, (dn - u) / 2 AS dy, rr - 2 * v + l AS dxx, dn - 2 * v + u AS dyy, (dr - dl - ur + ul) / 4 AS dxy FROM d)"""
+_DERIVED = f"""{EMB}, g AS (SELECT image_id, y, x, v / 255.0 AS v FROM emb),
+  h AS (SELECT *, coalesce(lag(v) OVER row_, v) AS l, coalesce(lead(v) OVER row_, v) AS rr FROM g WINDOW row_ AS (PARTITION BY image_id, y ORDER BY x)),
+  d AS (SELECT *, coalesce(lag(v) OVER col_, v) AS u, coalesce(lead(v) OVER col_, v) AS dn, coalesce(lag(l) OVER col_, l) AS ul, coalesce(lag(rr) OVER col_, rr) AS ur,
+    coalesce(lead(l) OVER col_, l) AS dl, coalesce(lead(rr) OVER col_, rr) AS dr FROM h WINDOW col_ AS (PARTITION BY image_id, x ORDER BY y)),
+  der AS MATERIALIZED (SELECT image_id, y, x, v, (rr - l) / 2 AS dx, (dn - u) / 2 AS dy, rr - 2 * v + l AS dxx, dn - 2 * v + u AS dyy, (dr - dl - ur + ul) / 4 AS dxy FROM d)"""
 
 
 def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,10 +237,9 @@ def mask_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(whitened, KEYS, whitened="whitened", preview=render.mask_preview(VALUE(), F.col("ignore"), F.col("outside")), weight=weight)
 
 
-@query(f"WITH {EMB} SELECT image_id, min(y * 8 + x) // 8 AS y, min(y * 8 + x) % 8 AS x FROM (SELECT *, {_MASKS} FROM emb) WHERE outside = 0 AND v > 128 GROUP BY 1")
+@query(f"WITH {EMB} SELECT image_id, min(y * 8 + x) // 8 AS y, min(y * 8 + x) % 8 AS x FROM (SELECT *, {_MASKS} FROM emb) WHERE outside = 0 GROUP BY 1")
 def first_layer_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = rasters.synthetic_masks(rasters.embedding_images(spark, sf_dir)).where("v > 128")
-    return render.first_pixel(df)
+    return render.first_pixel(rasters.synthetic_masks(rasters.embedding_images(spark, sf_dir)))
 
 
 @query(f"""WITH {EVT} SELECT image_id, y, x, CASE y WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 29 THEN 4 WHEN 28 THEN 3 ELSE 2 END AS class_y, CASE x WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 23 THEN 4 WHEN 22 THEN 3 ELSE 2 END AS class_x,
