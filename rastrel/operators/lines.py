@@ -84,28 +84,86 @@ def ifir(df: DataFrame, taps: Taps, axis: str | None = None, value: str = "v", k
     return along(df, axis, solved, value, keys) if axis else both(df, solved, value, keys)
 
 
-_WARM = {"zero": None, "edge": "edge", "repeat": "wrap", "reflect": "symmetric"}
+BORDERS = ("zero", "edge", "repeat", "reflect")
+
+
+def _swept(x: np.ndarray, b: float, a: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """y[n] = b x[n] + a1 y[n-1] + ... along each line of x, from the state (y[-1], y[-2], ...) of each."""
+    y = np.concatenate([state[:, ::-1], np.zeros_like(x)], axis=1)
+    p = len(a)
+    for n in range(x.shape[1]):
+        now = b * x[:, n]
+        for k in range(p):
+            now = now + a[k] * y[:, n + p - 1 - k]
+        y[:, n + p] = now
+    return y[:, p:]
+
+
+def _states(y: np.ndarray, p: int) -> np.ndarray:
+    """The last p values of each line, the last one first."""
+    return y[:, : -p - 1 : -1]
+
+
+def _step(a: np.ndarray) -> np.ndarray:
+    """What takes a state to the next where the input is zero."""
+    p = len(a)
+    return np.vstack([a, np.eye(p)[: p - 1]])
+
+
+def recursed_lines(lines: np.ndarray, weights: tuple[float, ...], border: str = "zero") -> np.ndarray:
+    """y[n] = b x[n] + a1 y[n-1] + ..., forwards and then backwards, along each of the lines (rows of an array).
+
+    The states at the ends are those of lines that go on for ever: with the value at the edge, as repeated, or reflected.
+    With zeros, both sweeps start from rest.
+    """
+    b, a = weights[0], np.array(weights[1:], float)
+    p, n = len(a), lines.shape[1]
+    rest = np.zeros((len(lines), p))
+    if not n:
+        return lines
+    if border in ("repeat", "reflect"):
+        x = np.concatenate([lines, lines[:, ::-1]], axis=1) if border == "reflect" else lines
+        x = np.tile(x, (1, -(-p // x.shape[1])))  # a period that holds a whole state
+        turn = np.linalg.inv(np.eye(p) - np.linalg.matrix_power(_step(a), x.shape[1]))
+        for _ in range(2):  # from the state that comes back after a period
+            x = _swept(x, b, a, _states(_swept(x, b, a, rest), p) @ turn.T)[:, ::-1]
+        return x[:, :n]
+    if border == "zero":
+        return _swept(_swept(lines, b, a, rest)[:, ::-1], b, a, rest)[:, ::-1]
+    gain = b / (1 - a.sum())
+    low, high = lines[:, :1] * gain, lines[:, -1:] * gain  # what the forward sweep settles at
+    y = _swept(lines, b, a, np.repeat(low, p, axis=1))
+    # beyond the end the forward sweep goes from its state to `high` by steps of the recursion, and the backward state
+    # over that is linear in it: m = step m step + b at the first place
+    step, first = _step(a), np.zeros((p, p))
+    first[0, 0] = b
+    m = np.linalg.solve(np.eye(p * p) - np.kron(step, step.T), first.ravel()).reshape(p, p)
+    before = np.concatenate([np.repeat(low, p, axis=1), y], axis=1)
+    away = (_states(before, p) - high) @ step.T
+    return _swept(y[:, ::-1], b, a, away @ m.T + high * gain)[:, ::-1]
 
 
 def recursed(line: np.ndarray, weights: tuple[float, ...], border: str = "zero") -> np.ndarray:
-    """y[n] = b x[n] + a1 y[n-1] + ..., forwards and then backwards; ends by the border, extended until they fade."""
-    b, *a = weights
-    pad = 0 if border == "zero" else 64
-    x = np.pad(line, pad, mode=_WARM[border]) if pad else line.copy()  # type: ignore[call-overload]
-    for _ in range(2):
-        y = np.zeros(len(x) + len(a))
-        for n in range(len(x)):
-            y[n + len(a)] = b * x[n] + sum(w * y[n + len(a) - 1 - k] for k, w in enumerate(a))
-        x = y[len(a) :][::-1]
-    return x[pad : len(x) - pad] if pad else x
+    """recursed_lines() of one line."""
+    return recursed_lines(np.asarray(line, float)[None], weights, border)[0]
 
 
 def recursive_filter(df: DataFrame, weights: tuple[float, ...], border: str = "zero", value: str = "v", keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Causal and anticausal recursion of order one or two along both axes."""
-    if border not in _WARM:
+    """Causal and anticausal recursion of order one or two along both axes; lines of one length are swept side by side."""
+    if border not in BORDERS:
         raise ValueError(f"no border {border}")
-    run = F.pandas_udf(lambda s: s.map(lambda line: recursed(np.asarray(line, float), weights, border)), "array<double>")  # type: ignore[call-overload]
-    return both(df, run, value, keys)
+
+    def work(lines: pd.Series) -> pd.Series:
+        out: list = [None] * len(lines)
+        size = lines.map(len).to_numpy()
+        for n in np.unique(size):
+            where = np.flatnonzero(size == n)
+            done = recursed_lines(np.stack([np.asarray(lines.iloc[k], float) for k in where]), weights, border)
+            for k, line in zip(where, done):
+                out[k] = line
+        return pd.Series(out)
+
+    return both(df, F.pandas_udf(work, "array<double>"), value, keys)  # type: ignore[call-overload]
 
 
 def gaussian_blur(df: DataFrame, sigma: float, border: str = "edge", value: str = "v", keys: tuple[str, ...] = KEYS) -> DataFrame:

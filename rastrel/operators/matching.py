@@ -230,9 +230,9 @@ def morph(i0: np.ndarray, i1: np.ndarray, s: Settings = Settings(), mask: np.nda
         images.append(tuple(rows @ i @ cols.T for i in images[-1]))  # type: ignore[arg-type]
     start = coarse_field(list(s.points), *sizes[-1], s.boundary, s.w_tps, s.w_ui) if s.points else np.zeros((*sizes[-1], 2))
     field = np.repeat(start[None], n, axis=0)
-    most, log = float(s.max_iter), []
+    most, log = s.max_iter, []
     for level in range(len(sizes) - 2, -1, -1):
-        most /= s.drop
+        most = int(most / s.drop)
         (h, w), (ch, cw) = sizes[level], sizes[level + 1]
         rows, cols = resize_matrix(ch, h, "hat", False, False), resize_matrix(cw, w, "hat", False, False)
         field = np.stack([rows @ field[..., c] @ cols.T * r for c, r in ((0, w / cw), (1, h / ch))], -1)

@@ -1,4 +1,4 @@
-"""Framed computations over dense rasters: windows along rows, then along columns, after one exchange by image."""
+"""Framed computations over dense rasters: windows along rows, then along columns, after one exchange by tiles of images."""
 
 from __future__ import annotations
 
@@ -17,18 +17,31 @@ def _column(keys: tuple[str, ...]) -> WindowSpec:
     return Window.partitionBy(*keys, "x").orderBy("y")
 
 
-def by_image(df: DataFrame, keys: tuple[str, ...] = KEYS, arranged: bool = False) -> DataFrame:
-    """One exchange serves the windows of both axes, whose partitions are parts of an image; none is needed where the
-    images' pixels are together already."""
-    return df if arranged else df.repartition(*keys)
+#: Rows of a tile. An image of more rows is worked on by a task for each tile, with the rows around it that it needs.
+TILE = 256
+
+
+def _tiled(df: DataFrame, keys: tuple[str, ...], reach: int, arranged: bool) -> tuple[DataFrame, tuple[str, ...]]:
+    """df with its tile `__t`, rows within `reach` of other tiles also in those, after one exchange that serves the windows
+    of both axes; and the keys of these. None is needed where the images' pixels are together already."""
+    if arranged:
+        return df, keys
+    low, high = (F.floor((F.col("y") + F.lit(k)) / F.lit(TILE)) for k in (-reach, reach))
+    return df.withColumn("__t", F.explode(F.sequence(low, high))).repartition(*keys, "__t"), (*keys, "__t")
+
+
+def _own(df: DataFrame, arranged: bool) -> DataFrame:
+    """The rows of tiles without those around them."""
+    return df if arranged else df.where(F.col("__t") == F.floor(F.col("y") / F.lit(TILE))).drop("__t")
 
 
 def box(df: DataFrame, sums: dict[str, Column], radius: int = 2, keys: tuple[str, ...] = KEYS, how=F.sum, arranged: bool = False) -> DataFrame:
     """df with each expression summed (or otherwise combined) over the square of the radius, clipped at the border."""
-    row, column = _row(keys).rangeBetween(-radius, radius), _column(keys).rangeBetween(-radius, radius)
-    wide = by_image(df, keys, arranged).withColumns({f"__{n}": e for n, e in sums.items()})
+    wide, by = _tiled(df, keys, radius, arranged)
+    row, column = _row(by).rangeBetween(-radius, radius), _column(by).rangeBetween(-radius, radius)
+    wide = wide.withColumns({f"__{n}": e for n, e in sums.items()})
     wide = wide.withColumns({f"__{n}": how(f"__{n}").over(row) for n in sums})
-    return wide.withColumns({n: how(f"__{n}").over(column) for n in sums}).drop(*(f"__{n}" for n in sums))
+    return _own(wide.withColumns({n: how(f"__{n}").over(column) for n in sums}).drop(*(f"__{n}" for n in sums)), arranged)
 
 
 def moments(df: DataFrame, radius: int = 2, keys: tuple[str, ...] = ("pair_id",), l0: str = "l0", l1: str = "l1", weight: str | None = None, arranged: bool = False) -> DataFrame:
@@ -49,23 +62,24 @@ def any_flag(df: DataFrame, flag: str, name: str, radius: int = 2, keys: tuple[s
 def neighbours(df: DataFrame, wanted: dict[str, tuple[str, int, int]], keys: tuple[str, ...] = KEYS, arranged: bool = False) -> DataFrame:
     """df with columns name: the value of (column, dy, dx) at the pixel dy below and dx to the right; null outside."""
     along = {f"__{c}_{dx}".replace("-", "m"): (c, dx) for c, _, dx in wanted.values()}
-    wide = by_image(df, keys, arranged).withColumns({n: F.lead(c, dx).over(_row(keys)) if dx else F.col(c) for n, (c, dx) in along.items()})
+    wide, by = _tiled(df, keys, max(abs(dy) for _, dy, _ in wanted.values()), arranged)
+    wide = wide.withColumns({n: F.lead(c, dx).over(_row(by)) if dx else F.col(c) for n, (c, dx) in along.items()})
     found = {}
     for name, (c, dy, dx) in wanted.items():
         source = f"__{c}_{dx}".replace("-", "m")
-        found[name] = F.lead(source, dy).over(_column(keys)) if dy else F.col(source)
-    return wide.withColumns(found).drop(*along)
+        found[name] = F.lead(source, dy).over(_column(by)) if dy else F.col(source)
+    return _own(wide.withColumns(found).drop(*along), arranged)
 
 
 def gather(df: DataFrame, value: str = "v", radius: int = 2, keys: tuple[str, ...] = KEYS, fill: float = 0.0) -> DataFrame:
     """df with nb: the square's values as an array, row by row; cells outside hold fill."""
     span = range(-radius, radius + 1)
-    row = F.array(*(F.lead(value, dx).over(_row(keys)) for dx in span))
-    wide = by_image(df, keys).withColumn("__row", row)
+    wide, by = _tiled(df, keys, radius, False)
+    wide = wide.withColumn("__row", F.array(*(F.lead(value, dx).over(_row(by)) for dx in span)))
     blank = F.array(*(F.lit(fill) for _ in span))
     filled = wide.withColumn("__row", F.transform("__row", lambda e: F.coalesce(e, F.lit(fill))))
-    rows = [F.coalesce(F.lead("__row", dy).over(_column(keys)), blank) for dy in span]
-    return filled.withColumn("nb", F.flatten(F.array(*rows))).drop("__row")
+    rows = [F.coalesce(F.lead("__row", dy).over(_column(by)), blank) for dy in span]
+    return _own(filled.withColumn("nb", F.flatten(F.array(*rows))).drop("__row"), False)
 
 
 #: The eight neighbours, clockwise from the upper left, as (dy, dx).

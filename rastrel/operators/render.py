@@ -106,17 +106,22 @@ def morph_frame(i0: np.ndarray, i1: np.ndarray, v: np.ndarray, u: np.ndarray, t:
     return first if mix == "first" else second if mix == "second" else first * (1 - c) + second * c
 
 
+#: Frames of a pair that a task makes from one copy of its pixels.
+FRAMES = 8
+
+
 def morph_frames(pairs: DataFrame, times: list[float], mix: str = "both") -> DataFrame:
-    """(pair_id, frame, y, x, v) of pairs (pair_id, y, x, v0, v1, vx, vy, ux, uy): pairs and frames run in parallel."""
-    work = pairs.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(len(times) - 1))))
+    """(pair_id, frame, y, x, v) of pairs (pair_id, y, x, v0, v1, vx, vy, ux, uy): pairs, and frames by eight, run in parallel."""
+    work = pairs.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit((len(times) - 1) // FRAMES))))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         shape = (int(part["y"].max()) + 1, int(part["x"].max()) + 1)
         a = {c: np.zeros(shape) for c in ("v0", "v1", "vx", "vy", "ux", "uy")}
         for c, image in a.items():
             image[part["y"], part["x"]] = part[c]
-        out = morph_frame(a["v0"], a["v1"], np.stack([a["vx"], a["vy"]], -1), np.stack([a["ux"], a["uy"]], -1), times[key[1]], mix)
-        y, x = np.mgrid[: shape[0], : shape[1]]
-        return pd.DataFrame({"pair_id": key[0], "frame": key[1], "y": y.ravel(), "x": x.ravel(), "v": out.ravel()})
+        v, u = np.stack([a["vx"], a["vy"]], -1), np.stack([a["ux"], a["uy"]], -1)
+        y, x = (c.ravel() for c in np.mgrid[: shape[0], : shape[1]])
+        own = range(FRAMES * key[1], min(len(times), FRAMES * (key[1] + 1)))
+        return pd.concat([pd.DataFrame({"pair_id": key[0], "frame": k, "y": y, "x": x, "v": morph_frame(a["v0"], a["v1"], v, u, times[k], mix).ravel()}) for k in own])
 
-    return work.groupBy("pair_id", "frame").applyInPandas(run, "pair_id long, frame int, y int, x int, v double")
+    return work.groupBy("pair_id", "__part").applyInPandas(run, "pair_id long, frame int, y int, x int, v double")

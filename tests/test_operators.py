@@ -246,3 +246,45 @@ def test_pairs_side_by_side_equal_pairs_alone(spark):
     rows = [(k, y, x, float(a[y, x]), float(b[y, x])) for k, (a, b) in enumerate(images) for y in range(13) for x in range(9)]
     got = matching.match(spark.createDataFrame(rows, "pair_id long, y int, x int, v0 double, v1 double"), settings).collect()
     assert len(got) == len(rows) and all(np.allclose((r["vx"], r["vy"]), together[r["pair_id"], r["y"], r["x"]]) for r in got)
+
+
+def slow_recursed(line, weights, border, pad):
+    """The sweeps over a line that is laid out far beyond its ends."""
+    b, *a = weights
+    x = np.pad(line, pad, mode={"edge": "edge", "repeat": "wrap", "reflect": "symmetric"}[border])
+    for _ in range(2):
+        y = np.zeros(x.size + len(a))
+        for n in range(x.size):
+            y[n + len(a)] = b * x[n] + sum(w * y[n + len(a) - 1 - k] for k, w in enumerate(a))
+        x = y[len(a) :][::-1]
+    return x[pad : x.size - pad]
+
+
+@pytest.mark.parametrize("sigma", [0.8, 2.0, 20.0, 80.0])
+def test_recursion_goes_on_beyond_the_ends(sigma):
+    rng = np.random.default_rng(1)
+    for weights in filters.recursive_weights(sigma):
+        for n in (1, 2, 3, 37):
+            line = rng.random(n)
+            for border in ("edge", "repeat", "reflect"):
+                assert np.allclose(lines.recursed(line, weights, border), slow_recursed(line, weights, border, int(60 * sigma) + 40), atol=1e-9), (sigma, n, border)
+
+
+@pytest.mark.parametrize("border", ["edge", "repeat", "reflect"])
+def test_blur_of_a_constant_is_constant(spark, border):
+    flat = raster(spark, np.ones((3, 200)))
+    assert np.allclose(array(lines.gaussian_blur(flat, 80.0, border)), 1.0, atol=1e-9)
+
+
+def test_tiles_give_what_whole_images_do(spark, monkeypatch):
+    image = np.random.default_rng(2).random((23, 7))
+    df = raster(spark, image)
+    sums = {"s": F.col("v"), "n": F.lit(1)}
+    whole = neighbourhood.box(df, sums), neighbourhood.neighbours(df, {"up": ("v", -2, 1), "down": ("v", 1, 0)}), neighbourhood.derivatives(df)
+    whole = [sorted(map(tuple, d.select(*sorted(d.columns)).collect()), key=repr) for d in whole]
+    monkeypatch.setattr(neighbourhood, "TILE", 4)
+    tiled = neighbourhood.box(df, sums), neighbourhood.neighbours(df, {"up": ("v", -2, 1), "down": ("v", 1, 0)}), neighbourhood.derivatives(df)
+    for want, d in zip(whole, tiled):
+        got = sorted(map(tuple, d.select(*sorted(d.columns)).collect()), key=repr)
+        assert len(got) == len(want) and all(np.allclose(np.array(g, float), np.array(w, float), equal_nan=True) for g, w in zip(got, want))
+    assert df.rdd.getNumPartitions() >= 1 and "__t" in tiled[0]._jdf.queryExecution().executedPlan().toString()
