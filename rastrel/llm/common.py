@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,3 +74,29 @@ def spread_join(rows: DataFrame, names: DataFrame, key: str, hot: DataFrame) ->
     hot = hot.select(key).distinct()
     some = rows.join(F.broadcast(names.join(F.broadcast(hot), key, "left_semi")), key)
     return some.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(names, key))
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function of a task's batches, whose worker gives freed memory back to the system at the task's end: workers
+    are kept for the next stages, which need the room for their own tables."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import written
+from rastrel.llm.common import tidy, written
 
 WORDS = 5
 #: Share of an item's windows that a document has, or words in a row; either is contamination.
@@ -210,7 +210,7 @@ def template_windows(rows: DataFrame, key: str, sizes: list[int], whole: bool =
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return rows.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return rows.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), _SCHEMA)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run_words: int = RUN_WORDS) -> DataFrame:

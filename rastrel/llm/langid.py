@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rastrel.llm.common import tidy
+
 
 #: N-grams of a profile, of a language and of a document alike; also the distance of one that a profile lacks.
 PROFILE = 300
@@ -165,7 +167,7 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text: str = "
             made = [pa.array([x[0] for x in judged], pa.string()), pa.array([x[1] for x in judged], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], schema.names)
 
-    return docs.select(*sent).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(tidy(run), schema)
 
 
 def predict(docs: DataFrame) -> DataFrame:

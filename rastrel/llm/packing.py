@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rastrel.llm.common import tidy
 from rastrel.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -86,11 +87,12 @@ def harmonic_bins(documents: Iterator[tuple[int | None, bytes]], capacity: int =
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, class long"
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, slack: int | None = None, blanks: bool = False, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, slack: int | None = None, blanks: bool = False, with_ids: bool = False, kept: int = PIECES_KEPT) -> DataFrame:
     """One row for each piece of each document (columns doc_id and text; others are ignored), without a shuffle.
 
     A null or empty text has the end id only. Repeated rows are packed as often as they stand; a null doc_id stays
     null. An empty table gives no pieces. Sequence numbers are unique, not gapless. with_ids adds the ids themselves.
+    kept: pieces whose ids a worker remembers at most, which costs memory and saves time.
     """
     names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
     end = end_id.to_bytes(WIDTH, "little")
@@ -98,7 +100,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encode = encoder(tokenizer, blanks, PIECES_KEPT)
+        encode = encoder(tokenizer, blanks, kept)
         base = TaskContext.get().partitionId() << SEQUENCE_BITS
         types = pa.schema([(n, pa.list_(pa.int64()) if n == "ids" else pa.int64()) for n in names])
 
@@ -121,4 +123,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), types)], schema=types)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA + ", ids array<long>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), SCHEMA + ", ids array<long>" * with_ids)
