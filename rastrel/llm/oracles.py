@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from rastrel.llm import secrets, sharding
+from rastrel.llm import lines, search, secrets, sharding
 
 
 def _claimed(shards: int, slots: int) -> list[int]:
@@ -55,4 +55,35 @@ def secrets_sql() -> str:
   SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(d, 0) AS n_linked FROM docs LEFT JOIN lists USING (row)"""
 
 
-ORACLES = {"op1_multipart_secrets": secrets_sql(), "op6_permutation_sharding": sharding_sql()}
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def lines_sql() -> str:
+    blank = " || ".join(f"chr({b})" for b in lines.BLANK)
+    return f"""WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, CASE WHEN doc_id IS NULL THEN coalesce(text, '') END AS own FROM documents),
+  parts AS (SELECT row, doc_id, own, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS place FROM docs),
+  keyed AS (SELECT *, translate(trim(line, {blank}), {_LETTERS}) AS key FROM parts),
+  repeated AS (SELECT key, min(doc_id) AS low FROM keyed WHERE length(key) >= {lines.LEAST} GROUP BY key HAVING count(DISTINCT doc_id) + count(DISTINCT own) > 1),
+  told AS (SELECT k.*, r.key IS NOT NULL AND doc_id IS DISTINCT FROM low AS lost FROM keyed k LEFT JOIN repeated r USING (key))
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT lost), '')) AS kept_sha256
+  FROM told GROUP BY row, doc_id"""
+
+
+def search_sql() -> str:
+    terms = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {terms("text")} AS terms FROM documents),
+  long AS (SELECT row, doc_id, CAST(len(terms) AS BIGINT) AS n FROM docs WHERE len(terms) > 0), totals AS (SELECT count(*) AS N_, CAST(sum(n) AS BIGINT) AS L_ FROM long),
+  each AS (SELECT row, unnest(terms) AS term FROM docs), tfs AS (SELECT row, term, count(*) AS tf FROM each GROUP BY row, term), dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+  wanted AS (SELECT row_number() OVER () AS item, item_id, list_distinct({terms("text")}) AS terms FROM benchmark), asked AS (SELECT item, item_id, unnest(terms) AS term FROM wanted),
+  scored AS (SELECT item, item_id, row, any_value(doc_id) AS doc_id, CAST(sum(CAST(floor(1000 * ln((2 * N_ + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * N_) // L_)))) AS BIGINT) AS score
+    FROM asked JOIN dfs USING (term) JOIN tfs USING (term) JOIN long USING (row), totals GROUP BY item, item_id, row),
+  placed AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scored WHERE score > 0)
+  SELECT * FROM placed WHERE rank <= {search.BEST}"""
+
+
+ORACLES = {
+    "op1_multipart_secrets": secrets_sql(),
+    "op6_permutation_sharding": sharding_sql(),
+    "op11_bloom_lines": lines_sql(),
+    "op12_threshold_search": search_sql(),
+}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm import decontaminate, langid, media, packing, pii, repair, secrets, sharding, simhash, urls
+from rastrel.llm import decontaminate, langid, lines, media, packing, pii, repair, search, secrets, sharding, simhash, urls, whitening
 from rastrel.llm.common import table
 from rastrel.llm.oracles import ORACLES
 
@@ -56,6 +56,18 @@ def op10_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op11_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.told(table(spark, sf_dir, "documents"))
+
+
+def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_compensated_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.transformed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_template_decontamination,
         op9_feistel_pseudonyms,
         op10_repair_tokens,
+        op11_bloom_lines,
+        op12_threshold_search,
+        op13_compensated_whitening,
     )
 }
 
