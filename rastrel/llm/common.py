@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots and quotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset the one that was given to
     setCheckpointDir(). Without either, only a local session has a folder that all can read; others raise."""
@@ -68,7 +81,7 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread_join(rows: DataFrame, names: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def spread_join(rows: DataFrame, names: DataFrame, key: str | list[str], hot: DataFrame) -> DataFrame:
     """rows joined with names, one row a key, on key. The keys in `hot`, a table of bounded size, go by broadcast, so that
     no task gets all rows of one; the others by a shuffle."""
     hot = hot.select(key).distinct()

@@ -13,15 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import tidy, written
+from rastrel.llm.common import named, spread_join, tidy, written
 
 #: Code points of a key at least.
 LEAST = 10
 #: Slots of a filter, two of which a key takes. 32 MB: about 100 million different keys before most become suspects.
 SLOTS = 1 << 28
+#: A key with more than one in so many suspects is hot; there are no more than so many of them.
+HOT = 1000
 #: Bytes of a filter that are merged together.
 SLICE = 1 << 16
 #: White space that is stripped at both ends of a line.
@@ -114,10 +116,6 @@ def _filter(parts: list[tuple[int, bytes, bytes]], slots: int) -> np.ndarray:
     return out
 
 
-def _named(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def without_repeats(docs: DataFrame, order: str = "doc_id", text: str = "text", least: int = LEAST, slots: int = SLOTS) -> DataFrame:
     """The columns of docs as a struct `doc`; kept: the text without its repeated lines; n_lines, n_dropped.
 
@@ -126,7 +124,7 @@ def without_repeats(docs: DataFrame, order: str = "doc_id", text: str = "text",
     `order` (any type that has one) are one document; a row without one is a document with those of equal text, after
     all others. A null text is an empty line. An empty table gives none; other columns may have any name and type.
     """
-    rows = docs.select(F.struct(*map(_named, docs.columns)).alias("doc"), _named(order).alias("id"), F.coalesce(_named(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("doc"), named(order).alias("id"), F.coalesce(named(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("own", F.xxhash64("text"))
     parts = rows.sparkSession.sparkContext.broadcast(_suspected(rows.select("text"), least, slots))
 
@@ -147,10 +145,11 @@ def without_repeats(docs: DataFrame, order: str = "doc_id", text: str = "text",
     each = held("id", "own").select("id", "own", F.explode(F.arrays_zip("a", "b")).alias("k")).select("id", "own", "k.a", "k.b")
     each = written(each, "suspect-lines")
     alone = F.when(F.col("id").isNull(), F.col("own"))
-    by_key = each.groupBy("a", "b").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(alone).alias("first"), F.max(alone).alias("last"))
+    by_key = each.groupBy("a", "b").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(alone).alias("first"), F.max(alone).alias("last"), F.count(F.lit(1)).alias("n"))
     repeated = by_key.where((F.col("low") != F.col("high")) | (F.col("first") != F.col("last")) | (F.col("low").isNotNull() & F.col("first").isNotNull()))
     is_first = F.when(F.col("low").isNull(), F.col("own") == F.col("first")).otherwise(F.col("id").eqNullSafe(F.col("low")))
-    lost = each.join(repeated.select("a", "b", "low", "first"), ["a", "b"]).where(~is_first)
+    often = repeated.where(F.col("n") * HOT > each.count())
+    lost = spread_join(each, repeated.select("a", "b", "low", "first"), ["a", "b"], often).where(~is_first)
     lists = lost.groupBy("id", "own").agg(F.collect_set(F.struct("a", "b")).alias("lost"))  # of one text: as many as it has lines
     lists = lists.select(F.col("id").alias("of"), F.col("own").alias("with"), F.col("lost.a").alias("a"), F.col("lost.b").alias("b"))
 
