@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import tidy, written
+from rastrel.llm.common import named, tidy, written
 
 WORDS = 5
 #: Share of an item's windows that a document has, or words in a row; either is contamination.
@@ -48,6 +48,8 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 _TRIM = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 LITERAL, NUMBER, UNIT, NAME = range(4)
+#: How the value of a number begins.
+_FIGURE = r"^[+-]?[$€£]?\p{Nd}"
 
 
 def _code(word: str) -> int:
@@ -218,13 +220,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     A document has an item if it has `coverage` of the item's windows, either in runs whose slots agree or with the
     item's own values, or `run_words` words in a row in a run whose slots agree (an item of fewer than five words: all of
-    it in a row, if LITERALS of them are no slots). slots_agree: false if in some run one value of the item stood for two in the document. Null or empty texts match nothing, null ids are passed over,
+    it in a row, if LITERALS of them are no slots). slots_agree: false if in some run one name or unit of the item stood for two in the document. Null or empty texts match nothing, null ids are passed over,
     rows of one doc_id are judged apart and the best is told. Items of one text are all named. Empty tables give no rows.
     """
     # the windows of the benchmark serve both the filter and the join
-    named = benchmark.where("item_id is not null").select("item_id", "text")
-    common = common_words(named)
-    items = written(template_windows(named.distinct(), "item_id", [], whole=True, common=common), "benchmark-windows")
+    asked = benchmark.where("item_id is not null").select("item_id", "text")
+    common = common_words(asked)
+    items = written(template_windows(asked.distinct(), "item_id", [], whole=True, common=common), "benchmark-windows")
     sizes = [r[0] for r in items.select("size").distinct().collect()]  # five at most
     slot = F.shiftrightunsigned("hash", 64 - FILTER_BITS).cast("int").alias("slot")
     filled = np.zeros(1 << FILTER_BITS, bool)
@@ -237,7 +239,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     line = Window.partitionBy("row", "item_row", "shift").orderBy("place")
     fresh = F.coalesce(F.col("place") - F.lag("place").over(line) > 1, F.lit(True)).cast("int")
     runs = pairs.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(line))
-    slots = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: (x["i"] != "") & (x["d"] != ""))
+    slots = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: (x["i"] != "") & (x["d"] != "") & ~x["i"].rlike(_FIGURE))
     per_run = runs.groupBy("row", "doc_id", "item_row", "item_id", "shift", "run", "windows", "size").agg(
         F.count(F.lit(1)).alias("n"), F.collect_set("item_place").alias("places"),
         F.collect_set(F.when(F.col("slots") == F.col("item_slots"), F.col("item_place"))).alias("same"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("pairs")
@@ -256,5 +258,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that have no benchmark item; rows without a doc_id stay."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs whose text has no benchmark item. A row is judged by its text alone, so rows of one doc_id, or of
+    none, stay or go by themselves, and ids may have any type; so may other columns, of any name. Null texts stay."""
+    of = F.xxhash64(F.col("text").cast("string"))
+    leaks = contaminated(docs.select(of.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("of")).distinct()
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("doc"), of.alias("of"))
+    return rows.join(leaks, "of", "left_anti").select("doc.*")

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from rastrel.llm.common import tidy
+from rastrel.llm.common import named, tidy, unused
 
 
 #: N-grams of a profile, of a language and of a document alike; also the distance of one that a profile lacks.
@@ -158,16 +159,17 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text: str = "
     """The columns `keep`, then the language and the score of each row by these names; `und` and 0 for a text that is
     null or has no letter, and for all texts if no language was learned. Only the text is looked at."""
     sent = keep if text in keep else [*keep, text]
-    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
+    schema = docs.select(*map(named, keep)).schema.add(names[0], "string").add(names[1], "double")
     at = sent.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             judged = [profiles.judge(t.as_py()) for t in batch.column(at)]
             made = [pa.array([x[0] for x in judged], pa.string()), pa.array([x[1] for x in judged], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [f"_{k}" for k in range(len(schema))])
 
-    return docs.select(*sent).mapInArrow(tidy(run), schema)
+    plain = docs.select(*(named(c).alias(f"_{k}") for k, c in enumerate(sent)))  # Arrow functions take no dots in names
+    return plain.mapInArrow(tidy(run), StructType([StructField(f"_{k}", f.dataType) for k, f in enumerate(schema)])).toDF(*schema.names)
 
 
 def predict(docs: DataFrame) -> DataFrame:
@@ -181,7 +183,8 @@ def accepted(docs: DataFrame) -> DataFrame:
     Columns of any names stay as they are; null texts and texts without letters go. An empty table gives an empty one.
     """
     profiles = learn(docs)
-    judged = identify(docs, profiles, docs.columns, names=("__lang", "__score"))
+    lang, score = unused(docs, "__lang"), unused(docs, "__score")
+    judged = identify(docs, profiles, docs.columns, names=(lang, score))
     least = sorted(floors(docs, profiles).items())
-    enough = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in least for x in pair)), "__lang"), F.lit(0.0)) if least else F.lit(0.0)
-    return judged.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") > 0) & (F.col("__score") >= enough)).select(*docs.columns)
+    enough = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in least for x in pair)), F.col(lang)), F.lit(0.0)) if least else F.lit(0.0)
+    return judged.where((F.col(lang) != UNDETERMINED) & (F.col(score) > 0) & (F.col(score) >= enough)).select(*map(named, docs.columns))

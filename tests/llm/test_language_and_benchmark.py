@@ -79,7 +79,7 @@ def test_noise_and_unlearned_languages_are_rejected(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     noise = ["xkcd qwrtp zzzz vbnm jkl wqp mnbv tyq hjkl zxcv bnmq wrtp", "Кошка сидит на столе и смотрит в окно", "猫はテーブルの上に座っています", "k9 x7 qz vv jj ww xx kkq zpt rrw"]
     extra = documents(spark, [(100_000 + i, t) for i, t in enumerate(noise)] + [(200_000, "This is a short English sentence about the weather.")])
-    both = docs.select(*extra.columns).union(extra).selectExpr("*", "1 AS score", "2 AS lang_pred", "3 AS __text")
+    both = docs.select(*extra.columns).union(extra).selectExpr("*", "1 AS score", "2 AS lang_pred", "3 AS __text", "4 AS __lang", "5 AS `a.b`", "map('k', 1) AS kinds")
     kept = langid.accepted(both)
     assert kept.columns == both.columns
     ids = {r["doc_id"] for r in kept.collect()}
@@ -120,12 +120,15 @@ def test_reparameterised_questions_and_slots(spark):
         (2, item.replace("Boston", "Paris", 1).replace("40", "55")),  # one name of the item stands for two
         (3, "So, four short words here again"),
         (4, "A train leaves the station and nothing else of it is the same as in the other text"),
-        (5, None), (6, ""), (None, item), (1, "Intro text. " + item),
+        (5, None), (6, ""), (None, item), (1, "Intro text. " + item), (13, item), (13, "nothing of the item stands in this row at all"), (None, "nor in this one"),
     ]
     got = {(r["doc_id"], r["item_id"]): r["slots_agree"] for r in decontaminate.contaminated(documents(spark, rows), bench).collect()}
-    assert got == {(1, 1): True, (3, 2): True}
-    left = decontaminate.decontaminated(documents(spark, rows), bench)
-    assert sorted([r["doc_id"] for r in left.collect()], key=str) == sorted([2, 4, 5, 6, None], key=str)
+    assert got == {(1, 1): True, (3, 2): True, (13, 1): True}
+    left = decontaminate.decontaminated(documents(spark, rows), bench)  # by row: a leak without an id goes, a clean row beside one stays
+    assert sorted([r["doc_id"] for r in left.collect()], key=str) == sorted([2, 4, 5, 6, 13, None], key=str)
+    named = documents(spark, rows).selectExpr("concat('id', doc_id) AS doc_id", "text", "1 AS of", "2 AS `a.b`", "map('k', doc_id) AS doc")
+    left = decontaminate.decontaminated(named, bench)
+    assert left.columns == named.columns and left.count() == 6 and {r["a.b"] for r in left.collect()} == {2}
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
     assert decontaminate.contaminated(odd(spark), bench.where("false")).count() == 0
     assert decontaminate.contaminated(odd(spark), bench).count() == 0
@@ -168,6 +171,29 @@ def test_names_at_sentence_starts_and_recall(spark):
     assert sum((i, i) in got for i in range(60)) >= 54 and not [d for d, _ in got if d >= 1000]
 
 
+TWICE = [
+    "{A} had {n} boxes and gave some to {B}. {B} had {n} boxes too before that. How many boxes do they have together now?",
+    "The first shelf holds {n} jars and the second holds {n} jars. {A} takes {m} jars from each of them and leaves the others.",
+    "{A} drives {n} km in {m} hours. {B} drives {n} km in {n} minutes less than that. Who of them is the faster driver?",
+]
+
+
+def test_equal_values_may_become_different_ones(spark):
+    """Of items in which a number stands twice, told again with a new number in each place, nine in ten are found."""
+    rng, items, rows = random.Random(8), [], []
+    for i in range(60):
+        story, names, numbers = TWICE[i % 3], rng.sample(NAMES, 4), rng.sample(range(2, 500), 7)
+        items.append((i, f"Item {chr(97 + i % 26)}{chr(97 + i // 26)} reads: " + story.format(A=names[0], B=names[1], n=numbers[0], m=numbers[1])))
+        again = story
+        for value in numbers[2:]:
+            again = again.replace("{n}", str(value), 1)
+        rows.append((i, f"Item {chr(97 + i % 26)}{chr(97 + i // 26)} reads: " + again.format(A=names[2], B=names[3], m=numbers[1])))
+    rows.append((900, items[0][1].replace("boxes and gave", "crates and sold").replace("boxes too before", "pears two after").replace("boxes do they have together now", "words are here")))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(documents(spark, rows), bench).collect()}
+    assert sum((i, i) in got for i in range(60)) >= 54 and not [d for d, _ in got if d >= 900]
+
+
 def test_figures_alone_are_no_template(spark):
     table = " ".join(str(k) for k in range(100, 130))
     bench = spark.createDataFrame([(1, "42"), (2, "7 8 9 10 11 12"), (3, "7 km"), (4, "a 7"), (5, table)], "item_id long, text string")
