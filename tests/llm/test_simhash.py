@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from rastrel.llm import components, fingerprints, simhash
+from rastrel.llm import components, fingerprints, nearcopies, simhash
 from tests.conftest import DATA
 from tests.llm.cases import documents, empty, odd
 
@@ -168,6 +168,38 @@ def test_recall_at_the_least_similarity(spark):
     assert 2 * apart + hard <= left <= 2 * apart + hard + 0.1 * hard
 
 
+def test_bands_hold_pairs_by_their_similarity_alone():
+    """Of random sets at 0.8 to 0.85 nine in ten share a band, whatever their size and however many sets there are; of
+    those at 0.3 hardly any do."""
+    rng = np.random.default_rng(5)
+    found = {0.8: [], 0.3: []}
+    for _ in range(600):
+        for share, hits in found.items():
+            size = int(rng.integers(20, 900))
+            both = round(share * size)
+            own = rng.integers(0, 2**63, 2 * size - both, dtype=np.uint64)  # the union: `both` in common
+            a, b = own[:size], np.concatenate((own[:both], own[size:]))
+            while share == 0.8 and both / (2 * size - both) < 0.8:  # to a Jaccard similarity of 0.8
+                both += 1
+                own = own[: 2 * size - both]
+                a, b = own[:size], np.concatenate((own[:both], own[size:]))
+            hits.append(np.isin(nearcopies.bands(a), nearcopies.bands(b)).any())
+    assert np.mean(found[0.8]) >= 0.95 and np.mean(found[0.3]) <= 0.01
+
+
+def test_columns_of_any_kind(spark):
+    rows = documents(spark, [(1, "some words of a text"), (2, "some words of a text"), (2, None), (None, "")])
+    odd_ = rows.selectExpr("concat('id', doc_id) AS doc_id", "text", "map('k', doc_id) AS kinds", "1 AS `a.b`", "2 AS doc", "3 AS row", "4 AS node", "5 AS mine")
+    got = simhash.deduplicated(odd_)
+    assert got.columns == odd_.columns and sorted((r["doc_id"], r["kinds"], r["a.b"]) for r in got.collect()) == [("id1", {"k": 1}, 1), ("id2", {"k": 2}, 1)]
+
+
+def test_very_long_text_and_its_copy(spark):
+    rng = random.Random(2)
+    long = " ".join(f"word{rng.randrange(5000)}" for _ in range(150_000))
+    check_kept(documents(spark, rows := [(1, long), (2, edited(long, 500, rng)), (3, long[: len(long) // 2])]), rows)
+
+
 def test_large_group_of_near_copies(spark):
     rng = random.Random(9)
     text = " ".join(f"w{rng.randrange(400)}" for _ in range(120))
