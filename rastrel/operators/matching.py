@@ -1,16 +1,20 @@
-"""The coarse-to-fine matcher: halfway fields between pairs of images; pairs of one size go side by side.
+"""The coarse-to-fine matcher: halfway fields between pairs of images, layer by layer.
 
-Pixels are visited by 25 colours, (y mod 5, x mod 5). Those of one colour are five apart, so what they read and write
-does not overlap, and NumPy moves all of them at once; the colours follow each other.
+A job is a layer of a pair, with its own parameters, points and masks. Jobs of one size go side by side. Pixels are
+visited by 25 colours, (y mod 5, x mod 5). Those of one colour are five apart, so what they read and write does not
+overlap, and NumPy moves all of them at once; the colours follow each other. Only pixels near one that moved are looked
+at, and only the squares around those that move are summed anew.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rastrel.functions.filters import sampled
@@ -48,6 +52,33 @@ def bilinear(images: np.ndarray, b: np.ndarray, y: np.ndarray, x: np.ndarray) ->
     return (1 - fy) * ((1 - fx) * images[b, ya, xa] + fx * images[b, ya, xb]) + fy * ((1 - fx) * images[b, yb, xa] + fx * images[b, yb, xb])
 
 
+#: What a mask is outside of its image: ignored.
+OUTSIDE = 255.0
+
+
+class Masked:
+    """Images and their masks, to be looked up together: framed by a pixel, of the image's border and of OUTSIDE."""
+
+    def __init__(self, images: np.ndarray, masks: np.ndarray | None):
+        frame = ((0, 0), (1, 1), (1, 1))
+        masks = np.zeros(images.shape) if masks is None else masks
+        both = np.stack([np.pad(images, frame, mode="edge"), np.pad(masks.astype(float), frame, constant_values=OUTSIDE)])
+        self.high, self.wide = images.shape[1:]
+        self.size, self.flat = both.shape[2] * both.shape[3], both.reshape(2, -1)
+
+    def at(self, b: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """(2, ...): values and masks at places, bilinear."""
+        y0, x0 = np.floor(y), np.floor(x)
+        fy, fx = y - y0, x - x0
+        wide = self.wide + 2
+        ya, yb = ((np.clip(c, -1, self.high) + 1) * wide for c in (y0, y0 + 1))
+        xa, xb = (np.clip(c, -1, self.wide) + 1 for c in (x0, x0 + 1))
+        base = b * self.size
+        low = self.flat[:, base + (ya + xa).astype(int)], self.flat[:, base + (ya + xb).astype(int)]
+        high = self.flat[:, base + (yb + xa).astype(int)], self.flat[:, base + (yb + xb).astype(int)]
+        return (1 - fy) * (low[0] + fx * (low[1] - low[0])) + fy * (high[0] + fx * (high[1] - high[0]))
+
+
 def resize_matrix(n: int, m: int, name: str = "bspline3", mirror: bool = True, cardinal: bool = True) -> np.ndarray:
     """(m, n): resizing a line, as lines.resized and the inverse filter do it."""
     k, ratio = kernel(name), n / m
@@ -90,63 +121,96 @@ def _ssim(n, s0, s1, q0, q1, c, clamp: float) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.minimum(np.maximum(0, cost), 1 - clamp))
 
 
+@dataclass(frozen=True)
+class Window:
+    """Where a region of images of height by width lies: its first pixel; where its parts of the two images begin; and
+    the pixels that may move, as rows and columns of the region."""
+
+    height: int
+    width: int
+    y: int
+    x: int
+    first: tuple[int, int]
+    second: tuple[int, int]
+    rows: tuple[int, int]
+    columns: tuple[int, int]
+    reach: float
+
+
 class Level:
-    """The state of one level of pairs of one size, side by side: fields (b, y, x, 2), lumas, their sums over squares,
-    and the quadratic terms of each pixel."""
-
-    def __init__(self, i0: np.ndarray, i1: np.ndarray, field: np.ndarray, s: Settings, mask: np.ndarray | None = None):
-        self.i0, self.i1, self.v, self.s = i0, i1, field.copy(), s
-        self.n, self.h, self.w = i0.shape
-        self.mask = np.ones(i0.shape) if mask is None else mask
-        self.locked = locked_mask(self.h, self.w, s.boundary)
+    """The state of one level of jobs of one size, side by side: fields (b, y, x, 2), lumas, weights by both masks, their
+    sums over squares, and the quadratic terms of each pixel.
+
+    Masks are 0 to 255, what is 255 is ignored; each is looked up where its image is, so weights move with the field.
+    A window makes it a region of larger images (with two pixels more than those that squares of movable ones reach).
+    """
+
+    def __init__(self, i0: np.ndarray, i1: np.ndarray, field: np.ndarray, settings: Settings | Sequence[Settings], masks: tuple[np.ndarray, np.ndarray] | None = None, window: Window | None = None):
+        self.i0, self.i1, self.v = i0, i1, field.copy()
+        self.n, self.h, self.w = field.shape[:3]
+        own = [settings] * self.n if isinstance(settings, Settings) else list(settings)
+        self.w_ssim, self.w_tps, self.w_ui, self.clamp, self.eps = (np.array([getattr(s, c) for s in own], float) for c in ("w_ssim", "w_tps", "w_ui", "ssim_clamp", "eps"))
+        self.at = window or Window(self.h, self.w, 0, 0, (0, 0), (0, 0), (0, self.h), (0, self.w), np.inf)
+        high, wide = self.at.height, self.at.width
+        rows, columns = np.arange(self.h) + self.at.y, np.arange(self.w) + self.at.x
+        self.seen = [Masked(i, m) for i, m in zip((i0, i1), masks or (None, None))]
+        part = np.ix_(rows, columns)
+        self.locked = np.stack([locked_mask(high, wide, s.boundary)[part] for s in own])
         stencils = thin_plate_stencils()
-        border = lambda n: np.select([np.arange(n) == 0, np.arange(n) == 1, np.arange(n) == n - 1, np.arange(n) == n - 2], [0, 1, 4, 3], 2)
-        self.stencil = stencils[border(self.h)[:, None], border(self.w)[None, :]]
+        border = lambda i, n: np.select([i == 0, i == 1, i == n - 1, i == n - 2], [0, 1, 4, 3], 2)
+        self.stencil = stencils[border(rows, high)[:, None], border(columns, wide)[None, :]]
         self.tps_a = self.stencil[..., 2, 2] / 2
-        self.ui_a, self.ui_target = np.zeros((self.h, self.w)), np.zeros((self.h, self.w, 2))
-        for y, x, w, tx, ty in point_terms(list(s.points), self.h, self.w):
-            self.ui_a[y, x] += w
-            self.ui_target[y, x] += w * np.array([tx, ty])
-        self.improving = np.ones(i0.shape, bool)
+        self.ui_a, self.ui_target = np.zeros((self.n, self.h, self.w)), np.zeros((self.n, self.h, self.w, 2))
+        for k, s in enumerate(own):
+            for y, x, w, tx, ty in point_terms(list(s.points), high, wide):
+                y, x = y - self.at.y, x - self.at.x
+                if 0 <= y < self.h and 0 <= x < self.w:
+                    self.ui_a[k, y, x] += w
+                    self.ui_target[k, y, x] += w * np.array([tx, ty])
+        self.improving = np.ones((self.n, self.h, self.w), bool)
         b, y, x = np.mgrid[: self.n, : self.h, : self.w]
-        self.luma0, self.luma1 = self._luma(b, y, x, self.v)
-        self._sum(slice(None))
-
-    def _luma(self, b, y, x, v):
-        return bilinear(self.i0, b, y - v[..., 1], x - v[..., 0]), bilinear(self.i1, b, y + v[..., 1], x + v[..., 0])
-
-    def _sum(self, pairs) -> None:
-        """Sums and costs of those pairs."""
-        m, a, b = self.mask[pairs], self.luma0[pairs], self.luma1[pairs]
-        sums = np.stack([_box(t) for t in (m, m * a, m * b, m * a * a, m * b * b, m * a * b)])
-        if isinstance(pairs, slice):
-            self.sums, self.cost = sums, _ssim(*sums, self.s.ssim_clamp)
-        else:
-            self.sums[:, pairs], self.cost[pairs] = sums, _ssim(*sums, self.s.ssim_clamp)
+        self.luma0, self.luma1, self.mask = self._looked_up(b, y, x, self.v)
+        m, p, q = self.mask, self.luma0, self.luma1
+        self.sums = np.stack([_box(t) for t in (m, m * p, m * q, m * p * p, m * q * q, m * p * q)])
+        self.cost = _ssim(*self.sums, self.clamp[:, None, None])
+
+    def _looked_up(self, b, y, x, v) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both lumas and the weight of pixels of the region that are displaced by v."""
+        out = []
+        for seen, sign, (top, left) in zip(self.seen, (-1, 1), (self.at.first, self.at.second)):
+            out.append(seen.at(b, y + (self.at.y - top) + sign * v[..., 1], x + (self.at.x - left) + sign * v[..., 0]))
+        return out[0][0], out[1][0], (1 - out[0][1] / OUTSIDE) * (1 - out[1][1] / OUTSIDE)
 
     def energies(self) -> np.ndarray:
-        """The whole energy of each pair: similarity and control points by the area, and the bending."""
+        """The whole energy of each job: similarity and control points by the area, and the bending."""
         bent = np.zeros(self.v.shape)
         for c in range(2):
             for dy in range(-2, 3):
                 for dx in range(-2, 3):
                     bent[..., c] += self.stencil[..., dy + 2, dx + 2] * _shifted(self.v[..., c], dy, dx)
         ui = (self.ui_a * (self.v**2).sum(-1) - 2 * (self.ui_target * self.v).sum(-1)).sum((1, 2))
-        return (self.s.w_ssim * self.cost.sum((1, 2)) + self.s.w_ui * ui) / (self.h * self.w) + self.s.w_tps * 0.5 * (bent * self.v).sum((1, 2, 3))
+        return (self.w_ssim * self.cost.sum((1, 2)) + self.w_ui * ui) / (self.at.height * self.at.width) + self.w_tps * 0.5 * (bent * self.v).sum((1, 2, 3))
+
+    def _moved(self, b, y, x, d) -> tuple[np.ndarray, tuple]:
+        """What is added to the six sums of the squares around pixels that move by d; and their new lumas and weights."""
+        new = self._looked_up(b, y, x, self.v[b, y, x] + d)
+        terms = [np.stack([m, m * p, m * q, m * p * p, m * q * q, m * p * q]) for p, q, m in (new, (self.luma0[b, y, x], self.luma1[b, y, x], self.mask[b, y, x]))]
+        return terms[0] - terms[1], new
 
     def _change(self, b, y, x, d, tps_b, squares, inside, cells) -> np.ndarray:
         """The change of energy if the pixels (b, y, x) move by d."""
-        v = self.v[b, y, x]
-        l0, l1 = self._luma(b, y, x, v + d)
-        m, p, q = self.mask[b, y, x], self.luma0[b, y, x], self.luma1[b, y, x]
-        delta = np.stack([np.zeros(len(y)), m * (l0 - p), m * (l1 - q), m * (l0 * l0 - p * p), m * (l1 * l1 - q * q), m * (l0 * l1 - p * q)])
-        new = _ssim(*(squares + delta[:, :, None]), self.s.ssim_clamp)
+        delta, _ = self._moved(b, y, x, d)
+        new = _ssim(*(squares + delta[:, :, None]), self.clamp[b][:, None])
         ssim = ((new - cells) * inside).sum(-1)
-        ui_b = 2 * (self.ui_a[y, x][:, None] * v - self.ui_target[y, x])
+        a = self.ui_a[b, y, x]
+        ui_b = 2 * (a[:, None] * self.v[b, y, x] - self.ui_target[b, y, x])
         d2 = (d * d).sum(-1)
-        ui = self.ui_a[y, x] * d2 + (ui_b * d).sum(-1)
+        ui = a * d2 + (ui_b * d).sum(-1)
         tps = self.tps_a[y, x] * d2 + (tps_b * d).sum(-1)
-        return (self.s.w_ui * ui + self.s.w_ssim * ssim) / (self.h * self.w) + self.s.w_tps * tps
+        return (self.w_ui[b] * ui + self.w_ssim[b] * ssim) / (self.at.height * self.at.width) + self.w_tps[b] * tps
+
+    def _inside(self, y, x) -> np.ndarray:
+        return (y >= 0) & (y < self.h) & (x >= 0) & (x < self.w)
 
     def _limit(self, b, y, x, g) -> np.ndarray:
         """How far pixels may go along g before they cross the ring of their neighbours, in either image."""
@@ -155,8 +219,7 @@ class Level:
             ring = []
             for dy, dx in RING:
                 ny, nx = y + dy, x + dx
-                there = (ny >= 0) & (ny < self.h) & (nx >= 0) & (nx < self.w)
-                v = np.where(there[:, None], self.v[b, np.clip(ny, 0, self.h - 1), np.clip(nx, 0, self.w - 1)], own)
+                v = np.where(self._inside(ny, nx)[:, None], self.v[b, np.clip(ny, 0, self.h - 1), np.clip(nx, 0, self.w - 1)], own)
                 ring.append(np.stack([nx, ny], -1) + sign * v)
             p, d = np.stack([x, y], -1) + sign * own, sign * g
             for k in range(len(RING)):
@@ -165,117 +228,215 @@ class Level:
                 with np.errstate(divide="ignore", invalid="ignore"):
                     t, u = (w[:, 0] * e[:, 1] - w[:, 1] * e[:, 0]) / det, (w[:, 0] * d[:, 1] - w[:, 1] * d[:, 0]) / det
                 best = np.where((det != 0) & (u >= 0) & (u <= 1) & (t >= 0), np.minimum(best, t), best)
-        return np.where(np.isinf(best), 1.0, np.maximum(0.0, best - self.s.eps))
-
-    def _colour(self, cy: int, cx: int) -> bool:
-        part = np.zeros((self.h, self.w), bool)
-        part[cy::5, cx::5] = True
-        b, y, x = np.nonzero((_box(self.improving.astype(float)) > 0) & part)
+        return np.minimum(np.where(np.isinf(best), 1.0, np.maximum(0.0, best - self.eps[b])), self.at.reach)
+
+    def _candidates(self, cy: int, cx: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pixels of a colour that have one that improves in their square: each such is in the square of one of them."""
+        b, y, x = np.nonzero(self.improving)
+        y, x = (c - 2 + (want - first - (c - 2)) % 5 for c, want, first in ((y, cy, self.at.y), (x, cx, self.at.x)))
+        (top, bottom), (left, right) = self.at.rows, self.at.columns
+        there = (y >= top) & (y < bottom) & (x >= left) & (x < right)
+        flat = np.unique((b[there] * self.h + y[there]) * self.w + x[there])
+        return np.unravel_index(flat, self.improving.shape)
+
+    def _colour(self, cy: int, cx: int, moved: np.ndarray) -> None:
+        """Moves the pixels of a colour; sets `moved` of the jobs in which one does."""
+        b, y, x = self._candidates(cy, cx)
         self.improving[b, y, x] = False
-        free = ~self.locked[y, x]
+        free = ~self.locked[b, y, x]
         b, y, x = b[free], y[free], x[free]
         if not len(y):
-            return False
+            return
         dy, dx = (a.ravel() for a in np.mgrid[-2:3, -2:3])
         ny, nx = y[:, None] + dy, x[:, None] + dx
-        inside = (ny >= 0) & (ny < self.h) & (nx >= 0) & (nx < self.w)
+        inside = self._inside(ny, nx)
         at = b[:, None], np.clip(ny, 0, self.h - 1), np.clip(nx, 0, self.w - 1)
         squares, cells = self.sums[:, at[0], at[1], at[2]], self.cost[at]
         tps_b = (self.stencil[y, x].reshape(len(y), 25)[..., None] * np.where(inside[..., None], self.v[at], 0)).sum(1)
         change = lambda d: self._change(b, y, x, d, tps_b, squares, inside, cells)
-        e = self.s.eps
-        g = np.stack([change(np.tile(-step, (len(y), 1))) - change(np.tile(step, (len(y), 1))) for step in np.array([[e, 0.0], [0.0, e]])], -1)
+        e = self.eps[b]
+        g = np.stack([change(-e[:, None] * way) - change(e[:, None] * way) for way in np.eye(2)], -1)
         size = np.sqrt((g * g).sum(-1))
         g = g / np.where(size > 0, size, 1)[:, None]
         low, high = np.zeros(len(y)), np.where(size > 0, self._limit(b, y, x, g), 0.0)
         left, right = high - GOLDEN * high, GOLDEN * high
         f_left, f_right = change(left[:, None] * g), change(right[:, None] * g)
         while (open_ := high - low > e).any():
-            less = f_left < f_right
-            low, high = np.where(open_ & ~less, left, low), np.where(open_ & less, right, high)
-            left, right = np.where(open_, high - GOLDEN * (high - low), left), np.where(open_, low + GOLDEN * (high - low), right)
-            f_left, f_right = change(left[:, None] * g), change(right[:, None] * g)
+            up = f_right < f_left
+            low, high = np.where(open_ & up, left, low), np.where(open_ & ~up, right, high)
+            fresh = np.where(up, low + GOLDEN * (high - low), high - GOLDEN * (high - low))
+            value = change(fresh[:, None] * g)
+            left, right = np.where(open_, np.where(up, right, fresh), left), np.where(open_, np.where(up, fresh, left), right)
+            f_left, f_right = np.where(open_, np.where(up, f_right, value), f_left), np.where(open_, np.where(up, value, f_left), f_right)
         step, gain = np.where(f_left < f_right, left, right), np.minimum(f_left, f_right)
-        moved = (gain < 0) & (size > 0)
-        if not moved.any():
-            return False
-        b, y, x = b[moved], y[moved], x[moved]
-        self.v[b, y, x] += (step[:, None] * g)[moved]
-        self.luma0[b, y, x], self.luma1[b, y, x] = self._luma(b, y, x, self.v[b, y, x])
+        some = (gain < 0) & (size > 0)
+        if not some.any():
+            return
+        b, y, x, d = b[some], y[some], x[some], (step[:, None] * g)[some]
+        delta, (self.luma0[b, y, x], self.luma1[b, y, x], self.mask[b, y, x]) = self._moved(b, y, x, d)
+        self.v[b, y, x] += d
+        own, cell = np.nonzero(inside[some])  # squares of one colour do not overlap
+        where = tuple(np.broadcast_to(c[some], inside[some].shape)[own, cell] for c in at)
+        self.sums[(slice(None), *where)] += delta[:, own]
+        self.cost[where] = _ssim(*self.sums[(slice(None), *where)], self.clamp[where[0]])
         self.improving[b, y, x] = True
-        self._sum(np.unique(b))
-        return True
+        moved[b] = True
+
+    def sweep(self) -> np.ndarray:
+        """Whether any pixel moved, by job."""
+        moved = np.zeros(self.n, bool)
+        for cy in range(5):
+            for cx in range(5):
+                self._colour(cy, cx, moved)
+        return moved
 
-    def sweep(self) -> bool:
-        return any([self._colour(cy, cx) for cy in range(min(5, self.h)) for cx in range(min(5, self.w))])
+    def run(self, most: int | np.ndarray) -> np.ndarray:
+        """Sweeps until nothing moves, job by job, but no more than `most`; how many there were."""
+        count, most = np.zeros(self.n, int), np.broadcast_to(most, self.n)
+        active = count < most
+        while active.any():
+            self.improving[~active] = False
+            moved = self.sweep()
+            count[active] += 1
+            active &= moved & (count < most)
+        return count
 
-    def run(self, most: int) -> int:
-        """Sweeps until nothing moves in any pair; how many there were."""
-        for n in range(most):
-            if not self.sweep():
-                return n + 1
-        return most
 
+def smaller(images: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """The next level of images: cardinal cubic B-splines."""
+    rows, columns = (resize_matrix(n, m) for n, m in zip(images.shape[1:], size))
+    return rows @ images @ columns.T
 
-def morph(i0: np.ndarray, i1: np.ndarray, s: Settings = Settings(), mask: np.ndarray | None = None, progress=None) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-    """(fields, sweeps by level) between images (b, y, x) of equal size; pairs do not touch each other.
+
+def larger(field: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """Fields at another size: bilinear, each component longer by its axis's ratio."""
+    n = field.shape[1:3]
+    rows, columns = (resize_matrix(a, b, "hat", False, False) for a, b in zip(n, size))
+    return np.stack([rows @ field[..., c] @ columns.T * (size[1 - c] / n[1 - c]) for c in (0, 1)], -1)
+
+
+def resized_mask(mask: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """Masks of the first level at another: bilinear at the centres of pixels, in whole numbers."""
+    if mask.shape[1:] == size:
+        return mask
+    y, x = np.meshgrid(*((np.arange(m) + 0.5) * n / m - 0.5 for n, m in zip(mask.shape[1:], size)), indexing="ij")
+    return np.rint(bilinear(mask, np.arange(len(mask))[:, None, None], y, x))
+
+
+def morph(i0: np.ndarray, i1: np.ndarray, s: Settings | Sequence[Settings] = Settings(), masks: tuple[np.ndarray, np.ndarray] | None = None, progress=None) -> tuple[np.ndarray, list[tuple]]:
+    """(fields, log) between images (b, y, x) of equal size; jobs do not touch each other, and may have settings of their
+    own but for start_res. log: (level, height, width, the most sweeps of a job, sweeps by job, milliseconds).
 
     progress(level, fields) may return False to stop.
     """
     n, *size = i0.shape
-    sizes = level_sizes(*size, s.start_res)
+    own = [s] * n if isinstance(s, Settings) else list(s)
+    if len({o.start_res for o in own}) > 1:
+        raise ValueError("jobs that go side by side have one start_res")
+    sizes = level_sizes(*size, own[0].start_res) if n else [tuple(size)]
     images = [(i0, i1)]
-    for (h, w), (nh, nw) in zip(sizes, sizes[1:]):
-        rows, cols = resize_matrix(h, nh), resize_matrix(w, nw)
-        images.append(tuple(rows @ i @ cols.T for i in images[-1]))  # type: ignore[arg-type]
-    start = coarse_field(list(s.points), *sizes[-1], s.boundary, s.w_tps, s.w_ui) if s.points else np.zeros((*sizes[-1], 2))
-    field = np.repeat(start[None], n, axis=0)
-    most, log = s.max_iter, []
+    for after in sizes[1:]:
+        images.append(tuple(smaller(i, after) for i in images[-1]))  # type: ignore[arg-type]
+    field = np.stack([coarse_field(list(o.points), *sizes[-1], o.boundary, o.w_tps, o.w_ui) if o.points else np.zeros((*sizes[-1], 2)) for o in own]) if n else np.zeros((0, *sizes[-1], 2))
+    most, log = np.array([o.max_iter for o in own], int), []
     for level in range(len(sizes) - 2, -1, -1):
-        most = int(most / s.drop)
-        (h, w), (ch, cw) = sizes[level], sizes[level + 1]
-        rows, cols = resize_matrix(ch, h, "hat", False, False), resize_matrix(cw, w, "hat", False, False)
-        field = np.stack([rows @ field[..., c] @ cols.T * r for c, r in ((0, w / cw), (1, h / ch))], -1)
-        m = mask
-        if mask is not None and level:
-            y, x = np.meshgrid((np.arange(h) + 0.5) * size[0] / h - 0.5, (np.arange(w) + 0.5) * size[1] / w - 0.5, indexing="ij")
-            m = bilinear(mask, np.arange(n)[:, None, None], y, x)
-        state = Level(*images[level], field, s, m)
-        log.append((level, h, w, state.run(int(most))))
+        began = time.perf_counter()
+        most = np.array([int(m / o.drop) for m, o in zip(most, own)], int)
+        state = Level(*images[level], larger(field, sizes[level]), own, None if masks is None else tuple(resized_mask(m, sizes[level]) for m in masks))
+        sweeps = state.run(most)
+        log.append((level, *sizes[level], int(sweeps.max(initial=0)), sweeps, 1000 * (time.perf_counter() - began)))
         field = state.v
         if progress and progress(level, field) is False:
             break
     return field, log
 
 
-#: Pixels of pairs that are matched side by side, about.
+#: Pixels of jobs that are matched side by side, about.
 TOGETHER = 1 << 17
 
+_PARAMETERS = "w_ssim w_tps w_ui ssim_clamp max_iter drop eps start_res boundary".split()
 
-def match(pairs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(pair_id, y, x, vx, vy) of pairs (pair_id, y, x, v0, v1, and mask if there is one), complete rasters.
 
-    Each pair becomes a row of arrays; tasks match pairs of one size side by side, as many as TOGETHER holds.
-    """
-    channels = ["v0", "v1", *(["mask"] if "mask" in pairs.columns else [])]
+def _arrays(df: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:
+    """A row of arrays for each raster, with its height and width."""
     cells = F.array_sort(F.collect_list(F.struct("y", "x", *channels)))
-    whole = pairs.groupBy("pair_id").agg(cells.alias("c")).select(
-        "pair_id", (F.element_at("c", -1)["y"] + 1).alias("high"), (F.element_at("c", -1)["x"] + 1).alias("wide"), *(F.col(f"c.{k}").alias(k) for k in channels)
-    )
+    last = F.element_at("c", -1)
+    return df.groupBy(*keys).agg(cells.alias("c")).select(*keys, (last["y"] + 1).alias("high"), (last["x"] + 1).alias("wide"), *(F.col(f"c.{k}").alias(k) for k in channels))
+
+
+def jobs(pairs: DataFrame, parameters: DataFrame | None = None, points: DataFrame | None = None, masks: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+    """(pair_id, layer, high, wide, v0, v1, mask0, mask1, parameters, points): a row of arrays for each layer of a pair.
+
+    pairs: (pair_id, y, x, v0, v1), complete rasters. parameters: (pair_id, layer) and any of the fields of Settings but
+    points; a null or missing one is that of `settings`. Without the table each pair has one layer, 0. points: (pair_id,
+    layer, idx, lx, ly, rx, ry). masks: (pair_id, layer, y, x, mask0, mask1), 255 where the image is ignored; a layer
+    without rows has none.
+    """
+    images = _arrays(pairs, ["pair_id"], ["v0", "v1"])
+    given = set(parameters.columns) if parameters is not None else set()
+    value = lambda c: F.coalesce(F.col(c), F.lit(getattr(settings, c))) if c in given else F.lit(getattr(settings, c))
+    layers = parameters if parameters is not None else images.select("pair_id", F.lit(0).alias("layer"))
+    out = layers.select("pair_id", "layer", *(value(c).alias(c) for c in _PARAMETERS)).join(images, "pair_id")
+    if points is not None:
+        each = F.transform(F.array_sort(F.collect_list(F.struct("idx", "lx", "ly", "rx", "ry"))), lambda p: F.array(p["lx"], p["ly"], p["rx"], p["ry"]))
+        out = out.join(points.groupBy("pair_id", "layer").agg(each.alias("points")), ["pair_id", "layer"], "left")
+    else:
+        out = out.withColumn("points", F.array(*(F.array(*map(F.lit, p)) for p in settings.points)) if settings.points else F.lit(None).cast("array<array<double>>"))
+    if masks is not None:
+        out = out.join(_arrays(masks, ["pair_id", "layer"], ["mask0", "mask1"]).drop("high", "wide"), ["pair_id", "layer"], "left")
+    else:
+        out = out.withColumns({c: F.lit(None).cast("array<double>") for c in ("mask0", "mask1")})
+    return out.repartition("pair_id", "layer")
+
+
+MATCHED = "pair_id long, layer int, high int, wide int, vx array<double>, vy array<double>, levels array<struct<level: int, high: int, wide: int, sweeps: int, ms: double>>"
+
+
+def matched(work: DataFrame) -> DataFrame:
+    """Of each of jobs(): the field as arrays, and level by level the sweeps and the milliseconds (the job's part of those
+    that it went side by side with). To be written once where both are wanted."""
 
     def run(batches):
         for batch in batches:
-            for (high, wide), part in batch.groupby(["high", "wide"]):
+            for (high, wide, _), part in batch.groupby(["high", "wide", "start_res"]):
                 count = max(1, TOGETHER // (high * wide))
                 for at in range(0, len(part), count):
                     some = part.iloc[at : at + count]
-                    images = [np.stack(some[c].to_numpy()).reshape(-1, high, wide).astype(float) for c in channels]
-                    field, _ = morph(*images[:2], settings, images[2] if len(images) > 2 else None)
-                    n = high * wide
-                    y, x = np.divmod(np.arange(n), wide)
+                    raster = lambda c, none=0.0: np.stack([np.full(high * wide, none) if a is None else np.asarray(a, float) for a in some[c]]).reshape(-1, high, wide)  # noqa: B023, E731
+                    own = [Settings(**{c: r[c] for c in _PARAMETERS}, points=() if r["points"] is None else tuple(tuple(p) for p in r["points"])) for r in some.to_dict("records")]
+                    field, log = morph(raster("v0"), raster("v1"), own, (raster("mask0"), raster("mask1")))
+                    levels = [[{"level": level, "high": h, "wide": w, "sweeps": int(n[k]), "ms": ms / len(some)} for level, h, w, _, n, ms in log] for k in range(len(some))]
                     yield pd.DataFrame({
-                        "pair_id": np.repeat(some["pair_id"].to_numpy(), n), "y": np.tile(y, len(some)), "x": np.tile(x, len(some)),
-                        "vx": field[..., 0].ravel(), "vy": field[..., 1].ravel(),
+                        "pair_id": some["pair_id"].to_numpy(), "layer": some["layer"].to_numpy(), "high": high, "wide": wide,
+                        "vx": list(field[..., 0].reshape(len(some), -1)), "vy": list(field[..., 1].reshape(len(some), -1)), "levels": levels,
                     })
 
-    return whole.mapInPandas(run, "pair_id long, y int, x int, vx double, vy double")
+    return work.mapInPandas(run, MATCHED)
+
+
+def fields(done: DataFrame) -> DataFrame:
+    """(pair_id, layer, y, x, vx, vy) of matched()."""
+    cells = done.select("pair_id", "layer", "wide", F.posexplode(F.arrays_zip("vx", "vy")).alias("i", "v"))
+    return cells.select("pair_id", "layer", F.expr("i div wide").cast("int").alias("y"), (F.col("i") % F.col("wide")).cast("int").alias("x"), "v.vx", "v.vy")
+
+
+def schedule(done: DataFrame) -> DataFrame:
+    """(pair_id, layer, level, high, wide, sweeps, ms) of matched()."""
+    return done.select("pair_id", "layer", F.explode("levels").alias("l")).select("pair_id", "layer", "l.*")
+
+
+def observed(done: DataFrame, name: str = "matching") -> tuple[DataFrame, Observation]:
+    """matched() and what is measured while its rows are first made: jobs, sweeps, milliseconds, pixels that were visited
+    and those that would be in full schedules of one sweep a level."""
+    measure = lambda f: F.sum(F.aggregate("levels", F.lit(0.0), lambda s, l: s + f(l)))  # noqa: E731, E741
+    seen = Observation(name)
+    return done.observe(
+        seen, F.count(F.lit(1)).alias("jobs"), measure(lambda l: l["sweeps"].cast("double")).alias("sweeps"), measure(lambda l: l["ms"]).alias("ms"),  # noqa: E741
+        measure(lambda l: l["sweeps"] * l["high"] * l["wide"].cast("double")).alias("visits"),  # noqa: E741
+    ), seen
+
+
+def match(pairs: DataFrame, settings: Settings = Settings(), masks: DataFrame | None = None) -> DataFrame:
+    """(pair_id, y, x, vx, vy) of pairs (pair_id, y, x, v0, v1), one layer each; masks: (pair_id, y, x, mask0, mask1)."""
+    masks = None if masks is None else masks.withColumn("layer", F.lit(0))
+    return fields(matched(jobs(pairs, None, None, masks, settings))).drop("layer")

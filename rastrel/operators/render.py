@@ -32,6 +32,51 @@ def composited(layers: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> Data
     return layers.groupBy(*keys, "y", "x").agg(over.alias("v"))
 
 
+BGRA = ("b", "g", "r", "a")
+
+
+def zipped(one: DataFrame, other: DataFrame, columns: dict[str, str], keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """one with columns of another raster, pixel by pixel; columns: the name here by the name there."""
+    return one.join(other.select(*keys, "y", "x", *(F.col(c).alias(n) for n, c in columns.items())), [*keys, "y", "x"])
+
+
+def merged(image: DataFrame, mask: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """(keys, y, x, b, g, r, a): an image whose a is the mask's green: 255 where a pixel is not of the layer."""
+    return zipped(image.select(*keys, "y", "x", "b", "g", "r"), mask, {"a": "g"}, keys)
+
+
+def canvas(image: DataFrame, height: int, width: int, edge: int, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """(keys, y, x, b, g, r, a): a merged image `edge` pixels from every side of a canvas that is 255 beyond it."""
+    high, wide = height + 2 * edge, width + 2 * edge
+    cells = F.explode(F.sequence(F.lit(0), F.lit(high * wide - 1)))
+    blank = image.select(*keys).distinct().select(*keys, cells.alias("i")).select(*keys, F.expr(f"i div {wide}").cast("int").alias("y"), (F.col("i") % wide).cast("int").alias("x"))
+    moved = image.withColumns({"y": F.col("y") + edge, "x": F.col("x") + edge})
+    return blank.join(moved, [*keys, "y", "x"], "left").select(*keys, "y", "x", *(F.coalesce(c, F.lit(WHITE)).alias(c) for c in BGRA))
+
+
+def halfway_layers(field: DataFrame, first: DataFrame, second: DataFrame, height: int, width: int, edge: int, keys: tuple[str, ...] = ("image_id", "layer")) -> DataFrame:
+    """(keys, y, x, b, g, r, a): the mean of both canvases at the places to which each layer's field points, all four
+    channels, the nearest pixel beyond the canvas."""
+    size = height + 2 * edge, width + 2 * edge
+    parts = [
+        sample(field, c, F.col("x") + sign * F.col("vx") + edge, F.col("y") + sign * F.col("vy") + edge, {f"{n}{k}": n for n in BGRA}, *size, keys=keys)
+        for k, (sign, c) in enumerate(((-1, first), (1, second)))
+    ]
+    return parts[0].join(parts[1], [*keys, "y", "x"]).select(*keys, "y", "x", *(((F.col(f"{n}0") + F.col(f"{n}1")) / 2).alias(n) for n in BGRA))
+
+
+def blended(layers: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """(keys, y, x, b, g, r): layers (keys, z_order, y, x, b, g, r, a) over white in their order, each by 1 - a / 255."""
+    stack = F.array_sort(F.collect_list(F.struct("z_order", *BGRA)))
+    white = F.struct(*(F.lit(WHITE).alias(c) for c in BGRA[:3]))
+
+    def over(under: Column, top: Column) -> Column:
+        share = 1.0 - top["a"] / 255.0
+        return F.struct(*((under[c] * (1.0 - share) + top[c] * share).alias(c) for c in BGRA[:3]))
+
+    return layers.groupBy(*keys, "y", "x").agg(F.aggregate(stack, white, over).alias("c")).select(*keys, "y", "x", "c.*")
+
+
 def error_image(c: Column) -> Column:
     return clamp(c, 0.0, 1.0) * 255.0
 

@@ -91,28 +91,40 @@ def jacobian_average(field: DataFrame, keys: tuple[str, ...] = KEYS, arranged: b
     return wide.withColumns(out).drop(*wanted)
 
 
-def path_system(averaged: DataFrame, height: int, width: int, keys: tuple[str, ...] = KEYS) -> tuple[DataFrame, DataFrame]:
-    """(matrix, right side) of the path: (keys, row, col, value) and (keys, row, bx, by); rows are y * width + x.
+def _sides(height: int, width: int) -> list[tuple[Column, int]]:
+    """The four neighbours of a pixel: whether there is one, and how much further its number is."""
+    y, x = F.col("y"), F.col("x")
+    return [(x > 0, -1), (x < width - 1, 1), (y > 0, -width), (y < height - 1, width)]
+
+
+def path_grid(averaged: DataFrame, height: int, width: int, keys: tuple[str, ...] = KEYS, arranged: bool = True) -> DataFrame:
+    """(keys, y, x, diagonal, bx, by): the path's system, pixel by pixel; what stands beside the diagonal is -1 for each
+    neighbour.
 
     Between a pixel and its left or upper neighbour the path should differ by the target column less the identity;
     where the field is shorter than one, the pixel is also drawn to zero by what is missing.
     """
     y, x = F.col("y"), F.col("x")
-    row = y * width + x
-    sides = [(x > 0, -1), (x < width - 1, 1), (y > 0, -width), (y < height - 1, width)]
-    count = sum((F.when(there, 1.0).otherwise(0.0) for there, _ in sides), F.lit(0.0))
+    count = sum((F.when(there, 1.0).otherwise(0.0) for there, _ in _sides(height, width)), F.lit(0.0))
     pull = F.greatest(F.lit(0.0), 1.0 - F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")))
-    cells = [F.struct(row.alias("col"), (count + pull).alias("value"))] + [F.when(there, F.struct((row + step).alias("col"), F.lit(-1.0).alias("value"))) for there, step in sides]
-    matrix = averaged.select(*keys, row.alias("row"), F.explode(F.array_compact(F.array(*cells))).alias("c")).select(*keys, "row", "c.col", "c.value")
     wanted = {"__ax": ("tax", 0, 1), "__ay": ("tay", 0, 1), "__bx": ("tbx", 1, 0), "__by": ("tby", 1, 0)}
-    wide = neighbours(averaged, wanted, keys, arranged=True)
+    wide = neighbours(averaged, wanted, keys, arranged)
 
-    def side(c: str, own: str, unit: tuple[float, float]) -> Column:
+    def side(c: str, unit: tuple[float, float]) -> Column:
         low_x, low_y = F.when(x > 0, F.col(f"ta{c}") - unit[0]).otherwise(0.0), F.when(y > 0, F.col(f"tb{c}") - unit[1]).otherwise(0.0)
         return low_x + low_y - F.coalesce(F.col(f"__a{c}") - unit[0], F.lit(0.0)) - F.coalesce(F.col(f"__b{c}") - unit[1], F.lit(0.0))
 
-    right = wide.select(*keys, row.alias("row"), side("x", "bx", (1.0, 0.0)).alias("bx"), side("y", "by", (0.0, 1.0)).alias("by"))
-    return matrix, right
+    return wide.select(*keys, "y", "x", (count + pull).alias("diagonal"), side("x", (1.0, 0.0)).alias("bx"), side("y", (0.0, 1.0)).alias("by"))
+
+
+def path_system(averaged: DataFrame, height: int, width: int, keys: tuple[str, ...] = KEYS) -> tuple[DataFrame, DataFrame]:
+    """(matrix, right side) of path_grid(): (keys, row, col, value) and (keys, row, bx, by); rows are y * width + x."""
+    row = F.col("y") * width + F.col("x")
+    grid = path_grid(averaged, height, width, keys)
+    cells = [F.struct(row.alias("col"), F.col("diagonal").alias("value"))]
+    cells += [F.when(there, F.struct((row + step).alias("col"), F.lit(-1.0).alias("value"))) for there, step in _sides(height, width)]
+    matrix = grid.select(*keys, row.alias("row"), F.explode(F.array_compact(F.array(*cells))).alias("c")).select(*keys, "row", "c.col", "c.value")
+    return matrix, grid.select(*keys, row.alias("row"), "bx", "by")
 
 
 def conjugate_gradient(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, right: np.ndarray, tol: float = 1e-3, max_iter: int = 5000) -> np.ndarray:

@@ -57,31 +57,46 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
-def encoded(df: DataFrame, key: str, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
-    """(key, png) of images with pixels (key, y, x, channels): values are cut off to whole numbers and kept in 0..255."""
+def bmp(image: np.ndarray) -> bytes:
+    """A BMP of bytes (height, width) or (height, width, 3), 24 bits a pixel, from the last row up."""
+    high, wide = image.shape[:2]
+    rows = np.zeros((high, -(-3 * wide // 4) * 4), np.uint8)
+    rows[:, : 3 * wide] = (np.repeat(image[..., None], 3, 2) if image.ndim == 2 else image[..., 2::-1]).reshape(high, -1)
+    head = struct.pack("<IiiHHIIiiII", 40, wide, high, 1, 24, 0, rows.size, 2835, 2835, 0, 0)
+    return struct.pack("<2sIHHI", b"BM", 54 + rows.size, 0, 0, 54) + head + rows[::-1].tobytes()
+
+
+FORMS = {"png": png, "bmp": bmp}
+
+
+def encoded(df: DataFrame, key: str, channels: tuple[str, ...] = ("r", "g", "b"), form: str = "png") -> DataFrame:
+    """(key, png or bmp) of images with pixels (key, y, x, channels): values are cut off to whole numbers and kept in 0..255."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(name: tuple, part: pd.DataFrame) -> pd.DataFrame:
         image = np.zeros((int(part["y"].max()) + 1, int(part["x"].max()) + 1, len(channels)), np.uint8)
         image[part["y"], part["x"]] = np.clip(np.trunc(part[list(channels)].to_numpy(float)), 0, 255)
-        return pd.DataFrame({key: [name[0]], "png": [png(image[..., 0] if len(channels) == 1 else image)]})
+        return pd.DataFrame({key: [name[0]], form: [FORMS[form](image[..., 0] if len(channels) == 1 else image)]})
 
-    return df.select(key, "y", "x", *channels).groupBy(key).applyInPandas(run, f"{key} {kind}, png binary")
+    return df.select(key, "y", "x", *channels).groupBy(key).applyInPandas(run, f"{key} {kind}, {form} binary")
 
 
-def save(images: DataFrame, folder: str, key: str, name: str = "{}.png") -> None:
-    """Writes (key, png) as files of a folder that all executors share; a file appears when it is whole, so a task that
-    runs again does no harm."""
+def save(images: DataFrame, folder: str, key: str, name: str = "{}.png", form: str = "png") -> None:
+    """Writes (key, png) as files of a folder that all executors reach: a path, or the address of a store that Arrow knows
+    (file, hdfs, s3, gs). A file appears when it is whole, so a task that runs again does no harm."""
     def run(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(folder))
+        store.create_dir(root, recursive=True)
         for row in rows:
-            path = os.path.join(folder, name.format(row[key]))
+            path = f"{root}/{name.format(row[key])}"
             part = f"{path}.{uuid.uuid4().hex}"
-            with open(part, "wb") as f:
-                f.write(row["png"])
-            os.replace(part, path)
+            with store.open_output_stream(part) as f:
+                f.write(row[form])
+            store.move(part, path)
 
-    images.select(key, "png").foreachPartition(run)
+    images.select(key, form).foreachPartition(run)
 
 
 #: Frames (percent of the way) that are kept by name.

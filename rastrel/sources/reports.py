@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 
 def export_field(field: DataFrame, path: str) -> None:
-    """A line `vx vy` for each pixel, row by row, in one file."""
+    """A line `vx vy` for each pixel, row by row: ranges of rows are sorted and written apart, and their files in the
+    order of their names are the whole text."""
     lines = field.select("y", "x", F.format_string("%.6f %.6f", "vx", "vy").alias("value"))
-    lines.orderBy("y", "x").select("value").coalesce(1).write.text(path)
+    lines.repartitionByRange("y").sortWithinPartitions("y", "x").select("value").write.text(path)
 
 
 class Metrics:
