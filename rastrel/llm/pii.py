@@ -104,8 +104,11 @@ def _mixed(f: Feistel, text: str, tweak: str, back: bool) -> str:
 
 
 def _email(f: Feistel, v: str, back: bool) -> str | None:
+    """Names that differ in case have pseudonyms that do so in the same places."""
     name, host = v.rsplit("@", 1)
-    return _filled(name, _mixed(f, re.sub(r"[^A-Za-z0-9]", "", name), "email", back)) + "@" + host
+    bare = re.sub(r"[^A-Za-z0-9]", "", name)
+    new = _mixed(f, bare.lower(), "email", back)
+    return _filled(name, "".join(c.upper() if own.isupper() else c for c, own in zip(new, bare))) + "@" + host
 
 
 def _iban_check(country: str, rest: str) -> int:

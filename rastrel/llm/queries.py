@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import public_tokenizers
@@ -47,8 +48,10 @@ def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the key of spark.rastrel.pseudonym.key; without that setting, the development key."""
+    """With the key of spark.rastrel.pseudonym.key; without that setting, the development key, and a warning."""
     key = spark.conf.get("spark.rastrel.pseudonym.key", None)
+    if not key:
+        warnings.warn("pseudonyms are made with the development key, which anyone can turn back: set spark.rastrel.pseudonym.key", stacklevel=2)
     return pii.pseudonymised(table(spark, sf_dir, "documents"), ["doc_id"], key.encode() if key else pii.DEFAULT_KEY)
 
 

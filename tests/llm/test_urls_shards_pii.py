@@ -3,11 +3,12 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rastrel.llm import pii, sharding, urls
+from rastrel.llm import pii, queries, sharding, urls
 from tests.conftest import DATA
 from tests.llm.cases import documents, empty, odd
 
@@ -296,3 +297,15 @@ def test_query_against_an_independent_detector(spark):
         if not got[i]["n_pii"]:
             assert got[i]["text"] == text and not own
     assert len(seen) > 30
+
+
+def test_addresses_are_linked_whatever_their_case():
+    f = pii.Feistel(b"k")
+    made = [pii.replace(t, f)[0] for t in ("John.Doe7@x.org", "JOHN.DOE7@x.org", "john.doe7@x.org")]
+    assert len({m.lower() for m in made}) == 1 and len(set(made)) == 3 and made[1].split("@")[0].isupper()
+    assert [pii.replace(m, f, True)[0] for m in made] == ["John.Doe7@x.org", "JOHN.DOE7@x.org", "john.doe7@x.org"]
+
+
+def test_the_development_key_is_told(spark):
+    with pytest.warns(UserWarning, match="development key"):
+        queries.op9_feistel_pseudonyms(spark, DATA)
