@@ -146,6 +146,14 @@ def io_mask() -> np.ndarray:
     return inside[:, None, :, None] & inside[None, :, None, :]
 
 
+def with_io_mask(df: DataFrame, height: int, width: int) -> DataFrame:
+    """df with `inside`: io_mask() of each pixel's border class, row by row, as an array of 25."""
+    rows = [(by, bx, [bool(v) for v in cell.ravel()]) for by, line in enumerate(io_mask()) for bx, cell in enumerate(line)]
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, "__by int, __bx int, inside array<boolean>"))  # 25 rows
+    classes = df.withColumns({"__by": border_class(F.col("y"), height), "__bx": border_class(F.col("x"), width)})
+    return classes.join(table, ["__by", "__bx"]).drop("__by", "__bx")
+
+
 def _stencil_table(df: DataFrame) -> DataFrame:
     rows = [(by, bx, s.ravel().tolist()) for by, line in enumerate(thin_plate_stencils()) for bx, s in enumerate(line)]
     return F.broadcast(df.sparkSession.createDataFrame(rows, "__by int, __bx int, __w array<double>"))  # 25 rows

@@ -88,6 +88,12 @@ def frame_schedule(spread: int, ticks: int) -> list[int]:
     return [loop[t % len(loop)] for t in range(ticks)]
 
 
+def frame_at(tick: Column, spread: int) -> Column:
+    """frame_schedule() at a tick."""
+    at = F.pmod(tick, F.lit(max(1, 4 * spread)))
+    return F.when(at <= 2 * spread, 50 - spread + at).otherwise(50 + 3 * spread - at)
+
+
 def mask_preview(v: Column, ignore: Column, outside: Column) -> Column:
     """Half dark where ignored, white where not of the layer."""
     alpha = 1.0 - ignore / 510.0

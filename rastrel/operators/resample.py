@@ -92,6 +92,11 @@ def level_count(height: int, width: int, start_res: int = 8) -> int:
     return max(1, math.floor(math.log2(min(height, width)) - math.log2(start_res)) + 1)
 
 
+def levels_of(height: Column, width: Column, start_res: int = 8) -> Column:
+    """level_count() of sizes in whole numbers: as many as the shorter side has bits over start_res; one at least."""
+    return F.greatest(F.lit(1), F.length(F.bin(F.floor(F.least(height, width) / start_res).cast("long"))))
+
+
 def level_sizes(height: int, width: int, start_res: int = 8, variant: str = "cpu") -> list[tuple[int, int]]:
     """(height, width) by level: halved and cut off each time, or (gpu) the first by powers of two, rounded."""
     sizes = [(height, width)]

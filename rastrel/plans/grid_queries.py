@@ -86,11 +86,13 @@ def tps_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(neighbourhood.thin_plate_scatter(rasters.event_grid(spark, sf_dir), 30, 24), KEYS, b="b")
 
 
-@query("""SELECT CAST(cy AS INT) AS cy, CAST(cx AS INT) AS cx, CAST(dy AS INT) AS dy, CAST(dx AS INT) AS dx, cy + dy BETWEEN 0 AND 4 AND cx + dx BETWEEN 0 AND 4 AS inside
-  FROM range(5) AS a(cy), range(5) AS b(cx), range(-2, 3) AS c(dy), range(-2, 3) AS d(dx)""")
+@query(f"""WITH {EVT} SELECT image_id, y, x, CAST(count(*) AS INT) AS cells, CAST(sum(i) AS INT) AS places FROM evt, range(25) AS t(i)
+  WHERE y + i // 5 - 2 BETWEEN 0 AND 29 AND x + i % 5 - 2 BETWEEN 0 AND 23 GROUP BY ALL""")
 def io_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = [(cy, cx, dy - 2, dx - 2, bool(v)) for cy, a in enumerate(neighbourhood.io_mask()) for cx, b in enumerate(a) for dy, c in enumerate(b) for dx, v in enumerate(c)]
-    return spark.createDataFrame(cells, "cy int, cx int, dy int, dx int, inside boolean")
+    """Of each pixel, how many cells of its square are inside, and the sum of their numbers."""
+    df = neighbourhood.with_io_mask(rasters.event_grid(spark, sf_dir), 30, 24)
+    numbers = F.filter(F.transform("inside", lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
+    return df.select(*KEYS, F.size(numbers).alias("cells"), F.aggregate(numbers, F.lit(0), lambda s, i: s + i).alias("places"))
 
 
 # energy
@@ -229,22 +231,38 @@ def downsample_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(resample.downsample_cells(rasters.event_grid(spark, sf_dir), 30, 24, 15, 12), KEYS, v="v")
 
 
-@query(" UNION ALL ".join(f"SELECT '{n}' AS kernel, CAST(i AS INT) AS i, {r(k.sql('i / 16.0::DOUBLE'), 'v')} FROM range(-72, 73) AS t(i)" for n, k in sorted(KERNELS.items())))
+_SIZES = "sizes AS MATERIALIZED (SELECT p_size, count(*) AS n, (p_size - 25.5::DOUBLE) / 6 AS place FROM part GROUP BY p_size)"
+
+
+@query(f"WITH {_SIZES} " + " UNION ALL ".join(f"SELECT '{n}' AS kernel, p_size, n, {r(k.sql('place'), 'v')} FROM sizes" for n, k in sorted(KERNELS.items())))
 def kernel_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every kernel of the catalogue at sixteenths."""
-    at = spark.range(-72, 73).select(F.col("id").cast("int").alias("i"))
-    parts = [at.select(F.lit(n).alias("kernel"), "i", rounded(k.value(F.col("i") / 16.0)).alias("v")) for n, k in sorted(KERNELS.items())]
+    """Every kernel of the catalogue at places that the sizes of parts give."""
+    sizes = rasters.table(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n"))
+    place = (F.col("p_size") - 25.5) / 6
+    parts = [sizes.select(F.lit(n).alias("kernel"), "p_size", "n", rounded(k.value(place)).alias("v")) for n, k in sorted(KERNELS.items())]
     return reduce(DataFrame.union, parts)  # a stage for each kernel: all in one are too much code for a stage
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k}, {round(w, 9)!r}::DOUBLE)" for n in filters.NAMES for k, w in filters.taps(n)) + ") AS t(filter, place, weight)")
+_TAPS = ", ".join(f"('{n}', {k}, {w!r}::DOUBLE)" for n in filters.NAMES for k, w in filters.taps(n))
+
+
+@query(f"""WITH {EVT}, taps AS (SELECT * FROM (VALUES {_TAPS}) AS t(filter, k, w))
+  SELECT filter, image_id, y, {r("sum(w * v)", "first", 10)} FROM taps JOIN evt ON x = CASE WHEN k < 0 THEN -1 - k ELSE k END GROUP BY ALL""")
 def filter_taps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, k, float(round(w, 9))) for n in filters.NAMES for k, w in filters.taps(n)], "filter string, place int, weight double")
+    """Every filter of the catalogue, applied to the first place of each line of an image."""
+    line = F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda c: c["v"])
+    whole = rasters.event_grid(spark, sf_dir).groupBy("image_id", "y").agg(line.alias("line"))
+    all_ = F.explode(F.array(*(F.struct(F.lit(n).alias("filter"), F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(w)).alias("w")) for k, w in filters.taps(n))).alias("taps")) for n in filters.NAMES)))
+    each = whole.select("image_id", "y", "line", all_.alias("f")).select("f.filter", "image_id", "y", "line", "f.taps")
+    first = F.aggregate("taps", F.lit(0.0), lambda s, t: s + t["w"] * F.get("line", F.when(t["k"] < 0, -1 - t["k"]).otherwise(t["k"])))
+    return each.select("filter", "image_id", "y", rounded(first, 10).alias("first"))
 
 
-@query("WITH t AS (SELECT CAST(w AS INT) AS w, CAST(h AS INT) AS h FROM range(8, 200, 7) AS a(w), range(8, 300, 31) AS b(h)) SELECT w, h, CAST(floor(log2(least(w, h)) - 3) + 1 AS INT) AS levels FROM t")
+@query("SELECT p_partkey, levels FROM (SELECT p_partkey, CAST(greatest(1, floor(log2(least(8 + p_partkey % 192, 8 + p_size * 6)) - 3) + 1) AS INT) AS levels FROM part)")
 def level_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(w, h, resample.level_count(h, w)) for w in range(8, 200, 7) for h in range(8, 300, 31)], "w int, h int, levels int")
+    """Levels of images whose sides the keys and sizes of parts give."""
+    parts = rasters.table(spark, sf_dir, "part")
+    return parts.select("p_partkey", resample.levels_of(8 + F.col("p_size") * 6, 8 + F.col("p_partkey") % 192).alias("levels"))
 
 
 @query(None)
@@ -454,9 +472,12 @@ def error_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(rasters.embedding_images(spark, sf_dir), KEYS, v=render.error_image(F.col("v") / 200 - 0.1))
 
 
-@query("SELECT CAST(t AS INT) AS tick, CAST(CASE WHEN t % 80 <= 40 THEN 30 + t % 80 ELSE 110 - t % 80 END AS INT) AS percent FROM range(200) AS q(t)")
+@query("""SELECT event_type, CAST(user_id % 200 AS INT) AS tick, count(*) AS n, CAST(CASE WHEN user_id % 200 % 80 <= 40 THEN 30 + user_id % 200 % 80 ELSE 110 - user_id % 200 % 80 END AS INT) AS percent
+  FROM events GROUP BY ALL""")
 def frame_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(render.frame_schedule(20, 200))), "tick int, percent int")
+    """Percent of the way at ticks that users' numbers give."""
+    ticks = rasters.table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 200).cast("int").alias("tick")).agg(F.count(F.lit(1)).alias("n"))
+    return ticks.select("event_type", "tick", "n", render.frame_at(F.col("tick"), 20).cast("int").alias("percent"))
 
 
 @query(None)
@@ -479,13 +500,15 @@ _TIMES = """times AS (SELECT event_type AS label, user_id % 7 AS part, value AS
 
 
 @query(f"""WITH {_TIMES}, s AS (SELECT label, part, count(*) AS runs, sum(ms) AS ms FROM times GROUP BY ALL) SELECT label, CAST(part AS INT) AS part, runs, {r("ms / 1000", "sec", 6)},
-  {r("100 * ms / sum(ms) OVER (PARTITION BY label)", "percent", 3)}, {r("1000 * runs / ms", "rate", 2)} FROM s WHERE ms > 0""")
+  {r("100 * ms / nullif(sum(ms) OVER (PARTITION BY label), 0)", "percent", 3)}, {r("1000 * runs / nullif(ms, 0)", "rate", 2)} FROM s""")
 def timer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timings by label and part: how often, seconds, the share of the label's whole, and runs a second."""
     df = rasters.table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), (F.col("user_id") % 7).cast("int").alias("part"), F.col("value").alias("ms"))
     sums = df.groupBy("label", "part").agg(F.count(F.lit(1)).alias("runs"), F.sum("ms").alias("ms"))
-    share = 100 * F.col("ms") / F.sum("ms").over(Window.partitionBy("label"))
-    return sums.withColumn("share", share).where("ms > 0").select("label", "part", "runs", rounded(F.col("ms") / 1000, 6).alias("sec"), rounded("share", 3).alias("percent"), rounded(1000 * F.col("runs") / F.col("ms"), 2).alias("rate"))
+    none = F.lit(0.0)
+    share = 100 * F.col("ms") / F.nullif(F.sum("ms").over(Window.partitionBy("label")), none)
+    rate = 1000 * F.col("runs") / F.nullif(F.col("ms"), none)  # null where nothing took any time
+    return sums.withColumn("share", share).select("label", "part", "runs", rounded(F.col("ms") / 1000, 6).alias("sec"), rounded("share", 3).alias("percent"), rounded(rate, 2).alias("rate"))
 
 
 @query(f"""WITH {EVT} SELECT image_id, {r("sum(CASE WHEN v > 20 THEN 1 ELSE 0 END) / count(*)", "done")} FROM evt GROUP BY 1""")

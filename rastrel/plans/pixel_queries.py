@@ -252,7 +252,10 @@ def border_and_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT i AS place, CASE WHEN i BETWEEN 0 AND 6 THEN i END AS by_none, least(greatest(i, 0), 6) AS by_clamp, ((i % 7) + 7) % 7 AS by_repeat, CASE WHEN ((i % 14) + 14) % 14 < 7 THEN ((i % 14) + 14) % 14 ELSE 13 - ((i % 14) + 14) % 14 END AS by_mirror FROM (SELECT CAST(i AS INT) AS i FROM range(-30, 31) AS t(i))")
+@query("""SELECT l_orderkey, l_linenumber, i AS place, CASE WHEN i BETWEEN 0 AND 6 THEN i END AS by_none, least(greatest(i, 0), 6) AS by_clamp, ((i % 7) + 7) % 7 AS by_repeat,
+  CASE WHEN ((i % 14) + 14) % 14 < 7 THEN ((i % 14) + 14) % 14 ELSE 13 - ((i % 14) + 14) % 14 END AS by_mirror FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) - 25 AS i FROM lineitem)""")
 def extension_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id").cast("int")
-    return spark.range(-30, 31).select(i.alias("place"), *(V.extended(i, F.lit(7), m).alias(f"by_{m}") for m in ("none", "clamp", "repeat", "mirror")))
+    """Places from 24 before a line of seven to 18 behind it, one for each line item."""
+    i = F.col("l_quantity").cast("int") - 25
+    rows = rasters.table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", i.alias("place"), *(V.extended(i, F.lit(7), m).alias(f"by_{m}") for m in ("none", "clamp", "repeat", "mirror")))

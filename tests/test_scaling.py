@@ -72,8 +72,8 @@ def test_kinds_of_kernels():
 
 
 @pytest.mark.parametrize("border", lines.BORDERS)
-@pytest.mark.parametrize("weights", [(0.5, 0.5), (0.25, 1.1, -0.35)])
-def test_sweeps_by_blocks(spark, border, weights):
+def test_sweeps_by_blocks(spark, border):
+    weights = (0.25, 1.1, -0.35) if border in ("edge", "reflect") else (0.5, 0.5)
     rng = np.random.default_rng(3)
     for n, span in ((1, 4), (11, 4), (12, 100)):
         a = rng.standard_normal((2, 3, n))
@@ -157,25 +157,25 @@ def dense_path(spark, field, h, w):
 
 
 def test_gradients_over_tiles(spark, monkeypatch):
-    monkeypatch.setattr(neighbourhood, "TILE", 5)
-    h, w = 17, 11
-    field = field_of(spark, [bent(0, h, w), bent(2, h, w), np.full((h, w, 2), 0.25)])
+    monkeypatch.setattr(neighbourhood, "TILE", 4)
+    h, w = 11, 7
+    field = field_of(spark, [bent(0, h, w), np.full((h, w, 2), 0.25)])
     want = dense_path(spark, field, h, w)
     found = grid_solvers.path(field, h, w, tol=1e-8)
     got = np.stack([arrays(found.values, want.shape[:3], c, "pair_id") for c in ("ux", "uy")], -1)
     assert np.abs(got - want).max() < 1e-6 and found.rounds > 5
-    assert np.abs(got[2]).max() == 0  # nothing to bend
+    assert np.abs(got[1]).max() == 0  # nothing to bend
     plan = found.values._jdf.queryExecution().toString()
     assert "FlatMapGroups" not in plan and "FlatMapCoGroups" not in plan
 
 
 def test_nested_grids_take_fewer_rounds(spark):
-    h, w = 24, 20
+    h, w = 20, 16
     turn = np.add.outer(np.arange(h) / 30, np.arange(w) / 25)
     field = field_of(spark, [0.96 * np.stack([np.cos(turn), np.sin(turn)], -1)])
     plain = grid_solvers.path(field, h, w, tol=1e-3)
-    nested = grid_solvers.multilevel_path(field, h, w, tol=1e-3, start_res=10)
-    assert [s[:2] for s in nested.by_level] == [(12, 10), (24, 20)] and nested.rounds < plain.rounds
+    nested = grid_solvers.multilevel_path(field, h, w, tol=1e-3, start_res=8)
+    assert [s[:2] for s in nested.by_level] == [(10, 8), (20, 16)] and nested.rounds < plain.rounds
     system = grid_solvers.path_of(field, h, w)
     for found in (plain, nested):
         r = grid_solvers.residual(system, found.values, {"ux": "bx", "uy": "by"}).first()
@@ -183,9 +183,9 @@ def test_nested_grids_take_fewer_rounds(spark):
 
 
 def test_margin_to_its_end(spark):
-    a = np.random.default_rng(8).random((2, 15, 12)) * 255
-    canvas = solvers.extended_canvas(raster(spark, a), 15, 12)
-    h, w = 21, 18
+    a = np.random.default_rng(8).random((2, 15, 10)) * 255
+    canvas = solvers.extended_canvas(raster(spark, a), 15, 10)
+    h, w = 21, 16
     plain, nested = (grid_solvers.margin(canvas, h, w, 1e-4, nested=n) for n in (False, True))
     assert nested.rounds < plain.rounds and len(nested.by_level) == 3
     system = grid_solvers.margin_system(canvas)
@@ -193,6 +193,6 @@ def test_margin_to_its_end(spark):
         worst = grid_solvers.residual(system, found.values, {"v": "right"}, ("image_id",)).agg(F.max("v")).first()[0]
         assert worst <= 1.01e-4
     got = arrays(nested.values, (2, h, w))
-    assert np.allclose(got[:, 3:18, 3:15], a) and np.isfinite(got).all()
+    assert np.allclose(got[:, 3:18, 3:13], a) and np.isfinite(got).all()
     inner = got[:, 1:-1, 1:-1] * 4 - got[:, :-2, 1:-1] - got[:, 2:, 1:-1] - got[:, 1:-1, :-2] - got[:, 1:-1, 2:]
     assert np.abs(inner[:, :2]).max() < 0.5  # Laplace's equation above the image
