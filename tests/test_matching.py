@@ -185,7 +185,7 @@ def test_windows_of_one_image(spark):
     tiled = matching.Level(a[None], b[None], field[None], s).energies()[0]
     assert tiled <= whole.energies()[0] + 0.01 * start and tiled < 0.5 * start
     windows = [len(list(tiled_matching._spans(0, n, n, 0, 14))) for n in (h, w)]
-    assert windows[0] * windows[1] > 4
+    assert windows[0] * windows[1] > 1  # more tasks than images
 
 
 def test_windows_reach_every_pixel_and_keep_apart():
