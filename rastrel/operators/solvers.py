@@ -127,34 +127,51 @@ def path_system(averaged: DataFrame, height: int, width: int, keys: tuple[str, .
     return matrix, grid.select(*keys, row.alias("row"), "bx", "by")
 
 
-def conjugate_gradient(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, right: np.ndarray, tol: float = 1e-3, max_iter: int = 5000) -> np.ndarray:
-    """x of a positive definite system in coordinates, until the residual is tol of the right side."""
-    x, r = np.zeros(len(right)), right.astype(float).copy()
-    p, rr, stop = r.copy(), float(r @ r), tol * tol * float(right @ right)
-    for _ in range(max_iter):
+def gradients(diagonal: np.ndarray, right: np.ndarray, free: np.ndarray | None = None, tol: float = 1e-3, start: np.ndarray | None = None, most: int = 5000) -> np.ndarray:
+    """x (height, width) of the system with this diagonal and -1 for each pair of neighbouring free pixels, by conjugate
+    gradients until the residual is tol of the right side; 0 where not free. Raises where `most` rounds do not do."""
+    keep = np.ones(right.shape, bool) if free is None else free
+
+    def product(p: np.ndarray) -> np.ndarray:
+        out = diagonal * p
+        out[1:] -= p[:-1]
+        out[:-1] -= p[1:]
+        out[:, 1:] -= p[:, :-1]
+        out[:, :-1] -= p[:, 1:]
+        return np.where(keep, out, 0.0)
+
+    b = np.where(keep, right, 0.0)
+    x = np.zeros(right.shape) if start is None else np.where(keep, start, 0.0)
+    r = b - product(x)
+    p, rr, stop = r.copy(), float((r * r).sum()), tol * tol * float((b * b).sum())
+    for _ in range(most):
         if rr <= stop:
-            break
-        ap = np.bincount(rows, values * p[cols], len(right))
-        step = rr / float(p @ ap)
+            return x
+        ap = product(p)
+        step = rr / float((p * ap).sum())
         x += step * p
         r -= step * ap
-        rr, last = float(r @ r), rr
+        rr, last = float((r * r).sum()), rr
         p = r + rr / last * p
+    if rr > stop:
+        raise ArithmeticError(f"no solution to {tol} of the right side in {most} rounds")
     return x
 
 
 def quadratic_path(field: DataFrame, height: int, width: int, tol: float = 1e-3, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, y, x, ux, uy): the path's bend for each pixel; both components are solved by conjugate gradients, pair by pair."""
-    matrix, right = path_system(jacobian_average(field, keys), height, width, keys)
+    """(keys, y, x, ux, uy): the path's bend for each pixel; both components are solved by conjugate gradients, pair by
+    pair. A task gets the grid of a pair; `grid_solvers.path` is for those that are too large for one."""
+    grid = path_grid(jacobian_average(field, keys), height, width, keys)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in field.select(*keys).schema) + ", y int, x int, ux double, uy double"
 
-    def run(key: tuple, m: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("row")
-        parts = [conjugate_gradient(m["row"].to_numpy(), m["col"].to_numpy(), m["value"].to_numpy(), b[c].to_numpy(), tol) for c in ("bx", "by")]
-        at = b["row"].to_numpy()
-        return pd.DataFrame(dict(zip(keys, key)) | {"y": at // width, "x": at % width, "ux": parts[0], "uy": parts[1]})
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros((3, height, width))
+        held[:, part["y"], part["x"]] = part[["diagonal", "bx", "by"]].to_numpy(float).T
+        ux, uy = (gradients(held[0], b, tol=tol) for b in held[1:])
+        y, x = np.mgrid[:height, :width]
+        return pd.DataFrame(dict(zip(keys, key)) | {"y": y.ravel(), "x": x.ravel(), "ux": ux.ravel(), "uy": uy.ravel()})
 
-    return matrix.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    return grid.groupBy(*keys).applyInPandas(run, schema)
 
 
 def extended_canvas(df: DataFrame, height: int, width: int, share: float = 0.2, white: float = 255.0, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
@@ -166,21 +183,25 @@ def extended_canvas(df: DataFrame, height: int, width: int, share: float = 0.2,
     return blank.join(moved, [*keys, "y", "x"], "left").select(*keys, "y", "x", F.coalesce("v", F.lit(white)).alias("v"), F.lit(255).alias("a"), F.col("v").isNotNull().alias("held"))
 
 
-def filled_margin(canvas: DataFrame, rounds: int = 500, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """The canvas with its margin filled smoothly from the image (a Laplace equation with open ends), image by image.
+def filled_margin(canvas: DataFrame, tol: float = 1e-6, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """The canvas with its margin filled smoothly from the image (a Laplace equation with open ends), image by image, to a
+    residual of tol of the right side. A canvas without an image is white.
 
-    This fill is our own: a margin that continues the image's border.
+    This fill is our own: a margin that continues the image's border. `grid_solvers.margin` does the same by tiles.
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in canvas.select(*keys).schema) + ", y int, x int, v double"
 
+    def around(a: np.ndarray) -> np.ndarray:
+        p = np.pad(a, 1)
+        return p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:]
+
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         high, wide = int(part["y"].max()) + 1, int(part["x"].max()) + 1
-        v, held = np.zeros((high, wide)), np.zeros((high, wide), bool)
+        v, held = np.full((high, wide), 255.0), np.zeros((high, wide), bool)
         v[part["y"], part["x"]], held[part["y"], part["x"]] = part["v"], part["held"]
-        v[~held] = v[held].mean() if held.any() else 255.0
-        for _ in range(rounds):
-            p = np.pad(v, 1, mode="edge")
-            v = np.where(held, v, (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:]) / 4)
+        if held.any():
+            found = gradients(around(np.ones((high, wide))), around(np.where(held, v, 0.0)), ~held, tol, np.full((high, wide), v[held].mean()))
+            v = np.where(held, v, found)
         y, x = np.mgrid[:high, :wide]
         return pd.DataFrame(dict(zip(keys, key)) | {"y": y.ravel(), "x": x.ravel(), "v": v.ravel()})
 

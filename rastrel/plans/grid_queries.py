@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -341,19 +342,38 @@ def jacobian_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(solvers.jacobian_average(_field(spark, sf_dir), arranged=True), PAIR, 4, tax="tax", tay="tay", tbx="tbx", tby="tby")
 
 
+_RIGHT_X = "CASE WHEN a.x > 0 THEN a.tax - 1 ELSE 0 END + CASE WHEN a.y > 0 THEN a.tbx ELSE 0 END - coalesce(q.tax - 1, 0) - coalesce(d.tbx, 0)"
+_RIGHT_Y = "CASE WHEN a.x > 0 THEN a.tay ELSE 0 END + CASE WHEN a.y > 0 THEN a.tby - 1 ELSE 0 END - coalesce(q.tay, 0) - coalesce(d.tby - 1, 0)"
+_NEXT = "FROM j a LEFT JOIN j q ON q.pair_id = a.pair_id AND q.y = a.y AND q.x = a.x + 1 LEFT JOIN j d ON d.pair_id = a.pair_id AND d.x = a.x AND d.y = a.y + 1"
+
+
 @query(f"""{_SLOPES} SELECT a.pair_id, a.y * 8 + a.x AS row, {r("greatest(1 - sqrt(a.vx * a.vx + a.vy * a.vy), 0) + (a.x > 0)::INT + (a.x < 7)::INT + (a.y > 0)::INT + (a.y < 7)::INT", "diagonal", 4)},
-  {r("CASE WHEN a.x > 0 THEN a.tax - 1 ELSE 0 END + CASE WHEN a.y > 0 THEN a.tbx ELSE 0 END - coalesce(q.tax - 1, 0) - coalesce(d.tbx, 0)", "bx", 4)},
-  {r("CASE WHEN a.x > 0 THEN a.tay ELSE 0 END + CASE WHEN a.y > 0 THEN a.tby - 1 ELSE 0 END - coalesce(q.tay, 0) - coalesce(d.tby - 1, 0)", "b_y", 4)}
-  FROM j a LEFT JOIN j q ON q.pair_id = a.pair_id AND q.y = a.y AND q.x = a.x + 1 LEFT JOIN j d ON d.pair_id = a.pair_id AND d.x = a.x AND d.y = a.y + 1""")
+  {r(_RIGHT_X, "bx", 4)}, {r(_RIGHT_Y, "b_y", 4)} {_NEXT}""")
 def path_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix, right = solvers.path_system(solvers.jacobian_average(_field(spark, sf_dir), arranged=True), 8, 8)
     both = matrix.where("row = col").select("pair_id", "row", rounded("value", 4).alias("diagonal")).join(right, ["pair_id", "row"])
     return both.select("pair_id", "row", "diagonal", rounded("bx", 4).alias("bx"), rounded("by", 4).alias("b_y"))
 
 
-@query(None)
+def _path_inverse(n: int = 8) -> str:
+    """The inverse of the path's matrix for the field of FIELD, by elimination, as rows (i, j, w)."""
+    matrix = np.zeros((n * n, n * n))
+    for y in range(n):
+        for x in range(n):
+            vx, vy = ((3 * x + 5 * y) % 7 - 3) / 4, ((5 * x + 3 * y) % 7 - 3) / 4
+            matrix[y * n + x, y * n + x] += max(0.0, 1 - np.hypot(vx, vy))
+            for to in ((y, x + 1), (y + 1, x)):
+                if max(to) < n:
+                    for a, b in (((y, x), to), (to, (y, x))):
+                        matrix[a[0] * n + a[1], a[0] * n + a[1]] += 1
+                        matrix[a[0] * n + a[1], b[0] * n + b[1]] -= 1
+    return ", ".join(f"({i}, {j}, {float(w)!r}::DOUBLE)" for (i, j), w in np.ndenumerate(np.linalg.inv(matrix)))
+
+
+@query(f"""{_SLOPES}, b AS (SELECT a.pair_id, a.y * 8 + a.x AS row, {_RIGHT_X} AS bx, {_RIGHT_Y} AS b_y {_NEXT})
+  SELECT pair_id, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, {r("sum(w * bx)", "ux", 4)}, {r("sum(w * b_y)", "uy", 4)} FROM b JOIN (VALUES {_path_inverse()}) AS t(i, j, w) ON j = row GROUP BY pair_id, i""")
 def cg_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return told(solvers.quadratic_path(_field(spark, sf_dir), 8, 8), PAIR, 4, ux="ux", uy="uy")
+    return told(solvers.quadratic_path(_field(spark, sf_dir), 8, 8, 1e-11), PAIR, 4, ux="ux", uy="uy")
 
 
 @query(None)
@@ -371,7 +391,7 @@ def extended_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def filled_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     canvas = solvers.extended_canvas(rasters.embedding_images(spark, sf_dir), 8, 8)
-    return told(solvers.filled_margin(canvas, 100), KEYS, 4, v="v")
+    return told(solvers.filled_margin(canvas, 1e-12), KEYS, 4, v="v")
 
 
 @query(None)

@@ -288,7 +288,7 @@ def path_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.select("pair_id", "row", "col", rounded("value", 4).alias("value"))
 
 
-def _margin() -> str:
+def _margin(digits: int = 2) -> str:
     """What each pixel of a canvas is of the image's pixels: Laplace's equation with open ends, solved by elimination."""
     n, held = 10, lambda y, x: 0 < y < 9 and 0 < x < 9
     free = [(y, x) for y in range(n) for x in range(n) if not held(y, x)]
@@ -305,7 +305,10 @@ def _margin() -> str:
     out = np.linalg.solve(matrix, right)
     rows = [(*at, y - 1, x - 1, out[k, i]) for k, at in enumerate(free) for i, (y, x) in enumerate(inner) if abs(out[k, i]) > 1e-15] + [(y, x, y - 1, x - 1, 1.0) for y, x in inner]
     table = ", ".join(f"({', '.join(map(str, row[:4]))}, {float(row[4])!r}::DOUBLE)" for row in rows)
-    return f"WITH {EMB} SELECT image_id, t.y, t.x, {r('sum(w * v)', 'v', 2)} FROM emb JOIN (VALUES {table}) AS t(y, x, iy, ix, w) ON iy = emb.y AND ix = emb.x GROUP BY ALL"
+    return f"WITH {EMB} SELECT image_id, t.y, t.x, {r('sum(w * v)', 'v', digits)} FROM emb JOIN (VALUES {table}) AS t(y, x, iy, ix, w) ON iy = emb.y AND ix = emb.x GROUP BY ALL"
+
+
+ORACLES["filled_margin"] = _margin(4)
 
 
 @query(_margin())

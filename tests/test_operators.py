@@ -173,7 +173,7 @@ def test_frames(spark):
     assert np.allclose(render.morph_frame(BUMPY, BUMPY, zero, zero, 0.3), BUMPY)
     assert np.allclose(render.morph_frame(BUMPY, BUMPY * 0, zero, zero, 0.0), BUMPY) and np.allclose(render.morph_frame(BUMPY, BUMPY * 0, zero, zero, 1.0), 0)
     assert render.frame_schedule(2, 9) == [48, 49, 50, 51, 52, 51, 50, 49, 48] and render.frame_schedule(0, 2) == [50, 50]
-    canvas = solvers.filled_margin(solvers.extended_canvas(raster(spark, np.full((10, 10), 5.0)), 10, 10), 50)
+    canvas = solvers.filled_margin(solvers.extended_canvas(raster(spark, np.full((10, 10), 5.0)), 10, 10))
     assert canvas.count() == 14 * 14 and canvas.agg(F.max("v")).first()[0] == 5.0
 
 

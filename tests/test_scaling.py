@@ -193,6 +193,7 @@ def test_margin_to_its_end(spark):
         worst = grid_solvers.residual(system, found.values, {"v": "right"}, ("image_id",)).agg(F.max("v")).first()[0]
         assert worst <= 1.01e-4
     got = arrays(nested.values, (2, h, w))
+    assert np.abs(got - arrays(solvers.filled_margin(canvas, 1e-8), (2, h, w))).max() < 0.5
     assert np.allclose(got[:, 3:18, 3:13], a) and np.isfinite(got).all()
     inner = got[:, 1:-1, 1:-1] * 4 - got[:, :-2, 1:-1] - got[:, 2:, 1:-1] - got[:, 1:-1, :-2] - got[:, 1:-1, 2:]
     assert np.abs(inner[:, :2]).max() < 0.5  # Laplace's equation above the image
