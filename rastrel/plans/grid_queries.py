@@ -177,13 +177,32 @@ def cubic_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warped(spark, sf_dir, k="bspline3")
 
 
-@query(f"""WITH {EMB}, f AS (SELECT image_id, y, x, {FIELD} FROM emb), p AS (SELECT *, x + vx AS px, y + vy AS py FROM f),
-  t AS (SELECT *, {kernel("d-bspline3").sql("px - floor(px) - i")} * {kernel("bspline3").sql("py - floor(py) - j")} AS w FROM p, range(-1, 3) AS s(j), range(-1, 3) AS u(i))
-  SELECT t.image_id, t.y, t.x, {r("sum(w * b.v)", "dx")} FROM t JOIN emb b ON b.image_id = t.image_id AND b.y = least(greatest(floor(py) + j, 0), 7) AND b.x = least(greatest(floor(px) + i, 0), 7) WHERE w <> 0 GROUP BY ALL""")
-def cubic_sampler_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _slopes_sql(order: tuple[int, int], name: str) -> str:
+    dx, dy = (kernel("d" * o + ("-" if o else "") + "bspline3") for o in order)
+    return f"""WITH {EMB}, f AS (SELECT image_id, y, x, {FIELD} FROM emb), p AS (SELECT *, x + vx AS px, y + vy AS py FROM f),
+  t AS (SELECT *, {dx.sql("px - floor(px) - i")} * {dy.sql("py - floor(py) - j")} AS w FROM p, range(-1, 3) AS s(j), range(-1, 3) AS u(i))
+  SELECT t.image_id, t.y, t.x, {r("sum(w * b.v)", name)} FROM t JOIN emb b ON b.image_id = t.image_id AND b.y = least(greatest(floor(py) + j, 0), 7) AND b.x = least(greatest(floor(px) + i, 0), 7) WHERE w <> 0 GROUP BY ALL"""
+
+
+def _slopes(spark: SparkSession, sf_dir: str, order: tuple[int, int], name: str) -> DataFrame:
     img = rasters.embedding_images(spark, sf_dir)
     at = rasters.synthetic_field(img)
-    return told(resample.sample(at, img, F.col("x") + F.col("vx"), F.col("y") + F.col("vy"), {"dx": "v"}, 8, 8, "bspline3", order=(1, 0)), KEYS, dx="dx")
+    return told(resample.sample(at, img, F.col("x") + F.col("vx"), F.col("y") + F.col("vy"), {name: "v"}, 8, 8, "bspline3", order=order), KEYS, **{name: name})
+
+
+@query(_slopes_sql((1, 0), "dx"))
+def cubic_sampler_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _slopes(spark, sf_dir, (1, 0), "dx")
+
+
+@query(_slopes_sql((1, 1), "dxdy"))
+def cubic_sampler_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _slopes(spark, sf_dir, (1, 1), "dxdy")
+
+
+@query(_slopes_sql((0, 2), "dydy"))
+def cubic_sampler_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _slopes(spark, sf_dir, (0, 2), "dydy")
 
 
 def _resize_sql(k: str, sizes: tuple[int, int, int, int], mode: str) -> str:

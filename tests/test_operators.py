@@ -288,3 +288,25 @@ def test_tiles_give_what_whole_images_do(spark, monkeypatch):
         got = sorted(map(tuple, d.select(*sorted(d.columns)).collect()), key=repr)
         assert len(got) == len(want) and all(np.allclose(np.array(g, float), np.array(w, float), equal_nan=True) for g, w in zip(got, want))
     assert df.rdd.getNumPartitions() >= 1 and "__t" in tiled[0]._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("border", ["clamp", "fill"])
+def test_squares_sample_as_taps_do(spark, monkeypatch, border):
+    """Points that lead anywhere, also far outside, over images of several squares with missing and null pixels."""
+    monkeypatch.setattr(resample, "SQUARE", 4)
+    monkeypatch.setattr(resample, "CHUNK", 64)
+    rng = np.random.default_rng(11)
+    cells = [(k, y, x, None if rng.random() < 0.05 else float(rng.random())) for k in ("a", "b") for y in range(11) for x in range(9) if rng.random() > 0.05]
+    img = spark.createDataFrame(cells, "image_id string, y int, x int, v double")
+    places = [(k, y, x, *map(float, rng.normal(5, 6, 2))) for k in ("a", "b", "none") for y in range(11) for x in range(9)] + [("a", 20, 20, None, 1.0), ("b", 21, 21, 2.0, 3.0)]
+    at = spark.createDataFrame(places, "image_id string, y int, x int, px double, py double")
+    for k, order in (("keys4", (0, 0)), ("bspline3", (1, 0)), ("bspline3", (1, 1)), ("bspline3", (0, 2))):
+        dx, dy = (kernel("d" * o + ("-" if o else "") + k) for o in order)
+        found = [
+            {(r["image_id"], r["y"], r["x"]): r["u"] for r in way(at, img, F.col("px"), F.col("py"), {"u": "v"}, 11, 9, 2, (dx, dy), border, 255.0, ("image_id",), False).collect()}
+            for way in (resample._by_taps, resample._by_squares)
+        ]
+        assert set(found[0]) == set(found[1]) and ("a", 20, 20) not in found[1]
+        assert max(abs(found[0][p] - found[1][p]) for p in found[0]) < 1e-9
+    empty = resample.sample(at.limit(0), img, F.col("px"), F.col("py"), {"u": "v"}, 11, 9, "keys4", border)
+    assert empty.columns == ["image_id", "y", "x", "u"] and not empty.count()
