@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import discard, written
+from rastrel.llm.common import discard, spread_join, written
+
+#: A node with more than one in so many edges is a hub; there are no more than twice so many of them.
+HOT = 1000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,14 +18,16 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["x"], row["s"]
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
     """Large: link each greater neighbour of u to the least in its neighbourhood. Small: the same for lesser neighbours.
 
-    The least is found by a combining aggregation and joined back, so a hub's neighbours are never gathered in a task.
+    The least is found by a combining aggregation and joined back: to a hub's edges by broadcast, wherever they are, and
+    to the others' by a shuffle, so no task gets all edges of a hub. edges has no more than `most` rows, and is read from
+    a table.
     """
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    linked = both.join(least, "u")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    linked = spread_join(both, least.select("u", "m"), "u", least.where(F.col("n") * HOT > most))
     linked = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else (
         linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(linked.select("u", F.col("m").alias("v")))
     )
@@ -32,15 +37,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of each node of the edges (a, b), component being the least node that it reaches.
 
-    Nodes are longs; null ends, loops, and repeated or turned edges change nothing. Each round is written to the
-    shared folder, so a lost executor costs at most that round.
+    Nodes are longs; null ends, loops, and repeated or turned edges change nothing. Each half of a round is
+    written to the shared folder, so a lost executor costs at most that.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = _state(now)
     for _ in range(max_rounds):
-        last, now = now, written(_star(_star(now, large=True), large=False), "links")
+        most = state[0]
+        half = written(_star(now, True, most), "links")
+        last, now = now, written(_star(half, False, most), "links")
         before, state = state, _state(now)
         discard(last)
+        discard(half)
         if state == before:
             break
     else:

@@ -4,6 +4,8 @@ A 64-bit fingerprint is a ring of four 16-bit segments. If two fingerprints diff
 on the ring has a chain of segments whose cumulative differences stay within the proportional budgets 0.75, 1.5, 2.25
 and 3, that is 0, 1, 2 and 3 bits. The join key covers the first two links of the chain (an equal segment, then one
 with at most one bit of difference, enumerated on one side); the third link and the whole are conditions of the join.
+Beyond 2^32 fingerprints the key also takes bits of the third segment, in which the budget of two bits is enumerated in
+the same way, so a probe meets about one fingerprint by chance, however many there are; all links are found at any size.
 """
 
 from __future__ import annotations
@@ -55,13 +57,26 @@ def _turned(c: Column, start: int) -> Column:
     return c if not at else F.shiftrightunsigned(c, at).bitwiseOR(F.shiftleft(c, 64 - at))
 
 
-def hamming_links(fingerprints: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct fingerprints `fp` that differ in 1 to 3 bits; all of them, each at least once."""
+def further_bits(fingerprints: int) -> int:
+    """Bits of the third segment in the key, by the number of different fingerprints."""
+    return min(SEGMENT_BITS, max(0, fingerprints.bit_length() - 2 * SEGMENT_BITS))
+
+
+def _flips(further: int) -> list[int]:
+    """What a key may differ in: at most one bit of the second segment, two of that and of `further` bits of the third."""
+    second = [1 << SEGMENT_BITS + bit for bit in range(SEGMENT_BITS)]
+    third = [1 << 2 * SEGMENT_BITS + bit for bit in range(further)]
+    return [0, *second, *third, *(x | y for x in second for y in third), *(x | y for k, x in enumerate(third) for y in third[:k])]
+
+
+def hamming_links(fingerprints: DataFrame, further: int = 0) -> DataFrame:
+    """Pairs (a, b), a < b, of the distinct fingerprints `fp` that differ in 1 to 3 bits; all of them, each at least once,
+    whatever `further` is: it makes the key longer, for more probes."""
     starts = F.explode(F.array(*(F.struct(F.lit(k).alias("start"), _turned(F.col("fp"), k).alias("ring")) for k in range(SEGMENTS))))
     rings = fingerprints.select("fp", starts.alias("s")).select("fp", "s.start", "s.ring")
-    low = (1 << 2 * SEGMENT_BITS) - 1
+    low = (1 << 2 * SEGMENT_BITS + further) - 1
     key = F.col("ring").bitwiseAND(low)
-    flips = [0, *(1 << SEGMENT_BITS + bit for bit in range(SEGMENT_BITS))]
+    flips = _flips(further)
     index = rings.select("start", key.alias("key"), F.col("fp").alias("a"), F.col("ring").alias("ra"))
     probes = rings.select(
         "start", F.explode(F.array(*(key.bitwiseXOR(F.lit(x)) for x in flips))).alias("key"), F.col("fp").alias("b"), F.col("ring").alias("rb")
@@ -82,12 +97,12 @@ def simhash_components(docs: DataFrame, keys: list[str], order: str = "doc_id",
     """
     marked = written(with_fingerprints(docs, keys, text), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    parts = connected_components(hamming_links(distinct.select("fp")))
+    total = distinct.agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows")).first()
+    parts = connected_components(hamming_links(distinct.select("fp"), further_bits(total["texts"])))
     labelled = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     names = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    total = distinct.agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows")).first()
     large = names.where(F.col("n") * HOT > total["texts"])
     by_fp = spread_join(labelled.select("fp", "component"), names.select("component", "component_id"), "component", large).select("fp", "component_id")
     often = distinct.where(F.col("n") * HOT > (total["rows"] or 0))

@@ -215,3 +215,27 @@ def test_blocks_of_bits(monkeypatch):
     monkeypatch.setattr(fingerprints, "BIT_BLOCK", 7)
     assert fingerprints.fingerprint(text) == whole == slow_fingerprint(text.decode())
     assert fingerprints.wide_fingerprint(fingerprints.shingle_set(text, 5)) == wide and len(wide) == 64
+
+
+def test_longer_keys_lose_no_link(spark):
+    rng = random.Random(12)
+    prints = {rng.getrandbits(64) for _ in range(60)}
+    for x in list(prints):
+        for bits in (1, 2, 3, 3, 3, 4):
+            prints.add(x ^ sum(1 << b for b in rng.sample(range(64), bits)))
+    signed = [simhash._signed(x) for x in prints]
+    want = {(min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[:i] if (a % 2**64 ^ b % 2**64).bit_count() <= 3}
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for further in (0, 1, 5, 16):
+        assert {(r["a"], r["b"]) for r in simhash.hamming_links(df, further).collect()} == want and want
+    assert [simhash.further_bits(n) for n in (0, 10**6, 2**32 - 1, 2**32, 2**40, 2**60)] == [0, 0, 0, 1, 9, 16]
+    assert len(simhash._flips(16)) == 1 + 16 + 16 + 256 + 120
+
+
+def test_hubs_among_many_nodes(spark):
+    """A hub with a third of all edges, hubs of middle size, and many small components."""
+    edges = [(1, k) for k in range(10, 2000)] + [(5, k) for k in range(3000, 3400)] + [(k, k + 1) for k in range(10_000, 17_000, 3)] + [(1999, 3000), (9, 9), (None, 4)]
+    random.Random(5).shuffle(edges)
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {n: 1 for n in (1, 5, *range(10, 2000), *range(3000, 3400))} | {n: k for k in range(10_000, 17_000, 3) for n in (k, k + 1)}
+    assert got == want
